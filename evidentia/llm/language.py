@@ -26,7 +26,7 @@ BUCKETS = 1 << 15
 SMOOTHING = 0.5
 ROUNDS = 30
 #: A document is rejected by the filter if no language has this share of it.
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.34
 UNKNOWN = "und"
 
 _LETTERS: list[np.ndarray] = []

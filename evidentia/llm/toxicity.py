@@ -175,7 +175,6 @@ def fit_weights(rows: list, y: np.ndarray, changes: list, dim: int, l2: float =
     weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))  # both kinds count alike
     size = np.bincount(r, minlength=n)
     step = 1 / (0.25 * (weight @ (size + 1)) + l2 / n + cf * (max((len(x[0]) for x in changes), default=0)) / m * len(changes))
-    base = np.log(max(y.mean(), 1e-6) / max(1 - y.mean(), 1e-6))
     w, b, vw, vb = np.zeros(dim), 0.0, np.zeros(dim), 0.0
     for t in range(rounds):
         uw, ub = vw, vb
@@ -188,12 +187,12 @@ def fit_weights(rows: list, y: np.ndarray, changes: list, dim: int, l2: float =
         w2, b2 = uw - step * gw, ub - step * e.sum()
         k = t / (t + 3)
         vw, vb, w, b = w2 + k * (w2 - w), b2 + k * (b2 - b), w2, b2
-    return w, b + base * 0.0
+    return w, float(b)
 
 
 def fit(docs: DataFrame, labels: DataFrame, groups=IDENTITY_TERMS, cf: float = COUNTERFACTUAL) -> Model | None:
     sample = labelled_sample(docs, labels)
-    n = sample.agg(F.count_if("toxic > 0"), F.count_if("toxic <= 0")).first()
+    n = sample.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") <= 0)).first()
     if not n[0] or not n[1]:
         return None
     known = select_features(sample, n[0], n[1])
