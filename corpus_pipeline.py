@@ -5,7 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from evidentia.llm import _common as C
-from evidentia.llm import mixing, packing
+from evidentia.llm import language, minhash, mixing, packing, toxicity
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters and a leading language."""
+    C.ship(spark)
+    return language.keep_identified(docs)
+
+
+def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the toxicity threshold."""
+    return toxicity.keep_civil(docs, C.table(spark, sf_dir, "labels"))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    C.ship(spark)
+    return minhash.keep_one_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +39,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("mix", mix), ("pack", pack)]
+STAGES = [("language", identify), ("toxicity", civil), ("deduplicate", deduplicate), ("mix", mix), ("pack", pack)]
 ORACLE_SQL = None
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, mixing, packing, token_counts, topk
+from . import chat, fingerprints, html_text, language, minhash, mixing, packing, token_counts, topk, toxicity
 
-MODULES = (packing, fingerprints, chat, mixing, token_counts, topk)
+MODULES = (minhash, toxicity, language, html_text, packing, fingerprints, chat, mixing, token_counts, topk)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
