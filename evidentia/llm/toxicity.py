@@ -30,10 +30,12 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 MAX_LABELLED = 20_000
-N_FEATURES = 4096
+N_FEATURES = 1024
 #: Lengths of the word beginnings that are features beside the word.
 PREFIXES = (4, 5, 6)
 L2, COUNTERFACTUAL = 0.02, 10.0
+#: A missed toxic text counts as much as so many others taken for toxic.
+TOXIC_WEIGHT = 2.0
 THRESHOLD = 0.3
 CACHE = 400_000
 #: Terms that name groups neutrally; within a row they may stand for one another.
@@ -172,7 +174,8 @@ def fit_weights(rows: list, y: np.ndarray, changes: list, dim: int, l2: float =
     r, c, _ = _sparse(rows)
     cr, cc, cv = _sparse([x[0] for x in changes], [x[1] for x in changes])
     n, m = len(y), max(1, len(changes))
-    weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))  # both kinds count alike
+    weight = np.where(y > 0, TOXIC_WEIGHT, 1.0)
+    weight /= weight.sum()
     size = np.bincount(r, minlength=n)
     step = 1 / (0.25 * (weight @ (size + 1)) + l2 / n + cf * (max((len(x[0]) for x in changes), default=0)) / m * len(changes))
     w, b, vw, vb = np.zeros(dim), 0.0, np.zeros(dim), 0.0
