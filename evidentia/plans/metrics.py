@@ -59,9 +59,9 @@ def promql_histogram_quantile(t):
     return series.histogram_quantile(buckets, ["event_type"], 0.9, "p90").withColumn("p90", F.round("p90", 9))
 
 
-@query(f"WITH {_COUNTER} SELECT event_id FROM r WHERE increase > 3000")
+@query(f"WITH {_COUNTER} SELECT event_id FROM r WHERE increase > 80")
 def promql_increase(t):
-    return _counter(t).where("increase > 3000").select("event_id")
+    return _counter(t).where("increase > 80").select("event_id")
 
 
 @query(
