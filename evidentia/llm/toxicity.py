@@ -9,8 +9,7 @@ Fitting: a sample of at most ``MAX_LABELLED`` labelled rows, drawn by hash of
 the id among those that may be learned from; the statistics that select the
 ``N_FEATURES`` features cover that whole sample.  Scoring covers all rows.
 
-Defined cases: a null or empty text has the score of a text without known
-features; contradictory labels count as toxic; null labels and labels
+Defined cases: a text without words (null, empty) scores 0; contradictory labels count as toxic; null labels and labels
 without a document are left out; without labelled rows of both kinds the
 score is 0 for all; repeated rows score alike; extra columns do not matter;
 an empty table gives no rows.
@@ -210,7 +209,11 @@ def scores(texts: list[str | None], model: Model, cache: dict[str, tuple]) -> li
     out = []
     for text in texts:
         hit: set[int] = set()
-        for w in words(text):
+        said = words(text)
+        if not said:
+            out.append(0.0)
+            continue
+        for w in said:
             at = cache.get(w)
             if at is None:
                 if len(cache) > CACHE:
