@@ -131,7 +131,7 @@ def unescape(text: Column) -> Column:
 
 
 def format_turn(role: Column, text: Column) -> Column:
-    role = F.regexp_replace(escape(F.coalesce(role, F.lit(""))), "\n", "\\\\\\\\\n")
+    role = F.regexp_replace(escape(F.coalesce(role, F.lit(""))), "\n", "\\\\\n")
     return F.concat(F.lit(START), role, F.lit("\n"), escape(F.coalesce(text, F.lit(""))), F.lit(END + "\n"))
 
 

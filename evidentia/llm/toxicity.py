@@ -33,6 +33,8 @@ N_FEATURES = 1024
 #: Lengths of the word beginnings that are features beside the word.
 PREFIXES = (4, 5, 6)
 L2, COUNTERFACTUAL = 0.02, 10.0
+#: Steps of the descent, without and with counterfactuals, which make the problem stiffer.
+ROUNDS = (300, 1500)
 #: A missed toxic text counts as much as so many others taken for toxic.
 TOXIC_WEIGHT = 2.0
 THRESHOLD = 0.3
@@ -168,7 +170,7 @@ def _sparse(rows: list, values: list | None = None) -> tuple[np.ndarray, np.ndar
     return row, col, val
 
 
-def fit_weights(rows: list, y: np.ndarray, changes: list, dim: int, l2: float = L2, cf: float = COUNTERFACTUAL, rounds: int = 300) -> tuple[np.ndarray, float]:
+def fit_weights(rows: list, y: np.ndarray, changes: list, dim: int, l2: float = L2, cf: float = COUNTERFACTUAL) -> tuple[np.ndarray, float]:
     """Accelerated gradient descent on log loss + l2 |w|^2 / 2 + cf * mean (change of score)^2 / 2."""
     r, c, _ = _sparse(rows)
     cr, cc, cv = _sparse([x[0] for x in changes], [x[1] for x in changes])
@@ -178,7 +180,7 @@ def fit_weights(rows: list, y: np.ndarray, changes: list, dim: int, l2: float =
     size = np.bincount(r, minlength=n)
     step = 1 / (0.25 * (weight @ (size + 1)) + l2 / n + cf * (max((len(x[0]) for x in changes), default=0)) / m * len(changes))
     w, b, vw, vb = np.zeros(dim), 0.0, np.zeros(dim), 0.0
-    for t in range(rounds):
+    for t in range(ROUNDS[bool(len(changes) and cf)]):
         uw, ub = vw, vb
         z = np.bincount(r, uw[c], minlength=n) + ub
         e = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
