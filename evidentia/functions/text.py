@@ -58,10 +58,11 @@ def utf16_length(x: Column) -> Column:
 
 def utf16_left(x: Column, n: int) -> Column:
     """The first n UTF-16 units, short of one where the cut would split a pair."""
-    low = F.length(F.regexp_replace(F.left(x, F.lit(n)), r"[^\x{10000}-\x{10FFFF}]", ""))
-    plain = low == 0
-    cut = F.decode(F.substring(F.encode(x, "UTF-16BE"), 1, 2 * n), "UTF-16BE")
-    return F.when(plain, F.left(x, F.lit(n))).otherwise(F.regexp_replace(cut, "�$", ""))
+    units = F.encode(x, "UTF-16BE")
+    high = F.hex(F.substring(units, 2 * n - 1, 1)).between("D8", "DB")  # the cut would leave half a pair
+    cut = F.decode(F.substring(units, F.lit(1), F.when(high, 2 * n - 2).otherwise(2 * n)), "UTF-16BE")
+    plain = F.octet_length(F.encode(F.left(x, F.lit(n)), "UTF-16BE")) == 2 * F.length(F.left(x, F.lit(n)))
+    return F.when(plain, F.left(x, F.lit(n))).otherwise(cut)
 
 
 def truncated(x: Column, n: int) -> Column:
