@@ -44,7 +44,7 @@ def vector_topk(t):
 @query(f"WITH {CHUNKS_SQL}, {QUESTIONS_SQL}, {_SETS} SELECT question_id, chunk_id, round(coalesce(len(list_intersect(qg, cg)) / nullif(len(qg) + len(cg) - len(list_intersect(qg, cg)), 0)::DOUBLE, 0), 9) AS similarity FROM qs, cs WHERE question_id < 3")
 def trigram_jaccard(t):
     q = t.questions(3).select("question_id", trigram_set(F.col("question")).alias("qg"))
-    pairs = search.paired(q, t.chunks().select("chunk_id", trigram_set(F.col("content")).alias("cg")), 3)
+    pairs = search.paired(q, t.chunks().select("chunk_id", trigram_set(F.col("content")).alias("cg")))
     return pairs.select("question_id", "chunk_id", F.round(jaccard(F.col("qg"), F.col("cg")), 9).alias("similarity"))
 
 
@@ -52,7 +52,7 @@ def trigram_jaccard(t):
 def word_similarity_arm(t):
     """The asymmetric measure, of short questions: the first forty characters of a text."""
     q = t.questions(5).withColumn("question", F.left("question", F.lit(40)))
-    return search.keyword_arm(q, t.chunks(), K, 5, "word").select("question_id", "chunk_id", "similarity", "keyword_rank")
+    return search.keyword_arm(q, t.chunks(), K, "word").select("question_id", "chunk_id", "similarity", "keyword_rank")
 
 
 @query(f"{_FUSED} SELECT question_id, chunk_id, distance, vector_rank::INTEGER AS vector_rank, keyword_rank::INTEGER AS keyword_rank, round(score, 9) AS score, rank::INTEGER AS rank FROM fused")

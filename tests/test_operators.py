@@ -255,3 +255,17 @@ def test_progress_snapshot(spark):
     df = spark.createDataFrame([(1, 1, "run"), (1, 2, "done"), (2, 1, "run")], "job int, seq int, state string")
     got = {r.job: r.frames for r in streams.progress(df, "job", ["seq"], "state", "done").collect()}
     assert got == {1: ["snapshot", "job.completed"], 2: ["snapshot"]} and json.dumps(got)
+
+
+def test_no_question_is_cut_by_either_arm(spark, monkeypatch):
+    from evidentia.operators import search
+
+    rows = [(i, [1.0, float(i)], "l", f"text number {i}") for i in range(45)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, vector array<double>, label string, content string")
+    questions = chunks.selectExpr("chunk_id AS question_id", "vector AS question_vector", "label AS question_label", "content AS question")
+    for at_once in (1000, 10):
+        monkeypatch.setattr(search, "QUESTIONS_AT_ONCE", at_once)
+        for arm in (search.vector_arm, search.keyword_arm):
+            found = arm(questions, chunks, 2).groupBy("question_id").count().collect()
+            assert {r.question_id: r["count"] for r in found} == {i: 2 for i in range(45)}
+        assert search.paired(questions, chunks.select("chunk_id")).count() == 45 * 45
