@@ -14,9 +14,11 @@ Join.  Equal texts are put together first.  Bands of the signature are
 hashed to buckets.  Every text is compared with one hub of its buckets, so
 comparisons grow with the members, never with their square; each comparison
 is exact, over the shingle sets.  What links are found makes classes
-(connected components).  Every bucket that still holds several classes is
-looked at again: small ones pair by pair, large ones with other hubs, drawn
-anew for each bucket and round, until a round finds no link.
+(connected components).  Large buckets that still hold several classes meet
+HUB_ROUNDS more hubs, which only saves work.  What then remains is settled
+whole: small buckets pair by pair, the members of large ones by a join on the
+prefixes of their shingles, rarest first, which finds every pair of different
+classes that reaches the similarity.
 
 With 32 bands of 5, two texts of similarity 0.8 meet in no bucket with
 probability 3e-6, and of 0.85 with 2e-8.
@@ -31,8 +33,6 @@ no rows.
 
 from __future__ import annotations
 
-from itertools import count
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +44,10 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
 #: Buckets of up to this many texts are compared pair by pair where they hold several classes.
 PAIRWISE = 16
+#: How often large buckets meet a hub before the join on prefixes.
+HUB_ROUNDS = 2
+#: Texts that share a shingle are dealt into parts of about this many.
+PART = 256
 
 _U = np.uint64
 _SPACES: list[np.ndarray] = []
@@ -194,6 +198,34 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where(possible).where(common >= F.lit(least) * (sizes - common)).select("a", "b")
 
 
+def may_reach(rows: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of ``rows`` (node, class_id, grams) of different classes: all whose Jaccard index is ``least`` or more, and few others.
+
+    Shingles are put in one order: those that occur in one class only, then the
+    rarest first.  Of a pair that reaches ``least``, the smaller set of n lacks at
+    most n - 2 least / (1 + least) n shingles of the other, which lacks at most
+    (1 - least) of its own; so the first common one stands among the first of both,
+    and what follows it must still hold all that have to be common.
+    """
+    slack = 1e-6
+    grams = rows.select("node", "class_id", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    shared = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo != hi").select("gram", "n")
+    found = grams.join(shared, "gram").groupBy("node", "class_id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("found"))
+    own = F.col("size") - F.size("found")
+    reach = lambda share: F.floor(F.col("size") - F.col("size") * share + slack) + 1
+    short = F.greatest(reach(least) - own, F.lit(0)).cast("int")
+    heads = found.withColumn("own", own).select("node", "class_id", "size", "own", F.posexplode(F.slice("found", 1, short)).alias("i", "f"))
+    parts = F.ceil(F.col("f.n") / PART).cast("int")
+    heads = heads.select("node", "class_id", "size", (F.col("own") + F.col("i")).alias("pos"), F.col("f.gram").alias("gram"), parts.alias("parts"))
+    heads = C.stored(heads, "heads")
+    small = heads.where(F.col("pos") < reach(2 * least / (1 + least))).select("gram", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.struct("node", "class_id", "size", "pos").alias("x"))
+    big = heads.select("gram", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.struct("node", "class_id", "size", "pos").alias("y"))
+    fits = (F.col("x.class_id") != F.col("y.class_id")) & (F.col("x.size") <= F.col("y.size")) & (F.col("x.size") >= F.col("y.size") * least - slack)
+    follow = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
+    met = small.join(big, ["gram", "part"]).where(fits & (follow >= (F.col("x.size") + F.col("y.size")) * (least / (1 + least)) - slack))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, class_id: the smallest node that links lead to.
 
@@ -233,6 +265,7 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY, counted:
     order = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("hub"))
     full = in_bucket.groupBy("bucket").agg(F.min(order).alias("o"), F.count("*").alias("members")).where("members > 1").select("bucket", "o.hub", "members")
     members = C.stored(in_bucket.join(full, "bucket"), "members")
+    crowd = members.groupBy("node").agg(F.sum("members").alias("crowd"))
     wanted = members.select("node").distinct().join(texts.select("node", "key"), "node")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", text_key(F.col("text")))
     rows = rows.join(wanted.select(F.col("node").alias("doc_id"), "key"), ["doc_id", "key"]).select(F.col("doc_id").alias("node"), "text")
@@ -243,28 +276,30 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY, counted:
     best = F.min_by("hub", F.struct(F.xxhash64("hub"), "hub")).alias("hub")
     tried = C.stored(members.where("node != hub").groupBy("node").agg(best).select(*pair(F.col("node"), F.col("hub"))).distinct(), "pairs")
     classes = components(verified(tried, sets, least))
-    for turn in count(1):
+    rest = members.select("bucket", "node", "members").join(crowd, "node")
+    for turn in range(1, HUB_ROUNDS + 2):
         # what is left: buckets with several classes
-        named = members.join(classes, "node", "left").select(
-            "bucket", "node", "members", F.coalesce("class_id", "node").alias("class_id"), F.col("class_id").isNull().alias("alone")
-        )
+        named = rest.join(classes, "node", "left").select("bucket", "node", "members", "crowd", F.coalesce("class_id", "node").alias("class_id"), F.col("class_id").isNull().alias("alone"))
+        # first the member that stands in the fullest buckets, like an original among its edited copies; then one of a class of several: the few that are left meet it, not the many
+        prefer = F.struct(-F.col("crowd"), F.xxhash64("node")) if turn == 1 else F.struct("alone", F.xxhash64("node", "bucket", F.lit(turn)))
         mixed = named.groupBy("bucket").agg(
-            F.min("class_id").alias("lo"), F.max("class_id").alias("hi"),
-            # a hub from a class of several, where there is one: then the few that are left meet it, not the many
-            F.min(F.struct("alone", F.xxhash64("node", "bucket", F.lit(turn)), F.col("node").alias("hub"), F.col("class_id").alias("hub_class"))).alias("o"),
+            F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.min(F.struct(prefer, F.col("node").alias("hub"), F.col("class_id").alias("hub_class"))).alias("o")
         ).where("lo != hi").select("bucket", "o.hub", "o.hub_class")
-        rest = C.stored(named.join(mixed, "bucket"), "rest")
-        new = rest.where((F.col("members") > PAIRWISE) & (F.col("class_id") != F.col("hub_class"))).select(*pair(F.col("node"), F.col("hub")))
-        if turn == 1:
-            small = rest.where(F.col("members") <= PAIRWISE).select("bucket", "node", "class_id")
+        left = C.stored(named.join(mixed, "bucket"), "rest")
+        rest = left.select("bucket", "node", "members", "crowd")
+        if turn <= HUB_ROUNDS:
+            new = left.where((F.col("members") > PAIRWISE) & (F.col("class_id") != F.col("hub_class"))).select(*pair(F.col("node"), F.col("hub")))
+        else:
+            small = left.where(F.col("members") <= PAIRWISE).select("bucket", "node", "class_id")
             other = small.select("bucket", F.col("node").alias("node2"), F.col("class_id").alias("class2"))
-            new = new.union(small.join(other, "bucket").where("node < node2 and class_id != class2").select(*pair(F.col("node"), F.col("node2"))))
+            new = small.join(other, "bucket").where("node < node2 and class_id != class2").select(*pair(F.col("node"), F.col("node2")))
+            large = left.where(F.col("members") > PAIRWISE).select("node", "class_id").distinct()
+            new = new.union(may_reach(large.join(sets, "node"), least))
         new = C.stored(new.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         found = C.stored(verified(new, sets, least), "links")
-        if found.isEmpty():
-            break
         tried = tried.union(new)
-        classes = joined_classes(classes, found)
+        if not found.isEmpty():
+            classes = joined_classes(classes, found)
 
     copies = texts.where("n > 1").select("key", "node")
     out = sigs.select("doc_id", "key").join(copies, "key", "left").select("doc_id", F.coalesce("node", "doc_id").alias("node"))

@@ -94,3 +94,40 @@ def test_signatures_estimate_weighted_similarity():
 def test_words_hash_alike_wherever_they_stand():
     a, b = minhash.word_hashes("  red green\tblue "), minhash.word_hashes("blue\nRED x")
     assert len(a) == 3 and a[2] == b[0] and a[0] == b[1]
+
+
+def edited(rng, base, places):
+    """The text with the words at the given places replaced by words of its own."""
+    w = list(base)
+    for at in places:
+        w[at] = "".join(rng.choices("klmnop", k=7))
+    return " ".join(w)
+
+
+def test_large_families_around_the_threshold(spark):
+    rng = random.Random(11)
+    base, spots = words(rng, 400), range(10, 390, 6)
+    texts = [edited(rng, base, rng.sample(spots, 6)) for _ in range(420)]  # mutually at about 0.74, so no hub is like many
+    for _ in range(12):  # pairs at 0.82 that share nothing the family does not share: all their buckets are large
+        places = rng.sample(spots, 8)
+        texts += [edited(rng, base, places[:6]), edited(rng, base, places[:4] + places[6:])]
+    base = words(rng, 300)  # copies unlike one another, each like the original
+    texts += [edited(rng, base, rng.sample(range(5, 290, 6), 6)) for _ in range(100)] + [" ".join(base)]
+    rng.shuffle(texts)
+    numbered = dict(enumerate(texts))
+    df = spark.createDataFrame([(i, t, 0, "x") for i, t in numbered.items()], SCHEMA)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicate_classes(df).collect()}
+    assert got == brute(numbered)
+
+
+def test_pairs_of_different_classes_are_all_found(spark):
+    rng = random.Random(2)
+    sets = []
+    for _ in range(12):
+        base = rng.sample(range(10**6), rng.randint(1, 60))
+        sets += [sorted({*rng.sample(base, rng.randint(len(base) * 3 // 4, len(base))), *rng.sample(range(10**6), rng.randint(0, len(base) // 8))}) for _ in range(25)]
+    rows = [(i, i % 4 if i % 3 else 1000 + i, s) for i, s in enumerate(sets) if s]
+    df = spark.createDataFrame(rows, "node long, class_id long, grams array<int>")
+    got = {(r.a, r.b) for r in minhash.may_reach(df, 0.8).collect()}
+    want = {(a, b) for a, ca, x in rows for b, cb, y in rows if a < b and ca != cb and len({*x} & {*y}) >= 0.8 * len({*x} | {*y})}
+    assert want and want <= got
