@@ -26,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a session without one (tests) gets its own."""
+    """The folder all executors share; a local session without one (tests) gets its own, a cluster has to name it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="evidentia-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -58,6 +60,17 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the rows no model may learn from: crc32(id as text) mod 4 is 2."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))

@@ -26,7 +26,7 @@ probability 3e-6, and of 0.85 with 2e-8.
 Defined cases: a null text counts as empty; equal texts always share a
 class, empty ones too; texts under five words have one shingle, all their
 words; words are compared in lower case; rows that share an id are one
-document; rows without an id have a null class; ties need no rule, as a class
+document, so their texts' classes are one; rows without an id have a null class; ties need no rule, as a class
 is named by its smallest id; extra columns are ignored; an empty table gives
 no rows.
 """
@@ -177,14 +177,14 @@ def signatures(docs: DataFrame, counted: bool = False) -> DataFrame:
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
-    """node, grams: sorted 32-bit shingle hashes."""
+    """node, tag, grams: sorted 32-bit shingle hashes; the tag tells texts of one id apart."""
 
     def run(batches):
         for batch in batches:
-            got = [np.unique((shingles(t)[0] >> _U(32)).astype(np.uint32)).view(np.int32) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.int32()))], ["node", "grams"])
+            got = [np.unique((shingles(t)[0] >> _U(32)).astype(np.uint32)).view(np.int32) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.list_(pa.int32()))], ["node", "tag", "grams"])
 
-    return rows.mapInArrow(run, "node long, grams array<int>")
+    return rows.mapInArrow(run, "node long, tag long, grams array<int>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -199,7 +199,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def may_reach(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of ``rows`` (node, class_id, grams) of different classes: all whose Jaccard index is ``least`` or more, and few others.
+    """Pairs (a, b) of ``rows`` (node, tag, class_id, grams) of different classes: all whose Jaccard index is ``least`` or more, and few others.
 
     Shingles are put in one order: those that occur in one class only, then the
     rarest first.  Of a pair that reaches ``least``, the smaller set of n lacks at
@@ -208,9 +208,9 @@ def may_reach(rows: DataFrame, least: float) -> DataFrame:
     and what follows it must still hold all that have to be common.
     """
     slack = 1e-6
-    grams = rows.select("node", "class_id", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    grams = rows.select("node", "tag", "class_id", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
     shared = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo != hi").select("gram", "n")
-    found = grams.join(shared, "gram").groupBy("node", "class_id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("found"))
+    found = grams.join(shared, "gram").groupBy("node", "tag", "class_id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("found"))
     own = F.col("size") - F.size("found")
     reach = lambda share: F.floor(F.col("size") - F.col("size") * share + slack) + 1
     short = F.greatest(reach(least) - own, F.lit(0)).cast("int")
@@ -258,37 +258,49 @@ def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY, counted: bool = False) -> DataFrame:
     """doc_id, class_id: a row for each row of ``docs`` (doc_id, text); a class is named by its smallest id."""
+    lost = docs.where(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))
+    return _classed(docs, least, counted).select("doc_id", "class_id").unionByName(lost)
+
+
+def _classed(docs: DataFrame, least: float, counted: bool = False) -> DataFrame:
+    """doc_id, key, class_id of each row with an id.
+
+    A node stands for a text, named by the smallest id that has it.  Texts that are
+    named alike belong to one id, hence to one class, and links of either tie it.
+    """
     sigs = C.stored(signatures(docs, counted), "signatures")
     first = F.min(F.struct("doc_id", "bands")).alias("first")
-    texts = C.stored(sigs.groupBy("key").agg(first, F.count("*").alias("n")).select("key", F.col("first.doc_id").alias("node"), F.col("first.bands").alias("bands"), "n"), "texts")
+    texts = C.stored(sigs.groupBy("key").agg(first).select("key", F.col("first.doc_id").alias("node"), F.col("first.bands").alias("bands")), "texts")
     in_bucket = texts.select("node", F.explode("bands").alias("bucket"))
     order = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("hub"))
     full = in_bucket.groupBy("bucket").agg(F.min(order).alias("o"), F.count("*").alias("members")).where("members > 1").select("bucket", "o.hub", "members")
-    members = C.stored(in_bucket.join(full, "bucket"), "members")
-    crowd = members.groupBy("node").agg(F.sum("members").alias("crowd"))
-    wanted = members.select("node").distinct().join(texts.select("node", "key"), "node")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", text_key(F.col("text")))
-    rows = rows.join(wanted.select(F.col("node").alias("doc_id"), "key"), ["doc_id", "key"]).select(F.col("doc_id").alias("node"), "text")
+    # one row a text with its shared buckets, at most one a band
+    mine = F.collect_list(F.struct("bucket", "members")).alias("buckets")
+    best = F.min_by("hub", F.struct(F.xxhash64("hub"), "hub")).alias("hub")
+    shared = C.stored(in_bucket.join(full, "bucket").groupBy("node").agg(mine, F.sum("members").alias("crowd"), best), "shared")
+    wanted = shared.select("node").join(texts.select("node", "key"), "node")
+    rows = docs.select(F.col("doc_id").cast("long").alias("node"), "text").withColumn("key", text_key(F.col("text")))
+    rows = rows.join(wanted, ["node", "key"]).select("node", F.xxhash64("key").alias("tag"), "text")
     sets = C.stored(shingle_sets(rows), "shingles")
 
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     # at first every text meets one hub, the one that comes first in the order of all: a large group finds its common hub
-    best = F.min_by("hub", F.struct(F.xxhash64("hub"), "hub")).alias("hub")
-    tried = C.stored(members.where("node != hub").groupBy("node").agg(best).select(*pair(F.col("node"), F.col("hub"))).distinct(), "pairs")
-    classes = components(verified(tried, sets, least))
-    rest = members.select("bucket", "node", "members").join(crowd, "node")
+    tried = C.stored(shared.where("node != hub").select(*pair(F.col("node"), F.col("hub"))).distinct(), "pairs")
+    classes = components(verified(tried, sets, least).union(_same_id(sigs, texts)))
+    rest = shared.drop("hub")
     for turn in range(1, HUB_ROUNDS + 2):
         # what is left: buckets with several classes
-        named = rest.join(classes, "node", "left").select("bucket", "node", "members", "crowd", F.coalesce("class_id", "node").alias("class_id"), F.col("class_id").isNull().alias("alone"))
+        named = rest.join(classes, "node", "left").withColumns({"class_id": F.coalesce("class_id", "node"), "alone": F.col("class_id").isNull()})
+        named = named.select("node", "crowd", "class_id", "alone", F.inline("buckets"))
         # first the member that stands in the fullest buckets, like an original among its edited copies; then one of a class of several: the few that are left meet it, not the many
         prefer = F.struct(-F.col("crowd"), F.xxhash64("node")) if turn == 1 else F.struct("alone", F.xxhash64("node", "bucket", F.lit(turn)))
         mixed = named.groupBy("bucket").agg(
             F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.min(F.struct(prefer, F.col("node").alias("hub"), F.col("class_id").alias("hub_class"))).alias("o")
         ).where("lo != hi").select("bucket", "o.hub", "o.hub_class")
         left = C.stored(named.join(mixed, "bucket"), "rest")
-        rest = left.select("bucket", "node", "members", "crowd")
         if turn <= HUB_ROUNDS:
             new = left.where((F.col("members") > PAIRWISE) & (F.col("class_id") != F.col("hub_class"))).select(*pair(F.col("node"), F.col("hub")))
+            rest = left.groupBy("node").agg(mine, F.max("crowd").alias("crowd"))
         else:
             small = left.where(F.col("members") <= PAIRWISE).select("bucket", "node", "class_id")
             other = small.select("bucket", F.col("node").alias("node2"), F.col("class_id").alias("class2"))
@@ -301,18 +313,30 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY, counted:
         if not found.isEmpty():
             classes = joined_classes(classes, found)
 
-    copies = texts.where("n > 1").select("key", "node")
-    out = sigs.select("doc_id", "key").join(copies, "key", "left").select("doc_id", F.coalesce("node", "doc_id").alias("node"))
-    out = out.join(classes, "node", "left").select("doc_id", F.coalesce("class_id", "node").alias("class_id"))
-    lost = docs.where(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))
-    return out.unionByName(lost)
+    out = sigs.select("doc_id", "key").join(texts.select("key", "node"), "key")
+    return out.join(classes, "node", "left").select("doc_id", "key", F.coalesce("class_id", "node").alias("class_id"))
+
+
+def _same_id(sigs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between the texts of rows that share an id."""
+    several = sigs.groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi")
+    at = several.join(sigs.select("doc_id", "key"), "doc_id").join(texts.select("key", "node"), "key")
+    one = at.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return at.join(one, "doc_id").where("a != node").select("a", F.col("node").alias("b")).distinct()
 
 
 def keep_one_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The document with the smallest id of each class, once; rows without an id stay."""
-    kept = near_duplicate_classes(docs, least).where("doc_id = class_id").select(F.col("doc_id").alias("__id")).distinct()
-    one = docs.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each class: of its smallest id, and of that id's texts the one whose digest comes first; rows without an id stay."""
+    key, kept_id, kept_key, n = C.spare(docs, "key", "kept_id", "kept_key", "n")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    kept = _classed(docs, least).where("doc_id = class_id").groupBy("doc_id", "key").agg(F.count("*").alias("n"))
+    kept = kept.groupBy("doc_id").agg(F.min(F.struct("key", "n")).alias("o")).select(F.col("doc_id").alias(kept_id), F.col("o.key").alias(kept_key), F.col("o.n").alias(n))
+    kept = C.stored(kept, "kept")
+    keyed = docs.where(F.col("doc_id").isNotNull()).withColumn(key, text_key(F.col("text")))
+    same = (F.col("doc_id") == F.col(kept_id)) & (F.col(key) == F.col(kept_key))
+    once = keyed.join(kept.where(F.col(n) == 1), same, "left_semi").select(*names)
+    repeated = keyed.join(kept.where(F.col(n) > 1), same, "left_semi").dropDuplicates(["doc_id"]).select(*names)
+    return once.unionByName(repeated).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

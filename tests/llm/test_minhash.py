@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from evidentia.llm import minhash
 
@@ -71,6 +72,23 @@ def test_one_of_each_class_stays(spark):
     assert sorted((r.doc_id or -1) for r in got.collect()) == [-1, 1, 2]
 
 
+def test_rows_that_share_an_id_are_one_document(spark):
+    a, b, c = ("red green blue black white grey", "one two three four five six", "sun moon star sky rain wind")
+    rows = [(1, b, 0, "x"), (5, a, 0, "x"), (5, b, 0, "x"), (7, c, 0, "x"), (7, a, 0, "y"), (9, c, 0, "x"), (20, c + " snow", 0, "x"), (8, "alone", 0, "x"), (8, "alone", 0, "y")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r.doc_id, r.class_id) for r in minhash.near_duplicate_classes(df).collect())
+    assert got == [(1, 1), (5, 1), (5, 1), (7, 1), (7, 1), (8, 8), (8, 8), (9, 1), (20, 20)]
+    kept = sorted((r.doc_id, r.text) for r in minhash.keep_one_each(df).collect())
+    assert kept == [(1, b), (8, "alone"), (20, c + " snow")]
+
+
+def test_columns_with_clashing_names(spark):
+    rows = [(1, "a b c d e f", 3, 4, 5, 6), (2, "a b c d e f", 3, 4, 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key int, kept_id int, n int, node int")
+    assert [r.class_id for r in minhash.near_duplicate_classes(df).collect()] == [1, 1]
+    assert [tuple(r) for r in minhash.keep_one_each(df).collect()] == [rows[0]]
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicate_classes(spark.createDataFrame([], SCHEMA)).count() == 0
 
@@ -127,7 +145,7 @@ def test_pairs_of_different_classes_are_all_found(spark):
         base = rng.sample(range(10**6), rng.randint(1, 60))
         sets += [sorted({*rng.sample(base, rng.randint(len(base) * 3 // 4, len(base))), *rng.sample(range(10**6), rng.randint(0, len(base) // 8))}) for _ in range(25)]
     rows = [(i, i % 4 if i % 3 else 1000 + i, s) for i, s in enumerate(sets) if s]
-    df = spark.createDataFrame(rows, "node long, class_id long, grams array<int>")
+    df = spark.createDataFrame(rows, "node long, class_id long, grams array<int>").withColumn("tag", F.xxhash64("node"))
     got = {(r.a, r.b) for r in minhash.may_reach(df, 0.8).collect()}
     want = {(a, b) for a, ca, x in rows for b, cb, y in rows if a < b and ca != cb and len({*x} & {*y}) >= 0.8 * len({*x} | {*y})}
     assert want and want <= got
