@@ -1,20 +1,35 @@
 """Main text of web pages by two passes of block rules.
 
 The page is cut into blocks at block-level tags.  The first pass decides
-blocks by what holds of them alone: the containers they stand in, their link
-density, their length and the share of stop words.  Short blocks stay
-undecided; the second pass gives them the label of the nearest decided
-neighbour, of the better one where both are equally near.
-
-Defined cases: null html counts as empty and gives empty text; mark-up that
-is cut off, not closed or not valid is read as far as it goes; repeated rows
-are read each; extra columns are ignored; an empty table gives no rows.
+blocks by what holds of them alone: their link density, their length and the
+share of stop words, and the elements they stand in, as navigation, footers,
+forms and the like are no text by definition.  Short blocks stay undecided;
+the second pass gives them the label of the nearest decided neighbour, of the
+better one where both are equally near.
+
+Words in a class or id (``HINTS``) are only a hint: they do not count on the
+page as a whole, on what holds an article or a main heading, behind a
+negation such as "no-sidebar", nor where nothing of the page would be left.
+Stop words are those listed, and the short words that run through many of the
+page's own blocks; where a page's language shows neither, length and links
+decide alone.
+
+Reading takes one pass over the characters: each is looked at a fixed number
+of times, whatever the mark-up.
+
+Defined cases: null html counts as empty and gives empty text; scripts,
+styles, titles and the like end at their own end tag only, or with the page; a
+tag or comment that never ends takes the rest of the page, as in browsers;
+elements left open end with the page; repeated rows are read each; extra
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -37,8 +52,10 @@ BLOCKS = frozenset(
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is never text of the page.
-RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|map|textarea|select|button|title"
+#: Elements whose content is no mark-up and no text of the page either.
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+#: Elements whose content is mark-up, but no text of the page.
+UNSEEN = frozenset("noscript template svg math object canvas audio video map select button datalist head".split())
 AROUND = frozenset("nav header footer aside form menu dialog search fieldset".split())
 ARTICLE = frozenset("article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -48,50 +65,95 @@ HINTS = frozenset(
     "comment comments commentlist reply replies respond disqus sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs toolbar share sharing "
     "social newsletter subscribe subscription signup login search related recommended widget popup modal overlay footer masthead pagination pager skip".split()
 )
-INNER_HINTS = frozenset("body content entry post text story article main".split())
-
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|(?=</?(?:body|article|main|p|div|h1)\b)|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s+(?:\"[^\"<>]*\"|'[^'<>]*'|[^>\"']|[\"'])*)?/?)>|<[!?][^>]*>|[^<]+|<",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Words beside a hint that say that the page, or the text itself, is meant.
+NO_HINTS = frozenset("no not without has have with hide hidden page layout wrapper container site body content entry post text story article main".split())
+#: Short words that stand in this many blocks of a page are stop words of it.
+RUNNING, RUNNING_CHARS = 3, 5
+
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+_ATTR = re.compile(r"""(?<![^\s"'/])(class|id|role|style|hidden|aria-hidden)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?+(?![^\s/])""", re.I)
+_HIDDEN = re.compile(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _PART = re.compile(r"[^a-z]+")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
+_HEADING = frozenset(f"h{i}" for i in range(1, 7))
 
 
 @dataclass
 class Block:
     text: str
     linked: int = 0  # characters inside links
-    around: bool = False  # in a container that stands around the article
+    around: bool = False  # in an element that stands around the article
+    hinted: bool = False  # in one that its class or id says so of
     article: bool = False  # in an article or main element
-    heading: bool = False
     label: str = field(default="")
 
 
-def _is_around(tag: str, attrs: str) -> bool:
-    if tag in AROUND:
-        return True
-    for name, value in _ATTR.findall(attrs) if attrs.strip() else ():
+@dataclass
+class Open:
+    """An open element."""
+
+    tag: str
+    around: bool = False
+    hint: list[bool] | None = None  # of the innermost hinted element from here outward; shared with the blocks inside, as it may be taken back
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, rest): kind is text, open or close; rest is the text or the attributes."""
+    at, n = 0, len(page)
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
+            yield "text", "", page[at:]
+            return
+        if lt > at:
+            yield "text", "", page[at:lt]
+        if m := _TAG.match(page, lt):
+            tag, at = m[2].lower(), m.end()
+            yield ("close" if m[1] else "open"), tag, m[3]
+            if tag in RAW and not m[1]:
+                end = _RAW_END[tag].search(page, at)
+                if end is None:
+                    return
+                at = end.start()
+        elif page.startswith("<!--", lt):
+            end = page.find("-->", lt + 2)
+            if end < 0:
+                return
+            at = end + 3
+        elif page[lt + 1 : lt + 2] in ("!", "?", "/") or page[lt + 1 : lt + 2].isalpha() and page[lt + 1].isascii():
+            end = page.find(">", lt) if page[lt + 1] in "!?/" and not page[lt + 2 : lt + 3].isalpha() or page[lt + 1] in "!?" else -1
+            if end < 0:
+                return
+            at = end + 1
+        else:
+            yield "text", "", "<"
+            at = lt + 1
+
+
+def _says(tag: str, attrs: str) -> tuple[bool, bool]:
+    """Whether an element stands around the article for certain, and whether its class or id hints at it."""
+    around, hint = tag in AROUND, False
+    for name, value in _ATTR.findall(attrs) if attrs else ():
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
-            return True
-        if name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id"):
+            around = True
+        elif name == "role":
+            around |= value in ROLES
+        elif name in ("class", "id"):
             for one in value.split():
                 parts = set(_PART.split(one))
-                if parts & HINTS and not (parts & INNER_HINTS and tag in ARTICLE):
-                    return True
-    return False
+                hint |= bool(parts & HINTS) and not parts & NO_HINTS
+    return around, hint and tag not in ("html", "body") and tag not in ARTICLE
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks with text, in order; references are decoded, white space is single."""
-    out: list[Block] = []
-    open_: list[tuple[str, bool]] = []  # tag, stands around
+    out: list[tuple[Block, list[bool] | None]] = []
+    open_: list[Open] = []
+    cleared = 0  # so many of the open elements, from the outermost on, have had their hints taken back
+    held: Counter[str] = Counter()  # how many of a tag are open
+    unseen = around = 0  # open elements that are not shown, that stand around
     text: list[str] = []
     linked = 0
 
@@ -99,22 +161,27 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked
         got = " ".join("".join(text).split())
         if got:
-            tags = [t for t, _ in open_]
-            out.append(Block(got, linked, any(a for _, a in open_), any(t in ARTICLE for t in tags), any(re.fullmatch("h[1-6]", t) for t in tags)))
+            # elements open at one time lose their hints together, so the innermost one speaks for all
+            out.append((Block(got, linked, around > 0, False, bool(held["article"] + held["main"])), open_[-1].hint if open_ else None))
         text.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
-        tag = (m[3] or "").lower()
-        if not tag:
-            whole = m[0]
-            if m[1] or whole[:4] == "<!--" or whole[0] == "<" and len(whole) > 1:
-                if m[1]:
-                    text.append(" ")
+    def pop() -> Open:
+        nonlocal unseen, around, cleared
+        e = open_.pop()
+        cleared = min(cleared, len(open_))
+        held[e.tag] -= 1
+        unseen -= e.tag in UNSEEN or e.tag in RAW
+        around -= e.around
+        return e
+
+    for kind, tag, rest in tokens(page):
+        if kind == "text":
+            if unseen:
                 continue
-            piece = entities.unescape(whole)
+            piece = entities.unescape(rest) if "&" in rest else rest
             text.append(piece)
-            if any(t == "a" for t, _ in open_):
+            if held["a"]:
                 linked += len("".join(piece.split()))
             continue
         if tag == "br":
@@ -122,39 +189,67 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in BLOCKS:
             end()
-        if m[2]:
-            if any(t == tag for t, _ in open_):
-                while open_.pop()[0] != tag:
+        if kind == "close":
+            if held[tag]:
+                while pop().tag != tag:
                     pass
-        elif tag not in VOID and not m[4].endswith("/"):
+        elif tag not in VOID and not (rest.endswith("/") and tag not in BLOCKS and tag not in RAW):
             if tag in BLOCKS:
-                while open_ and open_[-1][0] not in BLOCKS:  # inline elements end with their block
-                    open_.pop()
-            if tag in ("p", "li", "dt", "dd", "option", "td", "th", "tr") and open_ and open_[-1][0] == tag:
-                open_.pop()
-            elif tag in BLOCKS and open_ and open_[-1][0] == "p":
-                open_.pop()
-            if tag in ARTICLE and any(a for _, a in open_):
-                while open_ and any(a for _, a in open_):  # an article ends what was left open before it
-                    open_.pop()
-            open_.append((tag, _is_around(tag, m[4] or "")))
+                while open_ and open_[-1].tag not in BLOCKS and open_[-1].tag not in UNSEEN:  # inline elements end with their block
+                    pop()
+            if tag in ("p", "li", "dt", "dd", "option", "td", "th", "tr") and open_ and open_[-1].tag == tag:
+                pop()
+            elif tag in BLOCKS and open_ and open_[-1].tag == "p":
+                pop()
+            if tag == "body":
+                while held["head"]:
+                    pop()
+            if tag in ARTICLE:
+                while around and not unseen:  # an article ends what was left open before it
+                    pop()
+            if tag in ARTICLE or tag == "h1":
+                for e in open_[cleared:]:  # what holds an article or the main heading does not stand around it
+                    if e.hint:
+                        e.hint[0] = False
+                cleared = len(open_)
+            says = _says(tag, rest)
+            open_.append(Open(tag, says[0], [True] if says[1] else open_[-1].hint if open_ else None))
+            held[tag] += 1
+            unseen += tag in UNSEEN or tag in RAW
+            around += says[0]
     end()
-    return out
+    for b, hint in out:
+        b.hinted = bool(hint and hint[0])
+    return [b for b, _ in out]
+
 
+def _stop_share(b: Block, stops: frozenset[str]) -> float:
+    ws = _WORD.findall(b.text.lower())
+    return sum(w in stops for w in ws) / max(1, len(ws))
 
-def first_pass(b: Block) -> str:
-    """good, bad, or an empty string for undecided."""
+
+def own_stop_words(blocks: list[Block]) -> frozenset[str]:
+    """The short words that run through the page's longer blocks."""
+    seen = Counter(w for b in blocks if len(b.text) >= SHORT for w in {x for x in _WORD.findall(b.text.lower()) if len(x) <= RUNNING_CHARS})
+    return frozenset(w for w, n in seen.items() if n >= RUNNING)
+
+
+def first_pass(b: Block, stops: frozenset[str] = STOP_WORDS, known: bool = True, hints: bool = True) -> str:
+    """good, bad, or an empty string for undecided; ``known`` says that the stop words are of the page's language."""
     solid = len("".join(b.text.split()))
     links = b.linked / max(1, solid)
-    if b.around or links > MOST_LINKS or "©" in b.text and len(b.text) < 300:
+    if b.around or hints and b.hinted or links > MOST_LINKS:
         return "bad"
-    ws = _WORD.findall(b.text.lower())
-    stops = sum(w in STOP_WORDS for w in ws) / max(1, len(ws))
+    share = _stop_share(b, stops)
     if b.article:
-        return "" if len(b.text) < SHORT and stops < MANY_STOPS else "good"
+        return "" if len(b.text) < SHORT and share < MANY_STOPS else "good"
+    if len(b.text) < 2 * SHORT and b.text.lstrip("(").startswith(("©", "Copyright")):
+        return "bad"
     if len(b.text) < SHORT:
         return ""
-    return "good" if stops >= MANY_STOPS else "" if stops >= FEW_STOPS else "bad"
+    if not known:
+        return "good"
+    return "good" if share >= MANY_STOPS else "" if share >= FEW_STOPS else "bad"
 
 
 def _nearest(decided: list[tuple[int, str]], n: int) -> list[tuple[float, bool]]:
@@ -177,7 +272,11 @@ def classify(blocks: list[Block]) -> list[Block]:
 
     Neighbours in the same part of the page (the article, or outside it) come before others.
     """
-    first = [first_pass(b) for b in blocks]
+    stops = STOP_WORDS | own_stop_words(blocks)
+    known = any(_stop_share(b, stops) >= FEW_STOPS for b in blocks if len(b.text) >= SHORT and not b.around)
+    first = [first_pass(b, stops, known) for b in blocks]
+    if "good" not in first and not any(b.article for b in blocks):
+        first = [first_pass(b, stops, known, hints=False) for b in blocks]
     n = len(blocks)
     every = _nearest([(i, x) for i, x in enumerate(first) if x], n)
     part = {a: _nearest([(i, x) for i, x in enumerate(first) if x and blocks[i].article == a], n) for a in (True, False)}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 import zlib
 
 import numpy as np
+import pytest
 
 from evidentia.llm import html_text, language, toxicity
 
@@ -114,6 +116,39 @@ def test_pages_without_an_article_element():
     assert html_text.main_text("") == html_text.main_text(None) == ""
 
 
+def test_markup_is_read_as_browsers_do():
+    read = html_text.main_text
+    assert read(f'<article><p>{LONG}</p><script>document.write("<p>boo the of and</p>")</script><p>{LONG}</p>') == f"{LONG}\n{LONG}"
+    assert read(f'<article><p>{LONG} <img alt="a > b" src=x> y</p></article>') == f"{LONG} y"
+    assert read(f"<p>a < b and 1<2 {LONG}</p>") == f"a < b and 1<2 {LONG}"
+    assert read(f"<p>{LONG}</p><p>{LONG}<a hre") == f"{LONG}\n{LONG}"
+    assert read(f"<head><title>t</title><body><p>{LONG}<svg><text>z</text></svg> q</p>") == f"{LONG} q"
+
+
+def test_hints_do_not_lose_a_page():
+    read = html_text.main_text
+    assert read(f'<body class="has-sidebar"><p>{LONG}</p></body>') == LONG
+    assert read(f'<div class="no-sidebar"><p>{LONG}</p></div>') == LONG
+    assert read(f'<div class="sidebar-first"><h1>The head of it</h1><p>{LONG}</p></div>') == f"The head of it\n{LONG}"
+    assert read(f'<div class="sidebar"><p>{LONG}</p></div><p>{LONG}</p>') == LONG
+    assert read(f'<article><h1>The T</h1><p>{LONG}</p></article><section class="comments"><p>{LONG}</p><p>{LONG}</p></section>') == f"The T\n{LONG}"
+    assert read(f"<article><p>The firm &copy; {LONG}</p></article>") == f"The firm © {LONG}"
+
+
+def test_pages_in_other_languages():
+    polish = "Wczoraj rano na rynku w Krakowie spotkali się mieszkańcy, którzy chcą w tym roku na nowo urządzić park."
+    assert html_text.main_text(f"<ul><li><a href=x>Start</a></ul><div><p>{polish}</p><p>{polish} {polish}</p></div>") == f"{polish}\n{polish} {polish}"
+
+
+@pytest.mark.parametrize(
+    "page", ["<a " + '"" ' * 300_000, "<a b " * 200_000, "<a x=" + "'\"'\"" * 200_000, "<div>" * 100_000 + "x", "<div class=ad>x" * 50_000, "<div><article>x" * 30_000, "<!--" * 200_000, "<script>" * 100_000]
+)
+def test_malformed_megabytes_take_linear_time(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 10
+
+
 def test_extraction_keeps_every_row(spark):
     df = spark.createDataFrame([(1, "u", None, 3), (1, "u", None, 3), (2, None, f"<article>{LONG}\n x", 4)], "page_id long, url string, html string, text int")
     rows = sorted(map(tuple, html_text.extract_pages(df).collect()))
