@@ -4,7 +4,9 @@ The vocabulary's own pre-tokeniser never lets a token cross white space or
 a change between letters, digits and other signs, so the ids of a word do
 not depend on its neighbours.  Encoding a corpus therefore comes down to
 encoding each distinct word once; repeats are dictionary lookups.  Texts
-with characters outside the ranges checked below go to the library whole.
+with characters outside the ranges checked below, with letters whose lower
+case lies outside them, or with one of the vocabulary's control strings go to
+the library whole.
 """
 
 from __future__ import annotations
@@ -17,7 +19,10 @@ import numpy as np
 
 #: Characters for which lower-casing, composition and the letter/digit split are done here.
 PLAIN = "\x09-\x0d\x20-\x7e\xa1-ɏ‐-‧‰-⁞€"
-_OTHER = re.compile(f"[^{PLAIN}]")
+_OUTSIDE = f"[^{PLAIN}]"
+#: Characters of those ranges whose lower case is not one character of them.
+_LEAVING = frozenset(c for c in map(chr, range(0xA1, 0x250)) if len(c.lower()) != 1 or re.search(_OUTSIDE, c.lower()))
+_OTHER = re.compile("[^\x09-\x0d\x20-\x7e‐-‧‰-⁞€" + "".join(c for c in map(chr, range(0xA1, 0x250)) if c not in _LEAVING) + "]")
 _LETTER, _DIGIT = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: The vocabulary's split rule for lower-cased text in those ranges.
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\\s{_LETTER}{_DIGIT}]+")
@@ -44,6 +49,7 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
+        self.control = [t["content"] for t in spec["added_tokens"]]  # found as they are written, before any normalising
         spec |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
         self.words = Tokenizer.from_str(json.dumps(spec))
         self.cache_size = cache_size
@@ -77,7 +83,7 @@ class WordEncoder:
 
     def _chunks_of(self, text: str) -> list[str] | None:
         """The lower-cased chunks, or None where the library has to take the text whole."""
-        if _OTHER.search(text) or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
+        if _OTHER.search(text) or any(c in text for c in self.control) or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
             return None
         return text.lower().split()
 

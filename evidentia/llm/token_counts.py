@@ -7,7 +7,9 @@ and each token is counted for exactly one section:
 ``majority``  the section that holds most of its characters, the earlier on a tie;
 ``first``     the section that holds its first character.
 
-Characters that no section covers form section -1.
+Characters that no section covers form section -1.  The query's sections are
+lines, those of more than SECTION characters cut into parts of that many, so
+that tokens do cross their boundaries.
 
 Defined cases: a null or empty text has one empty section with no tokens;
 repeated rows are counted each; an empty table gives no rows; extra columns
@@ -26,6 +28,8 @@ from . import _common as C
 from .encoder import encoder
 
 RULES = ("majority", "first")
+#: Characters of a section at most.
+SECTION = 200
 COUNTS = "doc_id long, section int, start long, stop long, n_tokens long, doc_tokens long"
 
 
@@ -37,6 +41,15 @@ def line_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], stops[:-1]]).astype(np.int64), stops.astype(np.int64)
 
 
+def part_spans(text: str, size: int = SECTION) -> tuple[np.ndarray, np.ndarray]:
+    """Lines as sections, longer ones cut into parts of ``size`` characters, wherever that falls."""
+    lo, hi = line_spans(text)
+    n = np.maximum(1, -(-(hi - lo) // size))
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    starts = np.repeat(lo, n) + nth * size
+    return starts, np.minimum(starts + size, np.repeat(hi, n))
+
+
 def attribute(starts: np.ndarray, ends: np.ndarray, lo: np.ndarray, hi: np.ndarray, rule: str = "majority") -> np.ndarray:
     """The section (index into sorted, disjoint [lo, hi)) of each token, -1 for none."""
 
@@ -48,12 +61,16 @@ def attribute(starts: np.ndarray, ends: np.ndarray, lo: np.ndarray, hi: np.ndarr
     if rule == "first":
         return owner
     crossing = np.flatnonzero((owner != holding(ends - 1)) | (owner == -1))
-    for t in crossing.tolist():
-        a, b = int(starts[t]), int(ends[t])
-        share: dict[int, int] = {}
-        for k in holding(np.arange(a, b)).tolist():  # in text order, so the earlier section wins a tie
-            share[k] = share.get(k, 0) + 1
-        owner[t] = max(share, key=share.__getitem__)
+    if not len(crossing):
+        return owner
+    size = ends[crossing] - starts[crossing]
+    token = np.repeat(np.arange(len(crossing)), size)
+    part = holding(np.repeat(starts[crossing], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
+    _, first, chars = np.unique(token * (len(lo) + 1) + part + 1, return_index=True, return_counts=True)
+    token, part = token[first], part[first]
+    order = np.lexsort((first, -chars, token))  # of each token the section with most characters, the earlier on a tie
+    best = order[np.flatnonzero(np.diff(token[order], prepend=-1))]
+    owner[crossing[token[best]]] = part[best]
     return owner
 
 
@@ -92,10 +109,10 @@ def count_by_section(docs: DataFrame, tokenizer: str, sections=line_spans, rule:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every line of every document."""
+    """Tokens of every line, or part of a long line, of every document."""
     import public_tokenizers
 
-    return count_by_section(C.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return count_by_section(C.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), part_spans)
 
 
 QUERIES = {"op9_token_counts": op9_token_counts}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+import re
 import zlib
 
 import numpy as np
@@ -15,6 +17,7 @@ from evidentia.llm.encoder import WordEncoder
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
     "", "  ", "it's we'll Éa ½x² a_b--c", "naïve — “quoted” …", "日本語 text", "é combined", "ΣΑΣ x", "a\xa0b\x1cc", "ǅ Ǆ ß İ", "x​y\n\n\tz'S 'RE", "😀a🙂",
+    "a <|endoftext|> b", "<|startoftext|>x", "<|ENDOFTEXT|>", "Ɛ!", "NƆ9 x", "Ɓa Ⱥ",
     "The quick brown fox, the lazy dog.\nA second line!\n", "word " * 3000,
 ]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra int"
@@ -39,6 +42,17 @@ def test_same_ids_and_offsets_as_the_library(library):
         assert list(zip(starts.tolist(), ends.tolist())) == [tuple(o) for o in want.offsets]
 
 
+def test_random_strings_agree_with_the_library(library):
+    rng, own = random.Random(1), WordEncoder(PATH)
+    pool = [*map(chr, range(0x20, 0x260)), *"abcdeABC   '.,\n" * 20]
+    for _ in range(4000):
+        text = "".join(rng.choice(pool) for _ in range(rng.randint(0, 30))) + rng.choice(["", "", "<|endoftext|>", "'LL", "é", "日本"]) + rng.choice(["", " x"])
+        want = library.encode(text, add_special_tokens=False)
+        ids = own.ids_of([text])[0]
+        assert np.frombuffer(ids, "<u4").tolist() == want.ids, text
+        assert list(zip(*(x.tolist() for x in own.offsets(text, ids)))) == [tuple(o) for o in want.offsets], text
+
+
 def test_packing_is_a_round_trip(spark, library):
     texts = [*TEXTS, None, "word " * 3000]
     rows = packing.pack_documents(frame(spark, texts), PATH, size=256, open_windows=3).collect()
@@ -83,6 +97,26 @@ def test_counts_by_line_add_up(spark, library):
             assert r.n_tokens == sum(r.start <= a < r.stop for a, _ in want.offsets)
 
 
+def test_the_query_cuts_tokens_and_gives_them_by_majority(spark, library, tmp_path):
+    rng = random.Random(4)
+    texts = [*TEXTS, None, " ".join("".join(rng.choices("abcdefghij", k=rng.randint(1, 30))) for _ in range(400)), "ab\n" * 3 + "x" * 1001 + "\n"]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.section): (r.start, r.stop, r.n_tokens) for r in token_counts.op9_token_counts(spark, str(tmp_path)).collect()}
+    want, crossed = {}, 0
+    for doc, text in enumerate(texts):
+        spans, at = [], 0
+        for line in re.findall(r"[^\n]*\n|[^\n]+$", text or "") or [""]:
+            spans += [(at + i, min(at + i + token_counts.SECTION, at + len(line))) for i in range(0, max(1, len(line)), token_counts.SECTION)]
+            at += len(line)
+        n = [0] * len(spans)
+        for a, b in library.encode(text or "", add_special_tokens=False).offsets:
+            held = [max(0, min(b, hi) - max(a, lo)) for lo, hi in spans]
+            crossed += sum(x > 0 for x in held) > 1
+            n[held.index(max(held))] += 1
+        want |= {(doc, k): (*s, c) for k, (s, c) in enumerate(zip(spans, n))}
+    assert crossed > 10 and got == want
+
+
 def test_crossing_tokens_follow_the_rule():
     starts, ends = np.array([0, 3, 8, 20]), np.array([3, 8, 12, 22])
     lo, hi = np.array([0, 5, 10]), np.array([5, 10, 14])
