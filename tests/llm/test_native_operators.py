@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
+import re
 import struct
 from collections import defaultdict
 
@@ -19,26 +21,24 @@ DOCS = "doc_id long, text string, source string, size int, cell int"
 def chain(*values):
     seed = 42
     for v in values:
-        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<q", v), seed=seed)
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v if isinstance(v, bytes) else struct.pack("<q", v), seed=seed)
     return seed - (1 << 64) if seed >> 63 else seed
 
 
-def brute_sketch(text: str) -> list[int]:
-    import re
-
-    units = list(text) if len(text) < fingerprints.SHORT else re.split("[ \n\t]+", text)
+def brute_marks(text: str) -> set[int]:
+    units = re.findall(r"[\u0e00-\U0010ffff]|[^\s\u0e00-\U0010ffff]{1,4}", text, re.A)
     h = [chain(u) for u in units]
     g = [chain(h[i], h[i + 1]) for i in range(len(h) - 1)]
-    found = [chain(g[i], g[i + 2], h[i + 4]) for i in range(len(h) - 4) if min(g[i], g[i + 3]) <= min(g[i + 1], g[i + 2])] if len(h) >= 5 else [chain(text)]
-    return sorted({x >> 32 for x in found})[: fingerprints.SKETCH]
+    found = [(i, chain(g[i], g[i + 2], h[i + 4])) for i in range(len(h) - 4) if min(g[i], g[i + 3]) <= min(g[i + 1], g[i + 2])] or [(0, chain(text))]
+    gaps = [struct.pack("<i", b[0] - a[0]) for a, b in zip(found, found[1:])]
+    return {x >> 32 for x in [*(chain(x, gap) for (_, x), gap in zip(found, gaps)), chain(found[-1][1])]}
 
 
 def likeness(a, b):
-    low = sorted({*a, *b})[: fingerprints.SKETCH]
-    return len([x for x in low if x in a and x in b]) / max(1, len(low))
+    return len(a & b) / len(a | b)
 
 
-TEXTS = ["", None, "ab", "short text, in characters 😀", "w1 w2\nw3 " * 60 + "end", " ".join(f"word{i}" for i in range(700)), " ".join(f"word{i}" for i in range(700)), "ab"]
+TEXTS = ["", None, "ab", "short text, in characters 😀", "w1 w2\nw3 " * 60 + "end", " ".join(f"word{i}" for i in range(700)), " ".join(f"word{i}" for i in range(700)), "ab", "日本語の文章" * 40, "x" * 5]
 
 
 def test_fingerprints_against_brute_force(spark, tmp_path):
@@ -48,12 +48,12 @@ def test_fingerprints_against_brute_force(spark, tmp_path):
     ids = sorted(got, reverse=True)
     text = {i * 7: t or "" for i, t in enumerate(TEXTS)}
     assert set(got) == set(text)
-    hexed = lambda s: "".join(f"{x & 0xFFFFFFFF:08x}" for x in s)
+    hexed = lambda s: "".join(f"{x & 0xFFFFFFFF:08x}" for x in sorted(s)[: fingerprints.SKETCH])
     for k, i in enumerate(ids):
         t, nxt = text[i], text[ids[(k + 1) % len(ids)]]
         cut = len(t) // 3
         edited = t[: len(t) - cut] + nxt[:cut]
-        a, b, c = map(brute_sketch, (t, edited, nxt))
+        a, b, c = map(brute_marks, (t, edited, nxt))
         r = got[i]
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert (r.fingerprint, r.edited_fingerprint) == (hexed(a), hexed(b))
@@ -61,9 +61,34 @@ def test_fingerprints_against_brute_force(spark, tmp_path):
     assert got[35].fingerprint == got[42].fingerprint
 
 
+def test_likeness_does_not_hang_on_length_or_script(spark, tmp_path):
+    rng = random.Random(3)
+    prose = " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(400))
+    signs = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(3000))
+    blob = "".join(rng.choices("abcdefghij", k=3000))
+    texts = {10: prose[:450], 9: "eight ch", 8: signs, 7: "x", 6: blob, 5: "", 4: prose[:405], 3: prose[:395], 2: prose[:80], 1: "end"}
+    spark.createDataFrame([(i, t, "s", 1, 2) for i, t in texts.items()], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in fingerprints.op6_fingerprints(spark, str(tmp_path)).collect()}
+    for i in (10, 8, 6, 4, 2):
+        assert 0.3 < got[i].near_edited < 0.75, (i, got[i].near_edited)
+    assert got[4].near_next > 0.9 and got[10].near_next == 0
+
+
+def test_the_next_row_over_cells(spark):
+    ids = [None, None, *range(-40, 300, 7), 5, 5, 5, *[100] * 60, 10**15]
+    df = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    for frame in (df, df.where("doc_id is not null"), df.where("doc_id is null"), df.limit(1)):
+        rows = fingerprints.with_next(frame, ["text", "doc_id"], per_cell=5).collect()
+        order = sorted(rows, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), chain(r.text)))
+        assert [(r.next_doc_id, r.next_text) for r in order] == [(r.doc_id, r.text) for r in order[1:] + order[:1]]
+    cuts = list(range(0, 2000, 3))
+    got = spark.range(-5, 2010).select("id", fingerprints._cell_of(F.col("id"), cuts, fan=16).alias("c")).collect()
+    assert all(r.c == sum(c < r.id for c in cuts) for r in got if r.id <= cuts[-1])
+
+
 def test_anchors_are_found_again_at_the_same_distance(spark):
-    passage = " ".join(f"p{i}" for i in range(80))
-    df = spark.createDataFrame([(" ".join(f"x{i}" for i in range(50)) + " " + passage, passage + " " + " ".join(f"y{i}" for i in range(60)))], "a string, b string")
+    passage = " ".join(f"p{i:02}" for i in range(80))
+    df = spark.createDataFrame([(" ".join(f"x{i:02}" for i in range(50)) + " " + passage, passage + " " + " ".join(f"y{i:02}" for i in range(60)))], "a string, b string")
     df = fingerprints.with_anchors(fingerprints.with_anchors(df, "a", "aa"), "b", "bb")
     n = df.select(fingerprints.aligned(F.col("aa"), F.col("bb"), F.lit(-50)), fingerprints.aligned(F.col("aa"), F.col("bb"), F.lit(-49))).first()
     assert n[0] > 25 and n[1] == 0
