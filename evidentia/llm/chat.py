@@ -1,9 +1,11 @@
 """Chat formatting by schema fingerprint, in DataFrame functions only.
 
-A record's nested field paths are hashed to a fingerprint; each known
-fingerprint selects a declarative mapping to canonical turns (role, text).
-Tables of turn rows are fingerprinted once by their schema, JSON payloads
-row by row.  The template writes
+A record's nested field paths, of those that any layout knows, are hashed to a
+fingerprint; each known fingerprint selects a declarative mapping to canonical
+turns (role, text).  Paths that no layout knows do not count, so further keys
+change nothing; where paths of several layouts meet, the first layout all of
+whose paths are there is taken.  Tables of turn rows are fingerprinted once by
+their schema, JSON payloads row by row.  The template writes
 
     <|im_start|>ROLE \\n TEXT <|im_end|> \\n
 
@@ -13,12 +15,14 @@ taking one backslash off every escaped character restores the text.
 
 Defined cases: a null text or role counts as empty; turns are ordered by
 turn, role, text, nulls first, and repeated rows are turns of their own; a
-payload of unknown fingerprint, or none, gives null turns; extra columns are
-ignored; a conversation without rows does not exist.
+payload of unknown fingerprint, or none, gives null turns, one with an empty
+list of messages none; extra columns are ignored; a conversation without rows does not exist.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,10 +51,10 @@ def schema_paths(schema: T.DataType, at: str = "") -> list[str]:
     return [at]
 
 
-def payload_fingerprint(value: Column) -> Column:
-    """Hash of the field paths of a variant; the types at the leaves do not count."""
-    paths = F.regexp_replace(F.schema_of_variant(value), r"(?<=[:<] ?)(STRING|VOID|BIGINT|BOOLEAN|DOUBLE|DECIMAL\(\d+,\d+\))", "?")
-    return F.xxhash64(paths)
+def fingerprint(paths) -> int:
+    """Hash of a set of paths; the types at the leaves do not count."""
+    digest = hashlib.sha256("\n".join(sorted(set(paths))).encode()).digest()
+    return int.from_bytes(digest[:8], "big", signed=True)
 
 
 def _messages(path: str, role: str, text: str):
@@ -75,26 +79,50 @@ def _pair(ask: tuple[str, ...], answer: str, system: str | None = None):
     return turns
 
 
-#: An example of each layout, whose fingerprint selects the mapping.
+#: The paths of each layout and the mapping that their fingerprint selects.
 LAYOUTS = (
-    ('{"messages":[{"role":"","content":""}]}', _messages("$.messages", "role", "content")),
-    ('{"conversations":[{"from":"","value":""}]}', _messages("$.conversations", "from", "value")),
-    ('{"turns":[{"speaker":"","text":""}]}', _messages("$.turns", "speaker", "text")),
-    ('{"instruction":"","output":""}', _pair(("instruction",), "output")),
-    ('{"instruction":"","input":"","output":""}', _pair(("instruction", "input"), "output")),
-    ('{"prompt":"","completion":""}', _pair(("prompt",), "completion")),
-    ('{"prompt":"","response":""}', _pair(("prompt",), "response")),
-    ('{"system_prompt":"","question":"","response":""}', _pair(("question",), "response", "system_prompt")),
+    (("messages[].role", "messages[].content"), _messages("$.messages", "role", "content")),
+    (("conversations[].from", "conversations[].value"), _messages("$.conversations", "from", "value")),
+    (("turns[].speaker", "turns[].text"), _messages("$.turns", "speaker", "text")),
+    (("instruction", "input", "output"), _pair(("instruction", "input"), "output")),
+    (("instruction", "output"), _pair(("instruction",), "output")),
+    (("prompt", "completion"), _pair(("prompt",), "completion")),
+    (("system_prompt", "question", "response"), _pair(("question",), "response", "system_prompt")),
+    (("prompt", "response"), _pair(("prompt",), "response")),
 )
 
 
+def _hashed(paths: Column) -> Column:
+    """``fingerprint`` of a column of path arrays."""
+    return F.conv(F.substring(F.sha2(F.encode(F.array_join(F.array_sort(F.array_distinct(paths)), "\n"), "UTF-8"), 256), 1, 16), 16, -10).cast("long")
+
+
+def payload_paths(payload: Column, layouts=LAYOUTS) -> Column:
+    """The paths of a JSON record that any layout knows; a list stands for its first element, an empty one for itself."""
+    known = sorted({p for paths, _ in layouts for p in paths})
+    lists = sorted({p.split("[].")[0] for p in known if "[]." in p})
+    keys = F.json_object_keys(payload)
+    parts = [F.filter(keys, lambda k: k.isin([p for p in known if "[]" not in p]))]
+    for name in lists:
+        inner = F.json_object_keys(F.get_json_object(payload, f"$.{name}[0]"))
+        own = F.filter(F.transform(inner, lambda k: F.concat(F.lit(f"{name}[]."), k)), lambda p: p.isin(known))
+        empty = F.get_json_object(payload, f"$.{name}") == "[]"
+        parts.append(F.coalesce(own, F.when(empty, F.array(F.lit(f"{name}[]")))))
+    nothing = F.array().cast("array<string>")
+    return F.concat(*[F.coalesce(p, nothing) for p in parts])
+
+
 def turns_of_payload(payload: Column, layouts=LAYOUTS) -> Column:
     """Canonical turns of a JSON record, by the mapping its fingerprint selects."""
     v = F.try_parse_json(payload)
-    fp = payload_fingerprint(v)
+    paths = payload_paths(payload, layouts)
+    fp = _hashed(paths)
     out = F.lit(None).cast(TURNS)
-    for example, mapping in layouts:
-        out = F.when(fp == payload_fingerprint(F.parse_json(F.lit(example))), mapping(v).cast(TURNS)).otherwise(out)
+    for own, mapping in reversed(layouts):  # where paths of several meet: the first that is there whole
+        out = F.when(F.size(F.array_except(F.array(*map(F.lit, own)), paths)) == 0, mapping(v).cast(TURNS)).otherwise(out)
+    for own, mapping in layouts:
+        keys = [fingerprint(own)] + [fingerprint([own[0].split(".")[0]])] * ("[]." in own[0])
+        out = F.when(fp.isin(keys), mapping(v).cast(TURNS)).otherwise(out)
     return out
 
 
@@ -102,21 +130,14 @@ def turns_of_payload(payload: Column, layouts=LAYOUTS) -> Column:
 ROW_LAYOUTS = (("conv_id", "turn", "role", "text"), ("conversation_id", "index", "from", "value"), ("dialog_id", "position", "speaker", "utterance"))
 
 
-def _paths_hash(paths) -> int:
-    import hashlib
-
-    return int.from_bytes(hashlib.sha256("\n".join(sorted(paths)).encode()).digest()[:8], "big")
-
-
-def canonical_rows(df: DataFrame) -> DataFrame:
-    """Turn rows under the names conv_id, turn, role, text; columns beyond those of a layout are left out."""
-    for cols in ROW_LAYOUTS:
-        if all(c in df.columns for c in cols):
-            known = {_paths_hash(x): x for x in ROW_LAYOUTS}
-            picked = df.select(*[F.col(f"`{c}`") for c in cols])
-            conv, turn, role, text = known[_paths_hash(schema_paths(picked.schema))]
-            return df.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    raise ValueError(f"no mapping for a table with the paths {schema_paths(df.schema)}")
+def canonical_rows(df: DataFrame, layouts=ROW_LAYOUTS) -> DataFrame:
+    """Turn rows under the names conv_id, turn, role, text, by the mapping that the fingerprint of the table's own paths selects."""
+    paths = schema_paths(df.schema)
+    known = [p for p in paths if any(p in own for own in layouts)]
+    cols = {fingerprint(own): own for own in layouts}.get(fingerprint(known)) or next((own for own in layouts if set(own) <= set(known)), None)
+    if cols is None:
+        raise ValueError(f"no mapping for a table with the paths {paths}")
+    return df.select(*[F.col(f"`{c}`").alias(name) for c, name in zip(cols, ("conv_id", "turn", "role", "text"))])
 
 
 # -- the template ---------------------------------------------------------------
@@ -161,15 +182,15 @@ def read_back(formatted: Column) -> Column:
 
 
 def loss_spans(formatted: Column) -> Column:
-    """Start and stop (code points) in the formatted string of what the loss mask covers: assistants' texts."""
+    """What the loss mask covers: start and stop (code points) in the formatted string of assistants' texts, and what stands there."""
     blocks = F.filter(F.split(formatted, r"<\|im_end\|>\n"), lambda b: b != "")
-    nothing = F.array().cast("array<struct<start: int, stop: int>>")
+    nothing = F.array().cast("array<struct<start: int, stop: int, text: string>>")
     head = START + "assistant\n"
 
     def step(acc: Column, b: Column) -> Column:
         n = F.length(b)
-        span = F.array(F.struct((acc["at"] + len(head)).alias("start"), (acc["at"] + n).alias("stop")))
-        spans = F.when(F.startswith(b, F.lit(head)), F.concat(acc["spans"], span)).otherwise(acc["spans"])
+        span = F.struct((acc["at"] + len(head)).alias("start"), (acc["at"] + n).alias("stop"), F.substr(b, F.lit(len(head) + 1)).alias("text"))
+        spans = F.when(F.startswith(b, F.lit(head)), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
         return F.struct((acc["at"] + n + len(END) + 1).alias("at"), spans.alias("spans"))
 
     return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), nothing.alias("spans")), step, lambda acc: acc["spans"])
@@ -185,7 +206,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = format_rows(rows.unionByName(extra)).withColumn("turns", read_back(F.col("formatted")))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    loss = F.array_join(F.transform(loss_spans(F.col("formatted")), lambda s: unescape(s["text"])), "")
     return out.withColumn("loss", loss).select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.encode(lines, "UTF-8"), 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.encode("loss", "UTF-8"), 256).alias("loss_sha256"),

@@ -10,6 +10,7 @@ import struct
 from collections import defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -111,7 +112,10 @@ def test_chat_round_trip_and_loss_spans(spark):
     assert [(t.role, t.text) for t in got[1].turns] == [(r[2] or "", r[3] or "") for r in rows if r[0] == 1]
     assert [t.text for t in got[2].turns] == ["x", "x"]
     masked = [got[1].formatted[s.start : s.stop] for s in got[1].spans]
-    assert len(masked) == 9
+    assert len(masked) == 9 and masked == [s.text for s in got[1].spans]
+    texts = [r[3] or "" for r in rows if r[0] == 1 and r[2] == "assistant"]
+    plain = spark.createDataFrame([(m,) for m in masked], "m string").select(chat.unescape(F.col("m"))).collect()
+    assert [r[0] for r in plain] == texts
     body = got[1].formatted.replace(chat.START, "").replace(chat.END, "")
     assert not any(c in body for c in chat.CONTROL)
     assert chat.format_rows(chat.canonical_rows(df.limit(0))).count() == 0
@@ -121,13 +125,20 @@ def test_layouts_are_chosen_by_fingerprint(spark):
     payloads = [
         '{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}', '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}',
         '{"output":"a","instruction":"q"}', '{"instruction":"q","input":"","output":"a"}', '{"prompt":"q","completion":"a"}', '{"prompt":"q","response":"a"}',
-        '{"turns":[{"speaker":"user","text":"q"},{"speaker":"bot","text":"a"}]}', '{"unknown":1}', "not json", None,
+        '{"turns":[{"speaker":"user","text":"q"},{"speaker":"bot","text":"a"}]}', '{"unknown":1}', "not json", None, "[1]", "{}",
+        '{"id":7,"messages":[{"name":"n","role":"user","content":"q"},{"role":"assistant","content":"a","x":[1]}],"meta":{"a":1}}',
+        '{"prompt":"q","output":"z","completion":"a","extra":null}', '{"messages":[]}',
     ]
     df = spark.createDataFrame([(p,) for p in payloads], "payload string")
     got = [r[0] for r in df.select(chat.turns_of_payload(F.col("payload"))).collect()]
     text = [[(t.role, t.text) for t in g] if g else g for g in got]
     assert text[6] == [("user", "q"), ("assistant", "a")]
-    assert all(t == [("user", "q"), ("assistant", "a")] for t in text[:7]) and text[7:] == [None] * 3
+    assert all(t == [("user", "q"), ("assistant", "a")] for t in text[:7]) and text[7:12] == [None] * 5
+    assert text[12] == text[13] == [("user", "q"), ("assistant", "a")] and text[14] == []
+    paths = ["prompt", "completion"]
+    assert spark.range(1).select(chat._hashed(F.array(*map(F.lit, paths)))).first()[0] == chat.fingerprint(paths)
+    with pytest.raises(ValueError):
+        chat.canonical_rows(df)
 
 
 def test_mixing_against_brute_force(spark):
