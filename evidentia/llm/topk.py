@@ -4,14 +4,16 @@ Vectors are quantised to integers.  Candidates are cut into blocks of
 neighbouring ids; a block's forward index is the matrix of its vectors, and
 its term maxima are the largest and smallest value of each dimension.  For a
 query q, sum over d of max(q_d * max_d, q_d * min_d) bounds every score in
-the block.  Blocks are tried in order of that bound: a first wave scores each
-query's best block, which gives a lower bound for its k-th score; a second
-wave scores exactly those blocks whose bound is not below it.  Blocks that
+the block.  Blocks are scored in order of that bound, in waves: each query's
+best block gives a lower bound for its k-th score; the blocks whose bound is
+not below it are ranked, and wave after wave, each WIDER times as long as
+those before, is scored as far as the bounds still reach the k-th score known
+by then.  A query is done at its first block that falls below.  Blocks that
 are skipped can't change the result, so no candidate is lost.
 
 Queries travel in blocks too, so that matrices meet matrices.  Neither side
 is broadcast or gathered: query blocks are joined with groups of block
-summaries, and the pairs that remain with the blocks themselves.
+summaries (term maxima only), and the pairs that remain with the blocks.
 
 Defined cases: vectors that are null, or hold null or non-finite components,
 take no part; shorter vectors are padded with zeros; rows with the query's
@@ -33,6 +35,7 @@ TOP = 10
 SCALE = 1024
 #: Vectors in a block, queries in a query block, block summaries that travel together.
 BLOCK, QUERIES_IN_BLOCK, SUMMARIES = 1024, 256, 1024
+WIDER = 4
 
 
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -118,8 +121,8 @@ def _summaries(blocks: DataFrame, dim: int, per_group: int) -> DataFrame:
 
 
 def _paired(queries: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
-    """Every query block with every group of summaries, as an equi-join on the group's number."""
-    numbered = groups.withColumn("group", F.row_number().over(Window.orderBy("blocks")) - 1)
+    """Every query block with every group of summaries, as an equi-join on a number drawn from the group's content."""
+    numbered = groups.withColumn("group", F.pmod(F.xxhash64("blocks"), F.lit(n_groups)).cast("int"))
     return queries.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1)))).join(numbered, "group")
 
 
@@ -199,7 +202,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, block: int = BLOCK
     pair = "qblock long, q int, bound double, block long"
     first = _paired(queries.select("qblock", "qdata"), groups, n_groups).mapInPandas(_bound_pairs(dim, True), pair)
     first = first.groupBy("qblock", "q").agg(F.max_by("block", "bound").alias("block"))
-    kth = _top(scored(first), k, "qblock", "q").groupBy("qblock", "q").agg(F.when(F.count("*") == k, F.min("score")).alias("floor"))
+    first = C.stored(first, "first")
+    best = C.stored(_top(scored(first), k, "qblock", "q"), "best")
+
+    def kth(best: DataFrame) -> DataFrame:
+        return best.groupBy("qblock", "q").agg(F.when(F.count("*") == k, F.min("score")).alias("floor"))
 
     def floors(pdf: pd.DataFrame) -> pd.DataFrame:
         """One row a query block: the k-th scores by position, -inf where fewer than k are known."""
@@ -209,11 +216,20 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, block: int = BLOCK
         return pd.DataFrame({"qblock": [pdf["qblock"].iloc[0]], "floor": [out.tobytes()]})
 
     size = queries.select("qblock", (F.octet_length("qids") / 8).cast("int").alias("n"))
-    floor = size.join(kth, "qblock", "left").groupBy("qblock").applyInPandas(floors, "qblock long, floor binary")
+    floor = size.join(kth(best), "qblock", "left").groupBy("qblock").applyInPandas(floors, "qblock long, floor binary")
     ready = C.stored(queries.select("qblock", "qdata").join(floor, "qblock"), "floors")
-    second = _paired(ready, groups, n_groups).mapInPandas(_bound_pairs(dim, False), pair)
-    best = _top(scored(second), k, "query_id", "qblock", "q")
-    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    reach = _paired(ready, groups, n_groups).mapInPandas(_bound_pairs(dim, False), pair).join(first, ["qblock", "q", "block"], "left_anti")
+    in_order = Window.partitionBy("qblock", "q").orderBy(F.col("bound").desc(), "block")
+    reach = C.stored(reach.withColumn("place", F.row_number().over(in_order)), "reach")
+    done, wave = 0, WIDER
+    while True:
+        ahead = reach.where(F.col("place").between(done + 1, done + wave)).join(kth(best), ["qblock", "q"], "left")
+        slack = F.abs("bound") * 1e-9 + 1e-9
+        ahead = C.stored(ahead.where(F.col("floor").isNull() | (F.col("bound") + slack >= F.col("floor"))).select("qblock", "q", "block"), "wave")
+        if ahead.isEmpty():
+            return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        best = C.stored(_top(best.drop("rank").unionByName(scored(ahead)), k, "qblock", "q"), "best")
+        done, wave = done + wave, wave * WIDER
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,7 +146,7 @@ def test_mixing_against_brute_force(spark):
     rows = [(i, "w " * int(rng.integers(0, 60)), None if s == 5 else f"s{s}", 1, 2) for i, s in enumerate(rng.choice(6, 900, p=[0.5, 0.2, 0.1, 0.1, 0.08, 0.02]))]
     docs = spark.createDataFrame([*rows, (5000, None, "s0", 1, 2)], DOCS)
     sizes = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    got = mixing.copies(sizes, mixing.source_targets(sizes), cell=64).collect()
+    got = mixing.copies(sizes, mixing.source_targets(sizes), cell=64, coupled=True).collect()
     per = defaultdict(int)
     for r in got:
         per[r.source] += r.size
@@ -166,8 +166,19 @@ def test_mixing_against_brute_force(spark):
         assert r.source_size == per[r.source] and abs(r.target - target[r.source]) < 1e-6 and 0 <= r.copies <= 3
         taken[r.source] += r.copies * r.size
     assert all(abs(taken[s] - target[s]) <= 0.05 * target[s] + 120 for s in names)
-    again = {r.doc_id: r.copies for r in mixing.copies(sizes.repartition(7), mixing.source_targets(sizes), cell=64).collect()}
+    again = {r.doc_id: r.copies for r in mixing.copies(sizes.repartition(7), mixing.source_targets(sizes), cell=64, coupled=True).collect()}
     assert again == {r.doc_id: r.copies for r in got}
+    free = mixing.copies(sizes, mixing.source_targets(sizes)).collect()  # independent draws: each by its own hash and rate alone
+    rate = {s: target[s] / per[s] for s in names}
+    draws = {r.doc_id: r.u for r in sizes.select("doc_id", mixing.C.unit(F.col("doc_id"), F.col("size"), seed=mixing.SEED).alias("u")).collect()}
+    assert all(r.copies == int(rate[r.source] + 1e-9) + (draws[r.doc_id] < (rate[r.source] + 1e-9) % 1) for r in free if rate[r.source] % 1 > 1e-6)
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    rows = [(i, "a b c", "s", 1, 2, 3, 4) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size_ int, times int, copy int, __size int")
+    out = mixing.mix_sources(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == rows
 
 
 def test_mixing_emits_documents_as_often_as_taken(spark):
@@ -176,7 +187,7 @@ def test_mixing_emits_documents_as_often_as_taken(spark):
     out = mixing.mix_sources(docs)
     sizes = docs.select("doc_id", "source", F.lit(3).cast("long").alias("size"))
     want = defaultdict(int)
-    for r in mixing.copies(sizes, mixing.source_targets(sizes)).collect():
+    for r in mixing.copies(sizes, mixing.source_targets(sizes), coupled=True).collect():
         want[r.doc_id] += r.copies
     have = defaultdict(int)
     for r in out.collect():
@@ -194,7 +205,7 @@ def test_top_k_against_brute_force(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
     q = topk.quantised(df)
     got = defaultdict(list)
-    for r in topk.top_k(q, F.col("vec_id") % 100 == 0, k=10, block=32, per_query_block=4).orderBy("query_id", "rank").collect():
+    for r in topk.top_k(q, F.col("vec_id") % 100 == 0, k=10, block=8, per_query_block=4).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     data = [(r.vec_id, np.array([*r.v, *[0] * (8 - len(r.v))])) for r in q.collect()]
     want = {i: sorted(((j, int(v @ w)) for j, w in data if j != i), key=lambda x: (-x[1], x[0]))[:10] for i, v in data if i % 100 == 0}
