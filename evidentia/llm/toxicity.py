@@ -5,12 +5,17 @@ inflected forms share).  Its loss has, besides the usual L2 term, the mean
 squared change of the score when an identity term of a labelled text is
 swapped for another one: the mention of a group must not decide.
 
-Fitting: a sample of at most ``MAX_LABELLED`` labelled rows, drawn by hash of
-the id among those that may be learned from; the statistics that select the
+The identity terms are a parameter (``IDENTITY_TERMS`` by default).  Where no
+labelled text has one, as in the synthetic tables, the counterfactual term is
+empty and the model is the plain logistic one.
+
+Fitting: a sample of at most ``MAX_LABELLED`` labelled documents, drawn by hash
+of the id among those that may be learned from; the statistics that select the
 ``N_FEATURES`` features cover that whole sample.  Scoring covers all rows.
 
 Defined cases: a text without words (null, empty) scores 0; contradictory labels count as toxic; null labels and labels
-without a document are left out; without labelled rows of both kinds the
+without a document are left out; of labelled rows that share an id one text is
+learned from, the first by hash; without labelled rows of both kinds the
 score is 0 for all; repeated rows score alike; extra columns do not matter;
 an empty table gives no rows.
 """
@@ -72,12 +77,13 @@ class Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, text, toxic of at most ``most`` rows; the sample is broadcast, as its size is bounded."""
+    """doc_id, text, toxic of at most ``most`` documents, a row for each; the ids are broadcast, as their number is bounded."""
     known = labels.where(~C.held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("__toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    return C.stored(rows.select("doc_id", "text", F.col("__toxic").alias("toxic")), "labelled")
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("__toxic").alias("toxic"))
+    return C.stored(rows, "labelled")
 
 
 def _counted(sample: DataFrame) -> DataFrame:
@@ -125,41 +131,45 @@ def _positions(known: np.ndarray, word: str) -> list[int]:
     return at[known[at] == f].tolist()
 
 
+def swaps(said: set[str], known: np.ndarray, groups=IDENTITY_TERMS) -> list[tuple[list[int], list[int]]]:
+    """For each identity term among a text's words: the features that go and that come when the next term of its group stands there.
+
+    A feature that another word of the text also has neither goes nor comes.
+    """
+    out = []
+    for g in groups:
+        for i, term in enumerate(g):
+            if term in said:
+                others = {x for w in said if w != term for x in _positions(known, w)}
+                before, after = set(_positions(known, term)), set(_positions(known, g[(i + 1) % len(g)]))
+                gone, come = sorted(before - after - others), sorted(after - before - others)
+                if gone or come:
+                    out.append((gone, come))
+    return out
+
+
 def _rows_of(sample: DataFrame, known: np.ndarray, groups) -> tuple[list, np.ndarray, list]:
-    """On the driver, bounded by the sample: present features, labels, identity terms of each row."""
-    terms = {t for g in groups for t in g}
+    """On the driver, bounded by the sample: present features and labels of each document, and the changes of all swaps."""
+    schema = "at array<int>, toxic int, gone array<array<int>>, come array<array<int>>"
 
     def read(batches):
         for batch in batches:
-            at, toxic, said = [], [], []
+            at, toxic, gone, come = [], [], [], []
             for text, t in zip(*(batch.column(k).to_pylist() for k in range(2))):
                 ws = words(text)
                 f = np.unique(np.array([x for w in ws for x in features_of(w)], np.int64))
                 i = np.minimum(np.searchsorted(known, f), len(known) - 1)
                 at.append(i[known[i] == f].astype(np.int32))
                 toxic.append(int(t > 0))
-                said.append(sorted(ws & terms))
-            yield pa.record_batch([pa.array(at, pa.list_(pa.int32())), pa.array(toxic, pa.int32()), pa.array(said, pa.list_(pa.string()))], ["at", "toxic", "said"])
-
-    got = sample.orderBy("doc_id").select("text", "toxic").mapInArrow(read, "at array<int>, toxic int, said array<string>").toPandas()
-    return got["at"].tolist(), got["toxic"].to_numpy(np.float64), got["said"].tolist()
+                changes = swaps(ws, known, groups)
+                gone.append([c[0] for c in changes])
+                come.append([c[1] for c in changes])
+            lists = pa.list_(pa.list_(pa.int32()))
+            yield pa.record_batch([pa.array(at, pa.list_(pa.int32())), pa.array(toxic, pa.int32()), pa.array(gone, lists), pa.array(come, lists)], ["at", "toxic", "gone", "come"])
 
-
-def swap_changes(rows: list, said: list, known: np.ndarray, groups=IDENTITY_TERMS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(indexes, +1/-1) of the features that a swap of identity terms removes or adds.
-
-    Each term in a text is swapped for the next of its group; a feature that
-    another word of the text also has stays where it was.
-    """
-    after = {t: g[(i + 1) % len(g)] for g in groups for i, t in enumerate(g)}
-    of = {t: set(_positions(known, t)) for t in after}
-    out = []
-    for _, terms in zip(rows, said):
-        for t in terms:
-            gone, come = of[t] - of[after[t]], of[after[t]] - of[t]
-            if gone or come:
-                out.append((np.array([*gone, *come], np.int64), np.array([-1.0] * len(gone) + [1.0] * len(come))))
-    return out
+    got = sample.orderBy("doc_id").select("text", "toxic").mapInArrow(read, schema).toPandas()
+    changes = [(np.concatenate([x, y]).astype(np.int64), np.array([-1.0] * len(x) + [1.0] * len(y))) for g, c in zip(got["gone"], got["come"]) for x, y in zip(g, c)]
+    return got["at"].tolist(), got["toxic"].to_numpy(np.float64), changes
 
 
 def _sparse(rows: list, values: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,8 +180,11 @@ def _sparse(rows: list, values: list | None = None) -> tuple[np.ndarray, np.ndar
     return row, col, val
 
 
-def fit_weights(rows: list, y: np.ndarray, changes: list, dim: int, l2: float = L2, cf: float = COUNTERFACTUAL) -> tuple[np.ndarray, float]:
-    """Accelerated gradient descent on log loss + l2 |w|^2 / 2 + cf * mean (change of score)^2 / 2."""
+def fit_weights(rows: list, y: np.ndarray, changes: list[tuple[np.ndarray, np.ndarray]], dim: int, l2: float = L2, cf: float = COUNTERFACTUAL) -> tuple[np.ndarray, float]:
+    """Accelerated gradient descent on log loss + l2 |w|^2 / 2 + cf * mean (change of score)^2 / 2.
+
+    ``changes`` has, for each swap, the features that move and +1 or -1 for each.
+    """
     r, c, _ = _sparse(rows)
     cr, cc, cv = _sparse([x[0] for x in changes], [x[1] for x in changes])
     n, m = len(y), max(1, len(changes))
@@ -202,8 +215,8 @@ def fit(docs: DataFrame, labels: DataFrame, groups=IDENTITY_TERMS, cf: float = C
     known = select_features(sample, n[0], n[1])
     if not len(known):
         return None
-    rows, y, said = _rows_of(sample, known, groups)
-    w, b = fit_weights(rows, y, swap_changes(rows, said, known, groups), len(known), cf=cf)
+    rows, y, changes = _rows_of(sample, known, groups)
+    w, b = fit_weights(rows, y, changes, len(known), cf=cf)
     return Model(known, w, b)
 
 

@@ -73,22 +73,96 @@ def test_toxicity_spreads_to_other_forms_and_learns_nothing_held_out(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, s in got.items() if s < 0.3}
 
 
-def test_counterfactual_term_takes_the_weight_off_group_mentions():
+def test_counterfactual_term_lowers_false_positives_on_group_mentions(spark):
     texts, toxic = labelled(400)
-    rows_words = [toxicity.words(t) for t in texts]
-    known = np.unique([f for ws in rows_words for w in ws for f in toxicity.features_of(w)])
-    rows = [np.unique([i for w in ws for i in toxicity._positions(known, w)]) for ws in rows_words]
-    said = [sorted(ws & {"muslims"}) for ws in rows_words]
-    changes = toxicity.swap_changes(rows, said, known)
-    y = np.array(toxic, float)
-    probe = toxicity.Model(known, None, 0.0)
-    mention = {}
-    for cf in (0.0, 10.0):
-        probe.weights, probe.intercept = toxicity.fit_weights(rows, y, changes, len(known), cf=cf)
-        neutral, group, rude = toxicity.scores(["tree river stone", "muslims river stone", "grubbish river stone"], probe, {})
-        mention[cf] = group - neutral
-        assert rude > 0.3
-    assert mention[10.0] < mention[0.0] / 3 and mention[10.0] < 0.05
+    df = spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in enumerate(texts)], DOCS)
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    rng = np.random.default_rng(8)
+    calm = "tree river stone cloud bread table window garden".split()
+    probes = [" ".join([*rng.choice(calm, 3), "muslims"]) for _ in range(60)] + ["muslims"] * 5  # neutral mentions, never seen
+    rude = [" ".join([*rng.choice(calm, 8), "grubbish"]) for _ in range(20)]
+    wrong, mention = {}, {}
+    for cf in (0.0, toxicity.COUNTERFACTUAL):
+        model = toxicity.fit(df, labels, cf=cf)
+        got = toxicity.scores(probes, model, {})
+        wrong[cf] = sum(x >= toxicity.THRESHOLD for x in got) / len(probes)
+        mention[cf] = np.mean(got) - np.mean(toxicity.scores([p.replace("muslims", "stone") for p in probes], model, {}))
+        assert min(toxicity.scores(rude, model, {})) >= toxicity.THRESHOLD
+    assert wrong[0.0] > 0 and wrong[toxicity.COUNTERFACTUAL] == 0
+    assert mention[toxicity.COUNTERFACTUAL] < mention[0.0] / 3
+
+
+def test_swaps_leave_features_of_other_words_alone():
+    terms = (("women", "womanly"),)
+    known = np.unique([f for w in ("women", "womanly", "womb", "tree") for f in toxicity.features_of(w)])
+    at = lambda *keys: sorted(int(np.searchsorted(known, f)) for w in keys for f in toxicity.features_of(w))
+    gone, come = toxicity.swaps({"women", "tree"}, known, terms)[0]
+    assert set(gone) == set(at("women")) - set(at("womanly")) and set(come) == set(at("womanly")) - set(at("women"))
+    gone, come = toxicity.swaps({"women", "womanly"}, known, terms)[0]  # all that would come is there already
+    assert not come and set(gone) == set(at("women")) - set(at("womanly"))
+    assert toxicity.swaps({"tree"}, known, terms) == []
+
+
+def test_repeated_labelled_ids_are_one_row(spark):
+    df = spark.createDataFrame([(1, f"text {i}", "en", "s", 1, "x") for i in range(50)] + [(2, None, "en", "s", 1, "x")], DOCS)
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.labelled_sample(df, labels).collect()}
+    assert set(got) == {1, 2} and got[1].toxic == 1
+
+
+def test_features_and_scores_against_brute_force(spark):
+    texts, toxic = labelled(120)
+    sample = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(zip(texts, toxic))], "doc_id long, text string, toxic int")
+    n, pos = len(toxic), sum(toxic)
+    seen = {}
+    for t, y in zip(texts, toxic):
+        for f in {f for w in set(t.split()) for f in toxicity.features_of(w)}:
+            seen.setdefault(f, [0, 0])[1 - y] += 1
+    g = {}
+    for f, (a, b) in seen.items():
+        cells = [(a, (a + b) * pos / n), (b, (a + b) * (n - pos) / n), (pos - a, (n - a - b) * pos / n), (n - pos - b, (n - a - b) * (n - pos) / n)]
+        g[f] = sum(x * np.log(x / e) for x, e in cells if x)
+    want = {f for f in sorted(g, key=lambda f: (-round(g[f], 9), f)) if sum(seen[f]) >= 2}
+    assert set(toxicity.select_features(sample, pos, n - pos)) == want
+    few = toxicity.select_features(sample, pos, n - pos, 8)
+    assert min(g[f] for f in few) >= sorted((g[f] for f in want), reverse=True)[7] - 1e-9
+    model = toxicity.Model(few, np.arange(8) - 3.0, -0.5)
+    weight = dict(zip(few.tolist(), model.weights))
+    for t, s in zip(texts, toxicity.scores(texts, model, {})):
+        z = -0.5 + sum(weight.get(f, 0) for f in {f for w in set(t.split()) for f in toxicity.features_of(w)})
+        assert abs(s - 1 / (1 + np.exp(-z))) < 1e-12
+
+
+def test_held_out_toxicity(spark):
+    path = "/root/testdata/sf0.1"
+    got = toxicity.op2_toxicity(spark, path).where("held_out").join(spark.read.parquet(f"{path}/labels.parquet").dropDuplicates(["doc_id"]), "doc_id").collect()
+    assert len(got) > 800 and np.mean([r.predicted == r.toxic for r in got]) > 0.97
+    assert np.mean([r.predicted for r in got if r.toxic]) > 0.9  # some labels of the table contradict their texts
+
+
+def test_held_out_languages(spark):
+    path = "/root/testdata/sf0.01"
+    known = spark.read.parquet(f"{path}/documents.parquet").where("lang is not null and length(text) > 100").select("doc_id", "lang")
+    got = language.op3_language_id(spark, path).where("held_out").join(known, "doc_id").collect()
+    assert len(got) > 150 and np.mean([r.lang_pred == r.lang for r in got]) > 0.97
+
+
+def test_mixture_inference_against_brute_force():
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet(np.full(40, 0.3), 3)
+    for share in ([1, 0, 0], [0.7, 0.3, 0], [0.2, 0.5, 0.3]):
+        grams = rng.choice(40, 400, p=np.array(share) @ p)
+        counts = np.bincount(grams, minlength=40)
+        loglik = lambda s, of: float(counts @ np.log(np.maximum(np.array(s) @ p[list(of)], 1e-300)))
+        grid = np.linspace(0, 1, 101)
+        best = {}  # set of languages -> (likelihood, shares), by a grid
+        for of in [(0,), (1,), (2,), (0, 1), (0, 2), (1, 2), (0, 1, 2)]:
+            points = [(1.0,)] if len(of) == 1 else [(x, 1 - x) for x in grid] if len(of) == 2 else [(x, y, 1 - x - y) for x in grid for y in grid if x + y <= 1]
+            best[of] = max((loglik(s, of), s) for s in points)
+        want = max(best, key=lambda of: best[of][0] - 0.5 * len(of) * np.log(401))
+        lead, score, chosen = language.infer(p, grams)
+        assert tuple(chosen) == want and lead == want[int(np.argmax(best[want][1]))]
+        assert abs(score - (400 * max(best[want][1]) + 1) / 403) < 0.02
 
 
 def test_toxicity_without_labels(spark):
