@@ -9,6 +9,8 @@ from __future__ import annotations
 import os
 import time
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as FutureTimeout
 from contextlib import contextmanager
 from dataclasses import dataclass
 from typing import Protocol, TypeVar
@@ -21,6 +23,8 @@ from ..functions.vectors import seeded_vector
 
 T = TypeVar("T")
 EMBED_BATCH, ATTEMPTS, PAUSE = 96, 2, 0.3
+#: Seconds that a streamed answer, and a structured one, may take.
+STREAM_SECONDS, STRUCTURE_SECONDS = 120.0, 20.0
 
 
 class Embedder(Protocol):
@@ -103,6 +107,34 @@ def embed_column(df: DataFrame, text: str, out: str, embedder: Embedder) -> Data
     return df.mapInPandas(run, schema)
 
 
+def within(call: Callable[[], T], seconds: float, otherwise: Callable[[], T]) -> T:
+    """The answer of a call, or what stands in for it if the call takes longer than ``seconds``; a late answer is dropped."""
+    pool = ThreadPoolExecutor(1)
+    try:
+        return pool.submit(call).result(timeout=seconds)
+    except FutureTimeout:
+        return otherwise()
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
+
+
+def asked(sample: DataFrame, text: str, ask: Callable[[str], str], seconds: float = STRUCTURE_SECONDS) -> DataFrame:
+    """Candidate items of a sample: adds ``question``, made from the text by a provider, and ``status`` candidate; no question where the provider fails or is late."""
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in sample.schema.fields], "question string", "status string"])
+
+    def one(t: str) -> str | None:
+        try:
+            return within(lambda: retried(lambda: ask(t)), seconds, lambda: None)
+        except Exception:
+            return None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(question=[one(t or "") for t in pdf[text]], status="candidate")
+
+    return sample.mapInPandas(run, schema)
+
+
 @contextmanager
 def run_guard(path: str):
     """Only one run at a time: a file made exclusively, removed by its maker alone."""

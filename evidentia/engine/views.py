@@ -16,6 +16,10 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (home, env.get("PYTHONPATH")) if x)
 
 
+#: The query set of searches.
+EVERY = 20
+
+
 class Tables:
     """The tables of one folder, read lazily: ``t.orders`` is a scan of orders."""
 
@@ -36,9 +40,9 @@ class Tables:
             F.transform("embedding", lambda x: x.cast("double")).alias("vector"), "label", F.concat(F.lit("m"), (F.col("label") % 2).cast("string")).alias("model"),
         )
 
-    def questions(self, n: int = 20) -> DataFrame:
-        """The first ``n`` vectors and their texts, as questions asked of the rest."""
-        return self.chunks().where(F.col("chunk_id") < n).select(
+    def questions(self) -> DataFrame:
+        """Every vector whose id is divisible by 20, and its text, as questions asked of all others."""
+        return self.chunks().where(F.col("chunk_id") % EVERY == 0).select(
             F.col("chunk_id").alias("question_id"), F.col("content").alias("question"), F.col("vector").alias("question_vector"), F.col("label").alias("question_label"),
         )
 
@@ -51,4 +55,4 @@ class Tables:
 CHUNKS_SQL = """chunks AS (SELECT d.doc_id AS chunk_id, d.text AS content, d.source AS guideline, d.lang AS version,
   list_transform(e.embedding, lambda x: x::DOUBLE) AS vector, e.label, 'm' || (e.label % 2) AS model
   FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)"""
-QUESTIONS_SQL = """questions AS (SELECT chunk_id AS question_id, content AS question, vector AS question_vector, label AS question_label FROM chunks WHERE chunk_id < 20)"""
+QUESTIONS_SQL = """questions AS (SELECT chunk_id AS question_id, content AS question, vector AS question_vector, label AS question_label FROM chunks WHERE chunk_id % 20 = 0)"""

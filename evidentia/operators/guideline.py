@@ -12,14 +12,16 @@ call; Spark deals the documents out.  Reading goes in passes over the lines:
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
-from itertools import groupby
+from dataclasses import dataclass, field, replace
+from itertools import accumulate, groupby, islice, pairwise
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType
 
 from ..functions.ratings import GRADES, LEVELS, ROMAN
 from . import grammar as G
@@ -200,40 +202,35 @@ def stretches(body: list[Line]) -> dict[str, list[Line]]:
 # -- pass 4: paragraphs and chunks -----------------------------------------------
 
 
-def joined(so_far: str, line: str) -> str:
-    """Undoes a line break: hyphens go, Latin words and ended Korean words get their blank back."""
-    a, b = so_far[-1:], line[:1]
-    latin = lambda c: c.isascii() and c.isalnum()
-    if a == "-" and b.isascii() and b.isalpha():
-        return so_far[:-1] + line
-    ended = len(so_far) > 1 and a in G.PARTICLES and "가" <= b <= "힣"
-    return f"{so_far} {line}" if latin(a) and latin(b) or ended else so_far + line
+#: What becomes of a line break, by its surroundings; the first rule that fits decides.
+BREAKS = (
+    (re.compile(r"-\n(?=[A-Za-z])"), ""),  # a hyphenated word
+    (re.compile(r"(?<=[A-Za-z0-9])\n(?=[A-Za-z0-9])"), " "),  # two Latin words
+    (re.compile(rf"(?<=(?s:.)[{''.join(sorted(G.PARTICLES))}])\n(?=[가-힣])"), " "),  # a Korean word that has ended
+    (re.compile(r"\n"), ""),
+)
+
+
+def unwrapped(text: str) -> str:
+    """Text without the line breaks that its layout made."""
+    for pattern, put in BREAKS:
+        text = pattern.sub(put, text)
+    return text
 
 
 def paragraphs(lines: list[Line], marker: re.Pattern) -> Iterator[Chunk]:
-    """Text with its pages; headings stand alone, other lines run on to the end of a sentence."""
-    held: list[Line] = []
-
-    def flush() -> Iterator[Chunk]:
-        if held:
-            text = held[0].text
-            for x in held[1:]:
-                text = joined(text, x.text)
-            yield Chunk((), "", text, None, None, held[0].page, held[-1].page)
-            held.clear()
-
-    for line in lines:
-        if not line.text:
-            continue
-        if _kind(line.text) or marker.match(line.text) or G.TABLE_HEAD.match(line.text):
-            yield from flush()
-            held.append(line)
-            yield from flush()
-            continue
-        held.append(line)
-        if G.SENTENCE_END.search(line.text):
-            yield from flush()
-    yield from flush()
+    """Text with its pages; headings stand alone, other lines run on to the end of a sentence.
+
+    Lines get numbers that rise wherever a paragraph begins, and those of one number
+    are put together.
+    """
+    full = [x for x in lines if x.text]
+    alone = [bool(_kind(x.text) or marker.match(x.text) or G.TABLE_HEAD.match(x.text)) for x in full]
+    ends = [a or bool(G.SENTENCE_END.search(x.text)) for a, x in zip(alone, full)]
+    numbers = accumulate((a or e for a, e in zip(alone, [False, *ends])), int.__add__)
+    for _, own in groupby(zip(numbers, full), key=itemgetter(0)):
+        part = [x for _, x in own]
+        yield Chunk((), "", unwrapped("\n".join(x.text for x in part)), None, None, part[0].page, part[-1].page)
 
 
 def cut_points(text: str, limit: int) -> list[int]:
@@ -248,44 +245,42 @@ def cut_points(text: str, limit: int) -> list[int]:
 
 def bounded(parts: Iterable[Chunk], limit: int) -> Iterator[Chunk]:
     """Paragraphs put together, a line feed between them, up to the limit; longer ones are cut first."""
-    held: list[Chunk] = []
-    size = 0
-
-    def merged() -> Chunk:
-        return Chunk((), "", "\n".join(p.content for p in held), None, None, held[0].page_start, held[-1].page_end)
-
-    for part in parts:
-        cuts = [0, *cut_points(part.content, limit), len(part.content)]
-        for a, b in zip(cuts, cuts[1:]):
-            if held and size + b - a > limit:
-                yield merged()
-                held, size = [], 0
-            held.append(Chunk((), "", part.content[a:b], None, None, part.page_start, part.page_end))
-            size += b - a + 1
-    if held:
-        yield merged()
-
-
-def classify(token: str) -> tuple[str | None, str | None]:
-    """Grade and evidence level of a token; the parts say themselves which they are."""
-    grade = level = None
-    for part in token.split("/"):
-        bare = part.strip().removesuffix(".")
-        if bare.lower() in GRADES:
-            grade = GRADES[bare.lower()]
-        else:
-            level = LEVELS.get(" ".join(bare.split()).lower(), bare)
-    return grade, level
+    pieces = []
+    for p in parts:
+        cuts = [0, *cut_points(p.content, limit), len(p.content)]
+        pieces += [replace(p, content=p.content[a:b]) for a, b in pairwise(cuts)]
+
+    def place(last: tuple[int, int], piece: Chunk) -> tuple[int, int]:
+        """Number of the chunk that takes the piece, and the chunk's length with it and a line feed."""
+        number, size = last
+        length = len(piece.content)
+        return (number, size + length + 1) if size + length <= limit or not size else (number + 1, length + 1)
+
+    places = islice(accumulate(pieces, place, initial=(0, 0)), 1, None)
+    for _, own in groupby(zip(places, pieces), key=lambda x: x[0][0]):
+        held = [piece for _, piece in own]
+        yield Chunk((), "", "\n".join(x.content for x in held), None, None, held[0].page_start, held[-1].page_end)
+
+
+@dataclass(frozen=True)
+class Rating:
+    """What a line says of grade and evidence level; ``unknown`` is a level as written whose word is none of the known."""
+
+    grade: str | None = None
+    level: str | None = None
+    unknown: str | None = None
 
 
-def grades_of(lines: list[Line]) -> tuple[str | None, str | None, str | None]:
-    """Grade, level, and the level as written where its word is unknown."""
-    for line in lines:
-        if m := G.GRADE_TAIL.search(line.text):
-            return (*classify(m[1]), None)
-        if m := G.UNKNOWN_LEVEL.search(line.text):
-            return GRADES.get(m[1].lower(), m[1].upper()), None, " ".join(m[2].split())
-    return None, None, None
+def rating_of(text: str) -> Rating | None:
+    """The rating at the end of a line, if it has one; the parts of a pair say themselves which they are."""
+    if tail := G.GRADE_TAIL.search(text):
+        parts = [" ".join(x.split()).removesuffix(".") for x in tail[1].split("/")]
+        grades = [GRADES[x.lower()] for x in parts if x.lower() in GRADES]
+        levels = [LEVELS.get(x.lower(), x) for x in parts if x.lower() not in GRADES]
+        return Rating(grades[-1] if grades else None, levels[-1] if levels else None)
+    if odd := G.UNKNOWN_LEVEL.search(text):
+        return Rating(GRADES.get(odd[1].lower(), odd[1].upper()), None, " ".join(odd[2].split()))
+    return None
 
 
 def _ungraded(line: Line) -> Line:
@@ -300,17 +295,17 @@ def block_chunks(block: list[Line], marker: re.Pattern) -> tuple[list[Chunk], st
     agreed = by_consensus(block, marker)
     lead = [Line(rest, block[0].page)] if rest and (agreed or marker is G.BARE) else []
     statement = lead + body["statement"]
-    grade, level, unknown = grades_of(statement)
-    if grade is None and agreed:
-        grade = "GPP"
+    rating = next(filter(None, (rating_of(x.text) for x in statement)), Rating())
+    if rating.grade is None and agreed:
+        rating = replace(rating, grade="GPP")
     said = [*paragraphs([_ungraded(x) for x in statement], marker), *paragraphs(body["consideration"], marker)]
     chunks = [*bounded(said, G.BLOCK_LIMIT)]
     if chunks:
-        chunks[0].grade, chunks[0].level = grade, level
+        chunks[0].grade, chunks[0].level = rating.grade, rating.level
     chunks += bounded(paragraphs(body["explanation"], marker), G.EXPLANATION_LIMIT)
     for c in chunks:
         c.number, c.path = number, block[0].path
-    return chunks, unknown
+    return chunks, rating.unknown
 
 
 def read_document(pages: list[str]) -> Reading:
@@ -340,48 +335,78 @@ def read_document(pages: list[str]) -> Reading:
             counted[at[i]] = None
     out.numbers = [*counted]
     produced = {at[i]: None for i in starts}
-    graded = Counter(c.number for c in out.chunks if c.grade)
+    said: dict[str, list[bool]] = {}  # of each number, which of its chunks carry a grade
+    for c in out.chunks:
+        said.setdefault(c.number, []).append(bool(c.grade))
     out.missing = [n for n in out.numbers if n not in produced]
-    out.duplicated = [n for n, k in graded.items() if k > 1]
-    out.ungraded = [n for n in produced if n not in graded]
+    # a number's first chunk is a statement even where no grade could be read; later ones are statements if graded
+    out.duplicated = [n for n, graded in said.items() if (not graded[0]) + sum(graded) > 1]
+    out.ungraded = [n for n in produced if not any(said.get(n, ()))]
     return out
 
 
-CHUNKS = "doc_id long, chunk_no int, section_no int, path array<string>, number string, grade string, level string, content string, page_start int, page_end int"
-DIAGNOSES = (
+_CHUNK = "section_no: int, path: array<string>, number: string, grade: string, level: string, content: string, page_start: int, page_end: int"
+READINGS = (
     "doc_id long, has_marker boolean, n_chunks int, numbers array<string>, missing array<string>, duplicated array<string>, ungraded array<string>, "
-    "unknown_levels array<string>, not_derived array<string>"
+    f"unknown_levels array<string>, not_derived array<string>, chunks array<struct<{_CHUNK}>>"
 )
 
 
-def _names(schema: str) -> list[str]:
-    return [c.split()[0] for c in schema.split(", ")]
+def read_documents(pages: DataFrame) -> DataFrame:
+    """One row a document, given as rows (doc_id, page_no, text): its chunks, its numbers, and what is wrong with them.
 
+    Spark brings the pages of a document together and in order; each is read once,
+    however many fit in a batch.
+    """
 
-def chunk_documents(pages: DataFrame) -> DataFrame:
-    """Chunks of documents given as rows (doc_id, page_no, text)."""
+    def read(doc: int, texts: list[str]) -> dict:
+        r = read_document(texts)
+        chunks = [
+            {"section_no": i, "path": list(c.path), "number": c.number, "grade": c.grade, "level": c.level, "content": c.content, "page_start": c.page_start, "page_end": c.page_end}
+            for i, (_, own) in enumerate(r.sections) for c in own
+        ]
+        levels = [f"{n}: {raw}" for n, raw in r.unknown_levels]
+        return {
+            "doc_id": doc, "has_marker": has_marker(texts), "n_chunks": len(chunks), "numbers": r.numbers, "missing": r.missing, "duplicated": r.duplicated,
+            "ungraded": r.ungraded, "unknown_levels": levels, "not_derived": r.not_derived, "chunks": chunks,
+        }
 
-    def read(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc, got = int(pdf["doc_id"].iloc[0]), read_document(pdf.sort_values("page_no")["text"].fillna("").tolist())
-        numbered = [(s, c) for s, (_, own) in enumerate(got.sections) for c in own]
-        rows = [(doc, i, s, list(c.path), c.number, c.grade, c.level, c.content, c.page_start, c.page_end) for i, (s, c) in enumerate(numbered)]
-        return pd.DataFrame(rows, columns=_names(CHUNKS))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        done = (read(doc, [t or "" for _, t in own]) for doc, own in groupby(rows, key=itemgetter(0)))
+        while some := list(islice(done, 64)):
+            yield pa.RecordBatch.from_pylist(some, schema)
 
-    return pages.groupBy("doc_id").applyInPandas(read, CHUNKS)
+    numbered = pages.repartition("doc_id").sortWithinPartitions("doc_id", "page_no").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = to_arrow_schema(DataType.fromDDL(READINGS))
+    return numbered.mapInArrow(run, READINGS)
 
 
-def diagnose_documents(pages: DataFrame) -> DataFrame:
-    """One row a document: its numbers and what is wrong with them."""
+def chunk_documents(pages: DataFrame) -> DataFrame:
+    """Chunks of documents given as rows (doc_id, page_no, text)."""
+    return read_documents(pages).select("doc_id", F.posexplode("chunks").alias("chunk_no", "c")).select("doc_id", "chunk_no", "c.*")
 
-    def read(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = pdf.sort_values("page_no")["text"].fillna("").tolist()
-        r = read_document(texts)
-        levels = [f"{n}: {raw}" for n, raw in r.unknown_levels]
-        return pd.DataFrame(
-            [(int(pdf["doc_id"].iloc[0]), has_marker(texts), len(r.chunks), r.numbers, r.missing, r.duplicated, r.ungraded, levels, r.not_derived)], columns=_names(DIAGNOSES)
-        )
 
-    return pages.groupBy("doc_id").applyInPandas(read, DIAGNOSES)
+def diagnose_documents(pages: DataFrame) -> DataFrame:
+    """One row a document: its numbers and what is wrong with them."""
+    return read_documents(pages).drop("chunks")
+
+
+def verified_templates(pages: DataFrame, expected: DataFrame) -> DataFrame:
+    """Readings of documents against frozen expectations (doc_id, unique_numbers, recommendations, status): what came out, and whether it is as expected.
+
+    A document that is read better than expected is a mismatch too, as is one that
+    nothing was expected of, or that is not there any more.
+    """
+    got = read_documents(pages).select(
+        "doc_id", F.size("numbers").alias("got_numbers"), F.size(F.array_distinct(F.transform(F.filter("chunks", lambda c: c["grade"].isNotNull()), lambda c: c["number"]))).alias("got_recommendations"),
+        F.size(F.flatten(F.array("missing", "duplicated", "ungraded"))).alias("defects"),
+    )
+    got = got.withColumn("got_status", template_status(F.col("got_numbers"), F.col("got_recommendations"), F.col("defects")))
+    both = got.join(expected.withColumn("expected", F.lit(True)), "doc_id", "full")
+    same = (F.col("got_numbers") == F.col("unique_numbers")) & (F.col("got_recommendations") == F.col("recommendations")) & (F.col("got_status") == F.col("status"))
+    outcome = F.when(F.col("expected").isNull(), "unexpected").when(F.col("got_status").isNull(), "missing").when(same, "same").otherwise("mismatch")
+    return both.select("doc_id", "got_numbers", "got_recommendations", "got_status", outcome.alias("outcome"))
 
 
 def guarded(diagnoses: DataFrame) -> DataFrame:

@@ -17,10 +17,10 @@ def agg_count(t):
     return t.lineitem.where("l_quantity > 25").agg(F.count("*").alias("n"))
 
 
-@query("SELECT k AS o_custkey, coalesce((SELECT max(o_orderkey) FROM orders WHERE o_custkey = k), 0) AS newest FROM (SELECT unnest(range(0, 40)) AS k)")
+@query("SELECT c_custkey AS o_custkey, coalesce((SELECT max(o_orderkey) FROM orders WHERE o_custkey = c_custkey), 0) AS newest FROM customer")
 def agg_max_default(t):
     newest = t.orders.groupBy("o_custkey").agg(F.max("o_orderkey").alias("m"))
-    return t.spark.range(40).withColumnRenamed("id", "o_custkey").join(newest, "o_custkey", "left").select("o_custkey", F.coalesce("m", F.lit(0)).alias("newest"))
+    return t.customer.select(F.col("c_custkey").alias("o_custkey")).join(newest, "o_custkey", "left").select("o_custkey", F.coalesce("m", F.lit(0)).alias("newest"))
 
 
 @query("SELECT DISTINCT source FROM documents ORDER BY source")
@@ -284,11 +284,11 @@ def set_intersect(t):
 
 
 _DIAG = """d AS (SELECT o_orderkey, list_distinct(list(l_returnflag)) AS a, list_distinct(list(l_linestatus)) AS b, list_distinct(list(l_returnflag) FILTER (l_quantity > 40)) AS c
-    FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey < 3000 GROUP BY o_orderkey)"""
+    FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey)"""
 
 
 def _diagnostics(t):
-    rows = t.lineitem.where("l_orderkey < 3000").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+    rows = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.collect_set("l_returnflag").alias("a"), F.collect_set("l_linestatus").alias("b"), F.collect_set(F.when(F.col("l_quantity") > 40, F.col("l_returnflag"))).alias("c")
     )
     return rows.join(t.orders.select("o_orderkey"), "o_orderkey", "left_semi")

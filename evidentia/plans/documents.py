@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import guideline
+from ..operators import curated, guideline
 from ..operators.splitting import split_by_length as split_texts
 from .registry import query
 
@@ -13,7 +13,7 @@ def _pages(t):
     """Conversations as documents: each turn a page with one recommendation, system turns without a grade."""
     n = F.col("turn") + 1
     grade = F.when(F.col("role") == "system", "").otherwise(" B/Moderate")
-    text = F.concat(n, F.lit("\nⅣ. 권고사항\n1. "), F.col("role"), F.lit("\n【R"), n, F.lit("】\n권고안 권고등급/근거수준\n"), F.left("text", F.lit(300)), grade, F.lit("\n(1) 배경\n"), F.col("text"))
+    text = F.concat(n, F.lit("\nⅣ. 권고사항\n1. "), F.col("role"), F.lit("\n【R"), n, F.lit("】\n권고안 권고등급/근거수준\n"), F.col("text"), grade, F.lit("\n(1) 배경\n"), F.col("text"))
     return t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), text.alias("text"))
 
 
@@ -50,14 +50,34 @@ def pipeline_decision(t):
     return t.documents.select("doc_id", guideline.decision(d % 5 != 0, d % 7 != 0, d % 3 == 0, d % 2 == 0).alias("decision"))
 
 
+_LISTED = ", ".join(f"('{i}', '{v}', '{h}')" for i, v, h in curated.NOT_TARGETS)
+
+
+@query(
+    f"""WITH listed AS (SELECT * FROM (VALUES {_LISTED}) v(id, version, hash)),
+    d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '2013-08' ELSE '2007-10' END AS version, CASE WHEN doc_id % 2 = 0 THEN '{curated.NOT_TARGETS[6][2]}' ELSE '{curated.NOT_TARGETS[0][2]}' END AS hash FROM documents)
+    SELECT doc_id, CASE WHEN id IS NOT NULL AND d.version = l.version AND d.hash = l.hash THEN 'SKIP' ELSE 'FAIL' END AS decision,
+    CASE WHEN id IS NOT NULL THEN concat_ws(',', CASE WHEN d.version <> l.version THEN 'version' END, CASE WHEN d.hash <> l.hash THEN 'file_hash' END) END AS differs FROM d LEFT JOIN listed l ON id = doc_id::VARCHAR"""
+)
+def not_target_decision(t):
+    """The list of documents that are no targets, on documents that do not parse: listed ones are skipped, expired entries are named."""
+    d = F.col("doc_id")
+    version = F.when(d % 3 == 0, "2013-08").otherwise("2007-10")
+    digest = F.when(d % 2 == 0, curated.NOT_TARGETS[6][2]).otherwise(curated.NOT_TARGETS[0][2])
+    docs = t.documents.select("doc_id", F.lit(curated.SOURCE_SYSTEM).alias("source_system"), d.cast("string").alias("external_id"), version.alias("version"), digest.alias("file_hash"))
+    got = curated.looked_up(docs, curated.not_targets(t.spark))
+    no = F.lit(False)
+    return got.select("doc_id", guideline.decision(no, no, F.col("listed") | F.col("expired"), F.col("expired")).alias("decision"), F.array_join("differs", ",").alias("differs"))
+
+
 @query(
-    """WITH p AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN html WHEN page_id % 4 = 1 THEN '%PDF-1.7 ' || left(html, 50) ELSE left(html, 20) END AS body, CASE WHEN page_id % 4 = 0 THEN 'text/html; charset=utf-8' ELSE 'application/pdf' END AS kind FROM pages)
+    """WITH p AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN html WHEN page_id % 4 = 1 THEN '%PDF-1.7 ' || html ELSE html END AS body, CASE WHEN page_id % 4 = 0 THEN 'text/html; charset=utf-8' ELSE 'application/pdf' END AS kind FROM pages)
     SELECT page_id, CASE WHEN kind LIKE 'text/html%' THEN 'SKIPPED' WHEN body NOT LIKE '\\%PDF%' ESCAPE '\\' THEN 'FAILED' WHEN page_id % 8 = 1 THEN 'UNCHANGED' ELSE 'FETCHED' END AS verdict FROM p"""
 )
 def acquire_verdict(t):
     """Web pages are skipped, other bodies must be PDF; a known digest is only touched."""
     k = F.col("page_id") % 4
-    body = F.when(k == 0, F.col("html")).when(k == 1, F.concat(F.lit("%PDF-1.7 "), F.left("html", F.lit(50)))).otherwise(F.left("html", F.lit(20)))
+    body = F.when(k == 0, F.col("html")).when(k == 1, F.concat(F.lit("%PDF-1.7 "), F.col("html"))).otherwise(F.col("html"))
     kind = F.when(k == 0, "text/html; charset=utf-8").otherwise("application/pdf")
     rows = t.pages.select("page_id", body.alias("body"), kind.alias("kind"), F.sha2(F.encode(body, "UTF-8"), 256).alias("digest"))
     known = rows.where("page_id % 8 = 1").select("page_id", F.col("digest").alias("known"))

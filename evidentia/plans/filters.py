@@ -101,10 +101,10 @@ def scope_tenant(t):
     return rows.transform(scoped, "c_nationkey", 7).select("c_custkey", "c_name")
 
 
-@query("SELECT k AS c_custkey, EXISTS (SELECT 1 FROM customer WHERE c_custkey = k AND c_nationkey = 7) AS found FROM (SELECT unnest(range(0, 50)) AS k)")
+@query("SELECT o_custkey AS c_custkey, EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_nationkey = 7) AS found FROM (SELECT DISTINCT o_custkey FROM orders)")
 def exists_in_scope(t):
-    """Whether each of fifty ids exists in the scope, deleted or not."""
-    asked = t.spark.range(50).withColumnRenamed("id", "c_custkey")
+    """Whether the customer of each order exists in the scope, deleted or not."""
+    asked = t.orders.select(F.col("o_custkey").alias("c_custkey")).distinct()
     there = t.customer.where("c_nationkey = 7").select("c_custkey").distinct().withColumn("found", F.lit(True))
     return asked.join(there, "c_custkey", "left").select("c_custkey", F.coalesce("found", F.lit(False)).alias("found"))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import series
-from ..streaming.keyed import Breaker, Suppressor, fold
+from ..streaming.keyed import Breaker, RateBlock, Suppressor, fold
 from ..streaming.streams import progress
 from .registry import query
 
@@ -106,14 +106,14 @@ def log_rate(t):
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events WHERE user_id < 40),
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events),
     s AS (SELECT event_id, user_id, event_type, k, true AS shown, ts AS last FROM e WHERE k = 1 UNION ALL
     SELECT e.event_id, e.user_id, e.event_type, e.k, e.ts - s.last >= INTERVAL 24 HOUR, CASE WHEN e.ts - s.last >= INTERVAL 24 HOUR THEN e.ts ELSE s.last END FROM s JOIN e ON e.user_id = s.user_id AND e.event_type = s.event_type AND e.k = s.k + 1)
     SELECT event_id, shown FROM s"""
 )
 def alert_dedup(t):
     """Repeats of an alert within a day of the one shown are hidden."""
-    rows = t.events.where("user_id < 40").select("event_id", "user_id", "event_type", "ts")
+    rows = t.events.select("event_id", "user_id", "event_type", "ts")
     return fold(rows, ["user_id", "event_type"], "ts", ["ts", "event_id"], lambda: Suppressor(86400.0), [], "shown", "boolean").select("event_id", "shown")
 
 
@@ -124,6 +124,19 @@ def circuit_state(t):
     return fold(rows, ["user_id"], "ts", ["ts", "event_id"], lambda: Breaker(pause=259200.0), ["failed"], "state", "string").select("event_id", "state")
 
 
+@query(
+    """WITH e AS (SELECT event_id, user_id, ts, event_type = 'error' AS limited, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value * 1000 END AS retry FROM events),
+    u AS (SELECT *, CASE WHEN limited THEN epoch_us(ts) / 1e6 + CASE WHEN retry > 0 THEN retry ELSE 60.0 END END AS until FROM e),
+    l AS (SELECT *, last_value(until IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM u)
+    SELECT event_id, coalesce(epoch_us(ts) / 1e6 < held, false) AS blocked FROM l"""
+)
+def rate_blocked(t):
+    """Calls held back after a limit was hit, for as long as its answer says, or a minute."""
+    retry = F.when(F.col("event_id") % 3 != 0, F.col("value") * 1000)
+    rows = t.events.select("event_id", "user_id", "ts", (F.col("event_type") == "error").alias("limited"), retry.alias("retry"))
+    return fold(rows, ["user_id"], "ts", ["ts", "event_id"], RateBlock, ["limited", "retry"], "blocked", "boolean").select("event_id", "blocked")
+
+
 @query(
     """SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, count(*) AS n_events, CASE WHEN arg_max(event_type, (ts, event_id)) = 'purchase' THEN 'snapshot,job.completed' ELSE 'snapshot' END AS frames FROM events GROUP BY user_id"""
 )

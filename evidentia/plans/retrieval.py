@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..engine.views import CHUNKS_SQL, QUESTIONS_SQL
 from ..functions import text
-from ..functions.trigram import jaccard, trigram_set
 from ..operators import evaluation, search
 from ..operators.lookup import all_references_known
 from ..operators.scope import corpus_predicate
@@ -41,18 +40,16 @@ def vector_topk(t):
     return search.vector_arm(t.questions(), t.chunks(), 5).select("question_id", "chunk_id", "distance", "vector_rank")
 
 
-@query(f"WITH {CHUNKS_SQL}, {QUESTIONS_SQL}, {_SETS} SELECT question_id, chunk_id, round(coalesce(len(list_intersect(qg, cg)) / nullif(len(qg) + len(cg) - len(list_intersect(qg, cg)), 0)::DOUBLE, 0), 9) AS similarity FROM qs, cs WHERE question_id < 3")
+@query(f"WITH {CHUNKS_SQL}, {QUESTIONS_SQL}, {_SETS} SELECT question_id, chunk_id, round(coalesce(len(list_intersect(qg, cg)) / nullif(len(qg) + len(cg) - len(list_intersect(qg, cg)), 0)::DOUBLE, 0), 9) AS similarity FROM qs, cs WHERE question_id <> chunk_id")
 def trigram_jaccard(t):
-    q = t.questions(3).select("question_id", trigram_set(F.col("question")).alias("qg"))
-    pairs = search.paired(q, t.chunks().select("chunk_id", trigram_set(F.col("content")).alias("cg")))
-    return pairs.select("question_id", "chunk_id", F.round(jaccard(F.col("qg"), F.col("cg")), 9).alias("similarity"))
+    """The measure itself, of every question and every chunk but its own, scored in blocks."""
+    return search.keyword_pairs(t.questions(), t.chunks(), None).select("question_id", "chunk_id", (-F.col("value")).alias("similarity"))
 
 
 @query()
 def word_similarity_arm(t):
-    """The asymmetric measure, of short questions: the first forty characters of a text."""
-    q = t.questions(5).withColumn("question", F.left("question", F.lit(40)))
-    return search.keyword_arm(q, t.chunks(), K, "word").select("question_id", "chunk_id", "similarity", "keyword_rank")
+    """The asymmetric measure, of whole questions."""
+    return search.keyword_arm(t.questions(), t.chunks(), K, "word").select("question_id", "chunk_id", "similarity", "keyword_rank")
 
 
 @query(f"{_FUSED} SELECT question_id, chunk_id, distance, vector_rank::INTEGER AS vector_rank, keyword_rank::INTEGER AS keyword_rank, round(score, 9) AS score, rank::INTEGER AS rank FROM fused")
@@ -92,6 +89,21 @@ def rerank_apply(t):
     return search.reordered(search.fused(v, k), q.select("question_id", order.alias("order")))
 
 
+@query(
+    f"""{_VECTOR}, o AS (SELECT question_id, chunk_id, vector_rank, row_number() OVER (PARTITION BY question_id ORDER BY label = question_label DESC, vector_rank) AS place FROM varm)
+    SELECT question_id, chunk_id, place::INTEGER AS position FROM o WHERE place <= 5"""
+)
+def real_path(t):
+    """The path that evaluations share with answers: vector search alone, the re-ranker's order, the first five.
+
+    The re-ranker here prefers chunks that carry the question's label.
+    """
+    found = search.vector_arm(t.questions(), t.chunks(), K).withColumn("rank", F.col("vector_rank"))
+    place = F.struct((F.col("label") != F.col("question_label")).cast("int"), "rank")
+    orders = found.groupBy("question_id").agg(F.transform(F.sort_array(F.collect_list(place)), lambda x: x["rank"]).alias("order"))  # K places a question
+    return search.reordered(found, orders)
+
+
 @query(
     """WITH a AS (SELECT doc_id, 'see [' || (doc_id % 9) || '] and [2] and [' || (doc_id % 4 + 1) || ']' AS answer FROM documents),
     m AS (SELECT DISTINCT doc_id, unnest([doc_id % 9, 2, doc_id % 4 + 1])::INTEGER AS marker FROM a) SELECT doc_id, marker, 'quote ' || marker AS quote FROM m WHERE marker BETWEEN 1 AND 5"""
@@ -105,13 +117,13 @@ def citations_extract(t):
 
 
 @query(
-    f"""{_VECTOR} SELECT question_id, sha256(string_agg('[' || vector_rank || '] ' || guideline || chr(10) || left(content, 200), chr(10) || chr(10) ORDER BY vector_rank)) AS prompt FROM varm v JOIN chunks c ON c.chunk_id = v.chunk_id WHERE vector_rank <= 5 GROUP BY question_id"""
+    f"""{_VECTOR} SELECT question_id, sha256(string_agg('[' || vector_rank || '] ' || guideline || chr(10) || content, chr(10) || chr(10) ORDER BY vector_rank)) AS prompt FROM varm v JOIN chunks c ON c.chunk_id = v.chunk_id WHERE vector_rank <= 5 GROUP BY question_id"""
 )
 def prompt_concat(t):
     """Numbered evidence; at most five pieces a question are gathered."""
     best = search.vector_arm(t.questions(), t.chunks(), 5).select("question_id", "chunk_id", "vector_rank")
     rows = best.join(t.chunks().select("chunk_id", "guideline", "content"), "chunk_id")
-    piece = F.concat(F.lit("["), F.col("vector_rank"), F.lit("] "), F.col("guideline"), F.lit("\n"), F.left("content", F.lit(200)))
+    piece = F.concat(F.lit("["), F.col("vector_rank"), F.lit("] "), F.col("guideline"), F.lit("\n"), F.col("content"))
     parts = F.sort_array(F.collect_list(F.struct("vector_rank", piece.alias("p"))))
     return rows.groupBy("question_id").agg(text.sha256_hex(F.array_join(F.transform(parts, lambda x: x["p"]), "\n\n")).alias("prompt"))
 
@@ -172,7 +184,7 @@ def eval_gates(t):
     return evaluation.gate_confusion(rows)
 
 
-_KEYS = """k AS (SELECT doc_id AS item, CASE WHEN doc_id % 10 = 0 THEN 'nowhere' ELSE source END AS guideline, lang AS version FROM documents WHERE doc_id < 60),
+_KEYS = """k AS (SELECT doc_id AS item, CASE WHEN doc_id % 10 = 0 THEN 'nowhere' ELSE source END AS guideline, lang AS version FROM documents),
 c AS (SELECT doc_id AS chunk_id, source AS guideline, lang AS version FROM documents)"""
 
 
@@ -188,5 +200,5 @@ def labels_unresolved(t):
 
 def _labels(t):
     named = F.when(F.col("doc_id") % 10 == 0, "nowhere").otherwise(F.col("source"))
-    keys = t.documents.where("doc_id < 60").select(F.col("doc_id").alias("item"), named.alias("guideline"), F.col("lang").alias("version"))
+    keys = t.documents.select(F.col("doc_id").alias("item"), named.alias("guideline"), F.col("lang").alias("version"))
     return keys, t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("guideline"), F.col("lang").alias("version")), ["guideline", "version"]

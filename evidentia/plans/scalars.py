@@ -111,12 +111,14 @@ def scalar_status_case(t):
 
 @query(
     """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings) SELECT a.vec_id,
-    round(1 - list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))), 9) AS distance FROM v a, (SELECT e FROM v WHERE vec_id = 0) b"""
+    round(1 - list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))), 9) AS distance FROM v a JOIN v b ON b.vec_id = a.vec_id - a.vec_id % 20"""
 )
 def vector_distance(t):
+    """The distance of each vector to the question that leads its twenty ids."""
     v = t.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    one = v.where("vec_id = 0").select(F.col("e").alias("q"))
-    return v.join(F.broadcast(one), F.lit(True)).select("vec_id", F.round(vectors.cosine_distance(F.col("e"), F.col("q")), 9).alias("distance"))
+    asked = v.select(F.col("vec_id").alias("lead"), F.col("e").alias("q"))
+    got = v.withColumn("lead", F.col("vec_id") - F.col("vec_id") % 20).join(asked, "lead")
+    return got.select("vec_id", F.round(vectors.cosine_distance(F.col("e"), F.col("q")), 9).alias("distance"))
 
 
 @query()
@@ -244,17 +246,34 @@ def source_catalog_filter_limit(t):
     return catalog.filtered(rows, [f"p{i}" for i in (3, 5, 8, 13)], 3, "page_id").select("external_id")
 
 
+_HOSTS = "CASE page_id % 5 WHEN 0 THEN 'hooks.slack.com' WHEN 1 THEN 'discord.com' WHEN 2 THEN 'DISCORDAPP.com' ELSE regexp_extract(url, '^https?://([^/]+)', 1) END"
+
+
 @query(
-    """SELECT page_id, CASE WHEN regexp_extract(url, '^https?://([^/]+)', 1) LIKE '%.com' THEN '{"text":"page ' || page_id || '"}' WHEN regexp_extract(url, '^https?://([^/]+)', 1) LIKE '%.org' THEN '{"content":"page ' || page_id || '"}'
-    ELSE '{"title":"page","detail":"' || page_id || '"}' END AS payload FROM pages"""
+    f"""WITH p AS (SELECT page_id, lower({_HOSTS}) AS host FROM pages) SELECT page_id, CASE WHEN host = 'hooks.slack.com' THEN '{{"text":"page ' || page_id || '"}}' WHEN host IN ('discord.com', 'discordapp.com') THEN '{{"content":"page ' || page_id || '"}}'
+    ELSE '{{"title":"page","detail":"' || page_id || '","traceId":"t' || page_id || '","text":"page ' || page_id || '"}}' END AS payload FROM p"""
 )
 def alert_payload_by_host(t):
-    return t.pages.select("page_id", frames.alert_payload(F.parse_url("url", F.lit("HOST")), F.lit("page"), F.col("page_id").cast("string")).alias("payload"))
+    """Three hosts that take a shape of their own, and the hosts of the pages, which take all fields."""
+    k, n = F.col("page_id") % 5, F.col("page_id").cast("string")
+    host = F.when(k == 0, "hooks.slack.com").when(k == 1, "discord.com").when(k == 2, "DISCORDAPP.com").otherwise(F.parse_url("url", F.lit("HOST")))
+    return t.pages.select("page_id", frames.alert_payload(host, F.lit("page"), n, F.concat(F.lit("t"), n)).alias("payload"))
 
 
-@query("SELECT doc_id, replace(trim(regexp_replace(left(text, 200), '\\s+', ' ', 'g')), '|', '\\|') AS cell FROM documents")
+@query("SELECT doc_id, replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '|', '\\|') AS cell FROM documents")
 def report_cell_escape(t):
-    return t.documents.select("doc_id", text.report_cell(F.left("text", F.lit(200))).alias("cell"))
+    return t.documents.select("doc_id", text.report_cell(F.col("text")).alias("cell"))
+
+
+@query("SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS no, 'turn' AS event, coalesce(text, '') AS data FROM conversations WHERE NOT regexp_matches(coalesce(text, ''), '[\\r\\n]')")
+def frames_across_reads(t):
+    """Frames cut into reads of 700 characters, wherever that falls, and read back."""
+    said = F.coalesce("text", F.lit(""))
+    rows = t.conversations.where(~said.rlike("[\\r\\n]")).select("conv_id", "turn", F.concat(F.lit("event: turn\ndata: "), said, F.lit("\n\n")).alias("frame"))
+    body = rows.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "frame"))), lambda x: x["frame"]), "").alias("body"))
+    starts = F.sequence(F.lit(0), F.floor(F.length("body") / 700).cast("int"))
+    reads = body.select("conv_id", "body", F.explode(starts).alias("n")).select("conv_id", "n", F.substr("body", F.col("n") * 700 + 1, F.lit(700)).alias("read"))
+    return frames.reassembled(reads, "conv_id", "n", "read")
 
 
 @query(

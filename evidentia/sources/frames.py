@@ -30,9 +30,23 @@ def parse(body: Column) -> Column:
     return F.filter(F.transform(blocks, frame), lambda f: f["n"] > 0)
 
 
-def alert_payload(host: Column, title: Column, detail: Column) -> Column:
-    """The shape of an alert depends on who receives it."""
+def reassembled(reads: DataFrame, connection: str, order: str, body: str) -> DataFrame:
+    """connection, event, data: the frames of each connection, however its reads cut them.
+
+    The reads of a connection are one body; they are put together before it is parsed.
+    """
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, body))), lambda x: x[body]), "")
+    got = reads.groupBy(connection).agg(parse(whole).alias("frames"))
+    return got.select(connection, F.posexplode("frames").alias("no", "f")).select(connection, "no", "f.event", "f.data")
+
+
+#: Hosts that take an alert in a shape of their own.
+TEXT_HOSTS, CONTENT_HOSTS = ("hooks.slack.com",), ("discord.com", "discordapp.com")
+
+
+def alert_payload(host: Column, title: Column, detail: Column, trace_id: Column | None = None, text_hosts=TEXT_HOSTS, content_hosts=CONTENT_HOSTS) -> Column:
+    """The shape of an alert depends on who receives it: exact hosts, anything else gets all fields."""
     line = F.concat_ws(" ", title, detail)
-    slack = F.to_json(F.struct(line.alias("text")))
-    discord = F.to_json(F.struct(line.alias("content")))
-    return F.when(F.endswith(host, F.lit(".com")), slack).when(F.endswith(host, F.lit(".org")), discord).otherwise(F.to_json(F.struct(title.alias("title"), detail.alias("detail"))))
+    fields = [title.alias("title"), detail.alias("detail"), *([trace_id.alias("traceId")] if trace_id is not None else []), line.alias("text")]
+    known = F.lower(F.coalesce(host, F.lit("")))
+    return F.when(known.isin(*text_hosts), F.to_json(F.struct(line.alias("text")))).when(known.isin(*content_hosts), F.to_json(F.struct(line.alias("content")))).otherwise(F.to_json(F.struct(*fields)))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +34,30 @@ def write_file(folder: str, name: str, body: bytes) -> str:
     return path
 
 
+class FrameSink:
+    """Frames of one connection: events as JSON, a comment line after each silence of ``beat`` seconds, one end however often it is asked for."""
+
+    def __init__(self, write: Callable[[str], None], beat: float = 15.0, clock: Callable[[], float] = time.monotonic):
+        self.write, self.beat, self.clock = write, beat, clock
+        self.last, self.ended = clock(), False
+
+    def send(self, event: dict) -> None:
+        if not self.ended:
+            self.write(f"data: {json.dumps(event, ensure_ascii=False)}\n\n")
+            self.last = self.clock()
+
+    def tick(self) -> None:
+        """To be called now and then."""
+        if not self.ended and self.clock() - self.last >= self.beat:
+            self.write(": heartbeat\n\n")
+            self.last = self.clock()
+
+    def end(self, close: Callable[[], None] = lambda: None) -> None:
+        if not self.ended:
+            self.ended = True
+            close()
+
+
 def metric_lines(samples: DataFrame) -> DataFrame:
     """Exposition lines of samples (name, labels: map, value), in order of name and labels."""
     escaped = lambda v: F.replace(F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))

@@ -76,6 +76,39 @@ class RateBlock:
     def blocked(self, at: float) -> bool:
         return at < self.until
 
+    def step(self, at: float, limited: bool, retry_after: float | None) -> bool:
+        """Whether the call at this instant is held back; its own answer counts from the next one on."""
+        now = self.blocked(at)
+        if limited:
+            self.block(at, None if retry_after is None or retry_after != retry_after else retry_after)
+        return now
+
+
+@dataclass
+class Numbering:
+    """Numbers the events of a stream from 0."""
+
+    n: int = -1
+
+    def step(self, at: float) -> int:
+        self.n += 1
+        return self.n
+
+
+@dataclass
+class Reads:
+    """Puts frames together that the reads of a connection cut; each step gives the frames that a read completes."""
+
+    held: str = ""
+
+    def step(self, at: float, read: str) -> list[str]:
+        # a lone carriage return at the end may be the first half of a line end
+        body = self.held + (read or "")
+        tail = "\r" if body.endswith("\r") else ""
+        parts = body[: len(body) - len(tail)].replace("\r\n", "\n").replace("\r", "\n").split("\n\n")
+        self.held = parts.pop() + tail
+        return [x for x in (p.strip("\n") for p in parts) if x]
+
 
 def fold(df: DataFrame, keys: list[str], at: str, order: list[str], machine, inputs: list[str], out: str, kind: str) -> DataFrame:
     """Runs a machine over each key's events in order of time; adds its answers as ``out``.
@@ -101,22 +134,38 @@ def fold(df: DataFrame, keys: list[str], at: str, order: list[str], machine, inp
     return parts.mapInPandas(run, schema)
 
 
-def suppress_stream(events: DataFrame, keys: list[str], at: str, window: float = ALERT_WINDOW) -> DataFrame:
-    """The streaming form of the suppressor: keys, at, shown; state is one number a key, dropped when it is over."""
+def fold_stream(events: DataFrame, keys: list[str], at: str, machine, inputs: list[str], out: str, kind: str, idle_seconds: float) -> DataFrame:
+    """The streaming form of ``fold``: keys, at, inputs and the machine's answer.
+
+    A machine's fields are the state of its key, kept in Spark's state store, and
+    dropped once the key has been idle for ``idle_seconds``.
+    """
+    from dataclasses import astuple, fields
+
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    names = [*keys, at]
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in events.select(*names).schema.fields], "shown boolean"])
+    names = [*keys, at, *inputs]
+    rows = events.select(*names)
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields], f"`{out}` {kind}"])
+    sql = {"float": "double", "int": "long", "bool": "boolean", "str": "string"}
+    kept = ", ".join(f"`{f.name}` {sql[f.type if isinstance(f.type, str) else f.type.__name__]}" for f in fields(machine()))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        machine = Suppressor(window, state.get[0] if state.exists else float("-inf"))
-        pdf = pd.concat(list(batches)).sort_values(at)
-        shown = [machine.step(x.timestamp()) for x in pdf[at]]
-        state.update((machine.shown,))
-        state.setTimeoutDuration(int(window * 2000))
-        yield pdf[names].assign(shown=shown)
-
-    return events.select(*names).groupBy(*keys).applyInPandasWithState(step, schema, "shown double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        now = machine()
+        for f, value in zip(fields(now), state.get if state.exists else ()):
+            setattr(now, f.name, value)
+        pdf = pd.concat(list(batches)).sort_values(at, kind="stable")
+        answers = [now.step(x.timestamp(), *values) for x, *values in zip(pdf[at], *[pdf[c] for c in inputs])]
+        state.update(astuple(now))
+        state.setTimeoutDuration(int(idle_seconds * 1000))
+        yield pdf[names].assign(**{out: answers})
+
+    return rows.groupBy(*keys).applyInPandasWithState(step, schema, kept, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def suppress_stream(events: DataFrame, keys: list[str], at: str, window: float = ALERT_WINDOW) -> DataFrame:
+    """The streaming form of the suppressor: keys, at, shown."""
+    return fold_stream(events, keys, at, lambda: Suppressor(window), [], "shown", "boolean", 2 * window)

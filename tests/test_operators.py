@@ -8,10 +8,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from evidentia.engine import ports
 from evidentia.engine.config import RetrievalConfig, positive
 from evidentia.functions import crypto, lenient, reporting, text, trigram
-from evidentia.operators import evaluation, guideline, lifecycle, paging, search, statistics
-from evidentia.sources import catalog, frames
+from evidentia.operators import curated, evaluation, guideline, lifecycle, paging, search, statistics
+from evidentia.sources import catalog, frames, sinks
 from evidentia.streaming import keyed, streams
 
 # -- documents -------------------------------------------------------------------
@@ -54,9 +55,80 @@ def test_bare_markers_count_only_without_brackets():
 
 
 def test_line_breaks_are_undone():
-    join = guideline.joined
-    assert join("inter-", "vention") == "intervention" and join("low", "dose") == "low dose" and join("권", "고한다") == "권고한다"
-    assert join("환자를", "위해") == "환자를 위해" and join("를", "위해") == "를위해" and join("3", "days") == "3 days"
+    join = guideline.unwrapped
+    assert join("inter-\nvention") == "intervention" and join("low\ndose") == "low dose" and join("권\n고한다") == "권고한다"
+    assert join("환자를\n위해") == "환자를 위해" and join("를\n위해") == "를위해" and join("3\ndays") == "3 days"
+    assert join("3-\n4") == "3-4" and join("약\n은\n좋다") == "약은 좋다" and join("a\nb-\nc\n약") == "a bc약"
+
+
+def test_ratings():
+    rating = guideline.rating_of
+    assert rating("투여한다. A / High 1,2)") == guideline.Rating("A", "High") and rating("GPP") == guideline.Rating("GPP")
+    assert rating("한다. B./very  low").level == "Very Low" and rating("한다. C/Vey Low") == guideline.Rating("C", None, "Vey Low")
+    assert rating("등급이 없다.") is None and rating("Insufficient / GPP") == guideline.Rating("GPP", "Insufficient")
+
+
+BLOCK = "【{0}】\n권고안 권고등급/근거수준\n{1}"
+
+
+@pytest.mark.parametrize(
+    "blocks, duplicated, ungraded",
+    [
+        ([("R1", "한다. A/High"), ("R2", "한다. B/Low")], [], []),
+        ([("R1", "한다. A/High"), ("R1", "한다. B/Low")], ["R1"], []),  # graded twice
+        ([("R1", "등급이 없다."), ("R1", "한다. B/Low")], ["R1"], []),  # an unread grade first: a statement all the same
+        ([("R1", "한다. B/Low"), ("R1", "등급이 없다.")], [], []),  # what follows a graded one without a grade is taken for its explanation
+        ([("R1", "등급이 없다."), ("R1", "등급이 없다.")], [], ["R1"]),
+        ([("R1", "등급이 없다."), ("R2", "한다. B/Low"), ("R1", "한다. A/Low"), ("R2", "한다. A/Low")], ["R1", "R2"], []),
+    ],
+)
+def test_numbers_that_stand_twice(blocks, duplicated, ungraded):
+    r = guideline.read_document(["3\n" + "\n".join(BLOCK.format(*b) for b in blocks)])
+    assert (r.duplicated, r.ungraded, r.missing) == (duplicated, ungraded, [])
+
+
+LAYOUTS = {
+    "trailing consideration": ("7\n" + BLOCK.format("R1", "침을 권한다. A/High\n임상적 고려사항\n출혈을 살핀다."), [("R1", "A", "High", "침을 권한다.\n임상적 고려사항\n출혈을 살핀다.")]),
+    "no consideration": ("7\n" + BLOCK.format("R1", "침을 권한다. B/Low\n(1) 배경\n이유이다."), [("R1", "B", "Low", "침을 권한다."), ("R1", None, None, "(1) 배경\n이유이다.")]),
+    "dotted grade": ("7\n" + BLOCK.format("R1-1", "뜸을 권한다. C./Moderate"), [("R1-1", "C", "Moderate", "뜸을 권한다.")]),
+    "parenthesised number": ("7\n" + BLOCK.format("R(가1)", "약을 권한다. D/Very Low"), [("R(가1)", "D", "Very Low", "약을 권한다.")]),
+    "inconclusive": ("7\n" + BLOCK.format("R2", "판단을 미룬다. Inconclusive"), [("R2", "Inconclusive", None, "판단을 미룬다.")]),
+    "references end a block": ("7\n" + BLOCK.format("R3", "약을 권한다. GPP\n[참고문헌]\n1. Kim A."), [("R3", "GPP", None, "약을 권한다.")]),
+    "consensus": ("7\n【R4】 전문가 합의를\n통해 권고한다.\n① 배경\n이유이다.", [("R4", "GPP", None, "전문가 합의를 통해 권고한다."), ("R4", None, None, "① 배경\n이유이다.")]),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_layouts(name):
+    page, want = LAYOUTS[name]
+    r = guideline.read_document([page])
+    assert [(c.number, c.grade, c.level, c.content) for c in r.chunks] == want and r.missing == r.duplicated == []
+
+
+def test_documents_over_many_batches(spark):
+    pages = [(d, p, f"{p + 1}\n" + BLOCK.format(f"R{p}", f"글 {d}. A/High")) for d in range(90) for p in range(7)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        rows = guideline.read_documents(spark.createDataFrame(pages, "doc_id long, page_no int, text string").repartition(5)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(r.doc_id for r in rows) == [*range(90)] and all(r.numbers == [f"R{p}" for p in range(7)] and r.n_chunks == 7 for r in rows)
+    assert all([c.content for c in r.chunks] == [f"글 {r.doc_id}."] * 7 for r in rows)
+
+
+def test_templates_against_expectations(spark):
+    pages = [(1, 0, "3\n" + BLOCK.format("R1", "한다. A/High")), (2, 0, "3\n본문"), (3, 0, "3\n" + BLOCK.format("R1", "없다.")), (5, 0, "3\n" + BLOCK.format("R1", "한다. A/High"))]
+    expected = [(1, 1, 1, "OK"), (2, 0, 0, "NOT_TARGET"), (3, 1, 1, "OK"), (4, 2, 2, "OK")]
+    got = guideline.verified_templates(spark.createDataFrame(pages, "doc_id long, page_no int, text string"), spark.createDataFrame(expected, "doc_id long, unique_numbers int, recommendations int, status string"))
+    assert {r.doc_id: r.outcome for r in got.collect()} == {1: "same", 2: "same", 3: "mismatch", 4: "missing", 5: "unexpected"}
+
+
+def test_curated_lists(spark):
+    (i, v, h), (j, w, _) = curated.NOT_TARGETS[0], curated.NOT_TARGETS[1]
+    docs = spark.createDataFrame([("NCKM", i, v, h), ("NCKM", j, w, "0"), ("NCKM", "1", v, h), ("other", i, v, h), ("NCKM", i, "2014-01", "0")], "source_system string, external_id string, version string, file_hash string")
+    got = [(r.listed, r.expired, r.differs) for r in curated.looked_up(docs, curated.not_targets(spark)).orderBy("source_system", "external_id", "version").collect()]
+    assert got == [(False, False, None), (True, False, []), (False, True, ["version", "file_hash"]), (False, True, ["file_hash"]), (False, False, None)]
+    assert len(curated.NOT_TARGETS) == 15 and curated.source_defects(spark).first().waived == ["R20"]
 
 
 def test_long_texts_are_cut_after_sentences():
@@ -257,15 +329,82 @@ def test_progress_snapshot(spark):
     assert got == {1: ["snapshot", "job.completed"], 2: ["snapshot"]} and json.dumps(got)
 
 
-def test_no_question_is_cut_by_either_arm(spark, monkeypatch):
-    from evidentia.operators import search
+def test_arms_against_brute_force(spark):
+    import numpy as np
 
-    rows = [(i, [1.0, float(i)], "l", f"text number {i}") for i in range(45)]
-    chunks = spark.createDataFrame(rows, "chunk_id long, vector array<double>, label string, content string")
+    rng = np.random.default_rng(6)
+    texts = ["the knee hurts", "knee pain and more knee pain", "", None, *["".join(rng.choice(list("abcd  "), 30)) for _ in range(56)]]
+    rows = [(i, [0.0] * 4 if i == 7 else [*map(float, rng.normal(size=4))], i % 3, t) for i, t in enumerate(texts)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, vector array<double>, label int, content string").repartition(3)
     questions = chunks.selectExpr("chunk_id AS question_id", "vector AS question_vector", "label AS question_label", "content AS question")
-    for at_once in (1000, 10):
-        monkeypatch.setattr(search, "QUESTIONS_AT_ONCE", at_once)
-        for arm in (search.vector_arm, search.keyword_arm):
-            found = arm(questions, chunks, 2).groupBy("question_id").count().collect()
-            assert {r.question_id: r["count"] for r in found} == {i: 2 for i in range(45)}
-        assert search.paired(questions, chunks.select("chunk_id")).count() == 45 * 45
+    vec, grams = {r[0]: np.array(r[1]) for r in rows}, {r[0]: {*trigram.ordered_trigrams(r[3] or "")} for r in rows}
+
+    def distance(a, b):
+        n = np.linalg.norm(vec[a]) * np.linalg.norm(vec[b])
+        return round(1 - vec[a] @ vec[b] / n, 9) if n else None
+
+    near = {a: sorted((b for b in vec if b != a), key=lambda b: (distance(a, b) is None, distance(a, b) or 0, b))[:4] for a in vec}
+    over = lambda a, b: round(len(grams[a] & grams[b]) / max(1, len(grams[a] | grams[b])), 9)
+    alike = {a: sorted((b for b in vec if b != a), key=lambda b: (-over(a, b), b))[:4] for a in vec}
+    word = lambda a, b: round(brute_word_similarity(texts[a] or "", texts[b] or ""), 9)
+    worded = {a: sorted((b for b in vec if b != a), key=lambda b: (-word(a, b), b))[:4] for a in range(0, 60, 20)}
+    few = questions.where("question_id % 20 = 0")
+    for n in (256, 7):  # one block of questions, and several
+        scored = lambda q, c, kernel, k: search.best_in_blocks(q, c, kernel, k, n, 16)  # noqa: B023, E731
+        best = scored(questions.selectExpr("question_id", "question_label", "question_vector AS q"), chunks.selectExpr("chunk_id", "label", "vector AS c"), search.distances, 4).collect()
+        assert {a: {b for b in near[a]} <= {r.chunk_id for r in best if r.question_id == a} for a in vec} == dict.fromkeys(vec, True)
+    got = search.vector_arm(questions, chunks, 4).orderBy("question_id", "vector_rank").collect()
+    assert [(r.question_id, r.chunk_id, r.distance, r.label, r.question_label) for r in got] == [(a, b, distance(a, b), b % 3, a % 3) for a in vec for b in near[a]]
+    for asked, measure, of, want in ((questions, "jaccard", over, alike), (few, "word", word, worded)):
+        got = search.keyword_arm(asked, chunks, 4, measure).orderBy("question_id", "keyword_rank").collect()
+        assert [(r.question_id, r.chunk_id, r.similarity, r.distance) for r in got] == [(a, b, of(a, b), distance(a, b)) for a in want for b in want[a]]
+    assert search.keyword_pairs(few, chunks, None).count() == 3 * 59 and search.vector_arm(questions.limit(0), chunks, 4).count() == 0
+
+
+def test_reads_and_blocks_and_breakers_as_streams(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # or batches without data go on, to end idle keys
+    body = "event: a\ndata: one\n\n: note\r\n\r\ndata: two\ndata: lines\r\n\r\ndata: half"
+    machine = keyed.Reads()
+    for n in (1, 3, 1000):
+        machine = keyed.Reads()
+        out = [f for i in range(0, len(body), n) for f in machine.step(0.0, body[i : i + n])]
+        assert out == ["event: a\ndata: one", ": note", "data: two\ndata: lines"] and machine.held == "data: half"
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("k", t0 + dt.timedelta(seconds=10 * i), i < 6 or i == 9, None if i % 2 else 5.0) for i in range(14)]
+    schema = "key string, at timestamp, failed boolean, retry double"
+    for half in (rows[:5], rows[5:]):
+        spark.createDataFrame(half, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    for name, make, inputs, kind in (("breaker", keyed.Breaker, ["failed"], "string"), ("block", keyed.RateBlock, ["failed", "retry"], "boolean"), ("number", keyed.Numbering, [], "long")):
+        q = keyed.fold_stream(events, ["key"], "at", make, inputs, "out", kind, 3600).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
+        try:
+            assert q.awaitTermination(60)
+        finally:
+            q.stop()
+        whole = keyed.fold(spark.createDataFrame(rows, schema), ["key"], "at", ["at"], make, inputs, "out", kind)
+        assert sorted((r.at, r.out) for r in spark.table(name).collect()) == sorted((r.at, r.out) for r in whole.collect()), name
+
+
+def test_timeouts_fall_back_and_sinks_end_once(spark):
+    import time
+
+    assert ports.within(lambda: 1, 5, lambda: 2) == 1
+    assert ports.within(lambda: time.sleep(3) or 1, 0.05, lambda: 2) == 2
+    sample = spark.createDataFrame([(1, "a"), (2, "bad"), (3, None)], "chunk_id long, content string")
+
+    def ask(t):
+        if t == "bad":
+            raise ValueError(t)
+        return f"what is {t}?"
+
+    assert [(r.question, r.status) for r in ports.asked(sample, "content", ask).orderBy("chunk_id").collect()] == [("what is a?", "candidate"), (None, "candidate"), ("what is ?", "candidate")]
+    out, now, closed = [], [0.0], []
+    sink = sinks.FrameSink(out.append, clock=lambda: now[0])
+    sink.send({"n": 1})
+    for at in (10.0, 15.0, 29.0, 30.0):
+        now[0] = at
+        sink.tick()
+    for _ in range(2):
+        sink.end(lambda: closed.append(1))
+    sink.send({"n": 2})
+    assert out == ['data: {"n": 1}\n\n', ": heartbeat\n\n", ": heartbeat\n\n"] and closed == [1]
