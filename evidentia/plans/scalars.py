@@ -111,14 +111,14 @@ def scalar_status_case(t):
 
 @query(
     """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings) SELECT a.vec_id,
-    round(1 - list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))), 9) AS distance FROM v a JOIN v b ON b.vec_id = a.vec_id - a.vec_id % 20"""
+    abs(round(1 - list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))), 9)) AS distance FROM v a JOIN v b ON b.vec_id = a.vec_id - a.vec_id % 20"""
 )
 def vector_distance(t):
     """The distance of each vector to the question that leads its twenty ids."""
     v = t.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
     asked = v.select(F.col("vec_id").alias("lead"), F.col("e").alias("q"))
     got = v.withColumn("lead", F.col("vec_id") - F.col("vec_id") % 20).join(asked, "lead")
-    return got.select("vec_id", F.round(vectors.cosine_distance(F.col("e"), F.col("q")), 9).alias("distance"))
+    return got.select("vec_id", F.abs(F.round(vectors.cosine_distance(F.col("e"), F.col("q")), 9)).alias("distance"))
 
 
 @query()
