@@ -32,7 +32,7 @@ UNIT = r"[\x{0E00}-\x{10FFFF}]|[^\s\x{0E00}-\x{10FFFF}]{1,4}"
 #: Hashes in a fingerprint.
 SKETCH = 128
 #: Rows of neighbouring ids in a cell, and cells at most: beyond that, cells grow.
-CELL, MOST_CELLS = 4096, 1 << 16
+CELL, MOST_CELLS = 1024, 1 << 14
 
 
 def _anchor_starts(inner: str) -> Column:
