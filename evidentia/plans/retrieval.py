@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..engine.views import CHUNKS_SQL, QUESTIONS_SQL
+from ..engine.views import CHUNKS_SQL, EVERY, QUESTIONS_SQL
 from ..functions import text
 from ..operators import evaluation, search
 from ..operators.lookup import all_references_known
@@ -48,8 +48,10 @@ def trigram_jaccard(t):
 
 @query()
 def word_similarity_arm(t):
-    """The asymmetric measure, of whole questions."""
-    return search.keyword_arm(t.questions(), t.chunks(), K, "word").select("question_id", "chunk_id", "similarity", "keyword_rank")
+    """The asymmetric measure: every benchmark passage whose id is divisible by 20, whole, asked of all chunks."""
+    asked = t.benchmark.where(F.col("item_id") % EVERY == 0).select((-1 - F.col("item_id")).alias("question_id"), F.lit(0).alias("question_label"), F.col("text").alias("question"))
+    best = search.ranked(search.keyword_pairs(asked, t.chunks(), K, "word"), K, "keyword_rank")
+    return best.select((-1 - F.col("question_id")).alias("item_id"), "chunk_id", (-F.col("value")).alias("similarity"), "keyword_rank")
 
 
 @query(f"{_FUSED} SELECT question_id, chunk_id, distance, vector_rank::INTEGER AS vector_rank, keyword_rank::INTEGER AS keyword_rank, round(score, 9) AS score, rank::INTEGER AS rank FROM fused")
