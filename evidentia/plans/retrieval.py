@@ -43,7 +43,7 @@ def vector_topk(t):
 @query(f"WITH {CHUNKS_SQL}, {QUESTIONS_SQL}, {_SETS} SELECT question_id, chunk_id, round(coalesce(len(list_intersect(qg, cg)) / nullif(len(qg) + len(cg) - len(list_intersect(qg, cg)), 0)::DOUBLE, 0), 9) AS similarity FROM qs, cs WHERE question_id <> chunk_id")
 def trigram_jaccard(t):
     """The measure itself, of every question and every chunk but its own, scored in blocks."""
-    return search.keyword_pairs(t.questions(), t.chunks(), None).select("question_id", "chunk_id", (-F.col("value")).alias("similarity"))
+    return search.keyword_pairs(t.questions(), t.chunks(), None).select("question_id", "chunk_id", (F.lit(0.0) - F.col("value")).alias("similarity"))  # no negative zeros
 
 
 @query()
@@ -51,7 +51,7 @@ def word_similarity_arm(t):
     """The asymmetric measure: every benchmark passage whose id is divisible by 20, whole, asked of all chunks."""
     asked = t.benchmark.where(F.col("item_id") % EVERY == 0).select((-1 - F.col("item_id")).alias("question_id"), F.lit(0).alias("question_label"), F.col("text").alias("question"))
     best = search.ranked(search.keyword_pairs(asked, t.chunks(), K, "word"), K, "keyword_rank")
-    return best.select((-1 - F.col("question_id")).alias("item_id"), "chunk_id", (-F.col("value")).alias("similarity"), "keyword_rank")
+    return best.select((-1 - F.col("question_id")).alias("item_id"), "chunk_id", (F.lit(0.0) - F.col("value")).alias("similarity"), "keyword_rank")
 
 
 @query(f"{_FUSED} SELECT question_id, chunk_id, distance, vector_rank::INTEGER AS vector_rank, keyword_rank::INTEGER AS keyword_rank, round(score, 9) AS score, rank::INTEGER AS rank FROM fused")
@@ -186,21 +186,23 @@ def eval_gates(t):
     return evaluation.gate_confusion(rows)
 
 
-_KEYS = """k AS (SELECT doc_id AS item, CASE WHEN doc_id % 10 = 0 THEN 'nowhere' ELSE source END AS guideline, lang AS version FROM documents),
-c AS (SELECT doc_id AS chunk_id, source AS guideline, lang AS version FROM documents)"""
+_KEYS = """k AS (SELECT doc_id AS item, CASE WHEN doc_id % 10 = 0 THEN 'nowhere' ELSE source END AS guideline, lang AS version, doc_id // 8 AS number FROM documents),
+c AS (SELECT doc_id AS chunk_id, source AS guideline, lang AS version, doc_id // 8 AS number FROM documents)"""
 
 
-@query(f"WITH {_KEYS} SELECT item, chunk_id FROM k JOIN c USING (guideline, version)")
+@query(f"WITH {_KEYS} SELECT item, chunk_id FROM k JOIN c USING (guideline, version, number)")
 def labels_resolve(t):
     return evaluation.resolve(*_labels(t))[0]
 
 
-@query(f"WITH {_KEYS} SELECT item, guideline, version FROM k WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.guideline = k.guideline AND c.version = k.version)")
+@query(f"WITH {_KEYS} SELECT item, guideline, version, number FROM k WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.guideline = k.guideline AND c.version = k.version AND c.number = k.number)")
 def labels_unresolved(t):
     return evaluation.resolve(*_labels(t))[1]
 
 
 def _labels(t):
+    """Labels and chunks by guideline, version and recommendation number; up to eight documents play the chunks of one recommendation."""
+    number = F.floor(F.col("doc_id") / 8).alias("number")
     named = F.when(F.col("doc_id") % 10 == 0, "nowhere").otherwise(F.col("source"))
-    keys = t.documents.select(F.col("doc_id").alias("item"), named.alias("guideline"), F.col("lang").alias("version"))
-    return keys, t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("guideline"), F.col("lang").alias("version")), ["guideline", "version"]
+    keys = t.documents.select(F.col("doc_id").alias("item"), named.alias("guideline"), F.col("lang").alias("version"), number)
+    return keys, t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("guideline"), F.col("lang").alias("version"), number), ["guideline", "version", "number"]
