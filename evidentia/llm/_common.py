@@ -60,6 +60,21 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+#: Keys that hold more than a HOT-th of all rows, of which there are fewer than HOT, are joined by broadcast.
+HOT = 4096
+
+
+def joined(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``side``, which has one row a key and says in ``n`` how many rows hold the key.
+
+    Rows of hot keys stay where they are: the hot part of ``side``, bounded by HOT rows,
+    goes to them.  The others are shuffled; no task gets more than a HOT-th for a key.
+    """
+    most = (side.agg(F.sum("n")).first()[0] or 0) / HOT
+    hot, rest = F.broadcast(side.where(F.col("n") > most).drop("n")), side.where(F.col("n") <= most).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
+
+
 def spare(df: DataFrame, *names: str) -> list[str]:
     """Column names like the given ones that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

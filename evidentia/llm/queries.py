@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, filter_audit, fingerprints, html_text, language, minhash, mixing, packing, source_divergence, token_counts, topk, toxicity
+from . import chat, filter_audit, fingerprints, html_text, language, minhash, mixing, packing, simhash, source_divergence, token_counts, topk, toxicity
 
-MODULES = (minhash, toxicity, language, html_text, packing, fingerprints, chat, mixing, token_counts, topk, filter_audit, source_divergence)
+MODULES = (minhash, toxicity, language, html_text, packing, fingerprints, chat, mixing, token_counts, topk, filter_audit, simhash, source_divergence)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
