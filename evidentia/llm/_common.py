@@ -64,7 +64,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 HOT = 4096
 
 
-def joined(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+def joined(rows: DataFrame, side: DataFrame, *key: str) -> DataFrame:
     """``rows`` with the columns of ``side``, which has one row a key and says in ``n`` how many rows hold the key.
 
     Rows of hot keys stay where they are: the hot part of ``side``, bounded by HOT rows,
@@ -72,7 +72,7 @@ def joined(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
     """
     most = (side.agg(F.sum("n")).first()[0] or 0) / HOT
     hot, rest = F.broadcast(side.where(F.col("n") > most).drop("n")), side.where(F.col("n") <= most).drop("n")
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
+    return rows.join(hot, [*key]).unionByName(rows.join(hot.select(*key), [*key], "left_anti").join(rest, [*key]))
 
 
 def spare(df: DataFrame, *names: str) -> list[str]:

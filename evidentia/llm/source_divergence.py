@@ -96,8 +96,8 @@ def kept_terms(counts: DataFrame, least: int = DOCUMENTS, per_cell: int = CELL)
     """lang, term, total, v, n_lang, cells, cell, pos: the kept terms, dealt into cells and numbered there in UTF-8 order."""
     kept = counts.where("term != ''").groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).where(F.col("docs") >= least)
     kept = C.stored(kept.drop("docs"), "kept-terms")
-    langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("n_lang"))
-    kept = kept.join(langs, "lang").withColumn("cells", F.ceil(F.col("v") / per_cell))
+    langs = kept.groupBy("lang").agg(F.count("*").alias("n"), F.sum("total").alias("n_lang")).withColumn("v", F.col("n"))
+    kept = C.joined(kept, langs, "lang").withColumn("cells", F.ceil(F.col("v") / per_cell))
     kept = kept.withColumn("cell", F.pmod(F.xxhash64("term"), F.col("cells")))
     return kept.withColumn("pos", F.row_number().over(Window.partitionBy("lang", "cell").orderBy("term")) - 1)
 
@@ -110,18 +110,18 @@ def vectors(counts: DataFrame, kept: DataFrame, per_block: int = GROUPS) -> Data
     """
     entries = C.stored(counts.join(kept.select("lang", "term", "cell", "pos"), ["lang", "term"]).select("lang", "source", "cell", "pos", "n"), "entries")
     groups = counts.where("term = ''").select("lang", "source")
-    groups = groups.join(entries.groupBy("lang", "source").agg(F.sum("n").alias("n_group")), ["lang", "source"], "left")
+    groups = groups.join(entries.groupBy("lang", "source").agg(F.sum("n").alias("n_group"), F.count("*").alias("n")), ["lang", "source"], "left")
     by_name = Window.partitionBy("lang").orderBy("source")  # a row a source: the pairs asked for are the square of that
     groups = groups.withColumn("nth", F.row_number().over(by_name) - 1).withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("lang")) / per_block))
-    groups = groups.select("lang", "source", F.coalesce("n_group", F.lit(0)).alias("n_group"), "blocks", F.floor(F.col("nth") / per_block).alias("block"), (F.col("nth") % per_block).alias("seat"))
+    groups = groups.select("lang", "source", F.coalesce("n_group", F.lit(0)).alias("n_group"), F.coalesce("n", F.lit(0)).alias("n"), "blocks", F.floor(F.col("nth") / per_block).alias("block"), (F.col("nth") % per_block).alias("seat"))
     groups = C.stored(groups, "groups")
     blocks = groups.groupBy("lang", "block", "blocks").agg(F.sort_array(F.collect_list(F.struct("seat", "source", "n_group"))).alias("g"))
     cells = kept.groupBy("lang", "cell", "v").agg(F.count("*").alias("v_cell"))
     frame = blocks.join(cells, "lang", "left").select(
         "lang", "block", "blocks", F.coalesce("cell", F.lit(0)).alias("cell"), F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("v_cell", F.lit(0)).alias("v_cell"), "g"
     )
-    held = entries.join(groups.select("lang", "source", "block", "seat"), ["lang", "source"]).groupBy("lang", "cell", "block")
-    held = held.agg(F.collect_list(F.struct("seat", "pos", "n")).alias("e"))  # at most GROUPS times the cell's terms
+    held = C.joined(entries.withColumnRenamed("n", "count"), groups.select("lang", "source", "n", "block", "seat"), "lang", "source").groupBy("lang", "cell", "block")
+    held = held.agg(F.collect_list(F.struct("seat", "pos", F.col("count").alias("n"))).alias("e"))  # at most GROUPS times the cell's terms
     rows = frame.join(held, ["lang", "cell", "block"], "left").select(
         "lang", "cell", "block", "blocks", "v", "v_cell", F.col("g.source").alias("sources"), F.col("g.n_group").alias("totals"), F.col("e.seat").alias("seat"), F.col("e.pos").alias("pos"), F.col("e.n").alias("n")
     )
