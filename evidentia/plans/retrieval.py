@@ -60,6 +60,13 @@ def hybrid_rrf(t):
     return search.fused(v, k).withColumn("score", F.round("score", 9))
 
 
+@query()
+def hybrid_word_rrf(t):
+    """Both arms as the reference system has them, the keyword arm by word similarity of the whole question."""
+    q, c = t.questions(), t.chunks()
+    return search.fused(search.vector_arm(q, c, K), search.keyword_arm(q, c, K, "word")).withColumn("score", F.round("score", 9))
+
+
 @query(f"WITH {CHUNKS_SQL} SELECT model, count(*) AS n FROM chunks GROUP BY model")
 def corpus_count(t):
     c = t.chunks()

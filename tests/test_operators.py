@@ -349,18 +349,51 @@ def test_arms_against_brute_force(spark):
     word = lambda a, b: round(brute_word_similarity(texts[a] or "", texts[b] or ""), 9)
     worded = {a: sorted((b for b in vec if b != a), key=lambda b: (-word(a, b), b))[:4] for a in range(0, 60, 20)}
     few = questions.where("question_id % 20 = 0")
-    for n in (256, 7):  # one block of questions, and several
-        scored = lambda q, c, kernel, k: search.best_in_blocks(q, c, kernel, k, n, 16)  # noqa: B023, E731
-        best = scored(questions.selectExpr("question_id", "question_label", "question_vector AS q"), chunks.selectExpr("chunk_id", "label", "vector AS c"), search.distances, 4).collect()
+    for n in (256, 7):  # one row of questions, which is sent, and a grid of several
+        q, c = questions.selectExpr("question_id", "question_label", "question_vector AS q", "32 AS weight"), chunks.selectExpr("chunk_id", "label", "vector AS c", "32 AS weight")
+        best = search.best_in_cells(q, c, search.distances(4), 4, n, 16).collect()
         assert {a: {b for b in near[a]} <= {r.chunk_id for r in best if r.question_id == a} for a in vec} == dict.fromkeys(vec, True)
     got = search.vector_arm(questions, chunks, 4).orderBy("question_id", "vector_rank").collect()
     assert [(r.question_id, r.chunk_id, r.distance, r.label, r.question_label) for r in got] == [(a, b, distance(a, b), b % 3, a % 3) for a in vec for b in near[a]]
     for asked, measure, of, want in ((questions, "jaccard", over, alike), (few, "word", word, worded)):
         got = search.keyword_arm(asked, chunks, 4, measure).orderBy("question_id", "keyword_rank").collect()
         assert [(r.question_id, r.chunk_id, r.similarity, r.distance) for r in got] == [(a, b, of(a, b), distance(a, b)) for a in want for b in want[a]]
+    kept = search.trigram_index(chunks.select("chunk_id", "label", "vector", "content"), "content")
+    got = search.keyword_arm(few, kept, 4, "word").orderBy("question_id", "keyword_rank").collect()
+    assert [(r.question_id, r.chunk_id, r.similarity) for r in got] == [(a, b, word(a, b)) for a in worded for b in worded[a]]
     assert search.keyword_pairs(few, chunks, None).count() == 3 * 59 and search.vector_arm(questions.limit(0), chunks, 4).count() == 0
 
 
+def test_rows_without_ids_and_odd_vectors(spark):
+    odd = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [1.0, 0.0, 0.0]), (5, [1.0, None]), (6, []), (None, [1.0, 1.0]), (7, [3.0, 0.0])]
+    chunks = spark.createDataFrame([(i, v, 0, f"t {i}") for i, v in odd], "chunk_id long, vector array<double>, label int, content string")
+    questions = chunks.selectExpr("chunk_id AS question_id", "vector AS question_vector", "label AS question_label", "content AS question")
+    got = {(r.question_id, r.chunk_id): r.distance for r in search.vector_arm(questions, chunks, 9).collect()}
+    ids = [i for i, _ in odd if i is not None]
+    assert got.keys() == {(a, b) for a in ids for b in ids if a != b}
+    assert {p: d for p, d in got.items() if d is not None} == {p: d for a, b, d in ((1, 2, 1.0), (1, 7, 0.0), (2, 7, 1.0)) for p in ((a, b), (b, a))}
+    nothing = chunks.withColumn("vector", F.lit(None).cast("array<double>"))
+    assert search.vector_arm(questions, nothing, 2).where("distance IS NOT NULL").count() == 0
+    assert {r.question_id for r in search.keyword_arm(questions, chunks, 9, "word").collect()} == {*ids}
+    assert search.vector_arm(questions, chunks.limit(0), 2).count() == 0
+
+
+def test_no_crossing_of_the_grid_holds_more_than_its_share(spark):
+    questions, chunks = spark.range(300).withColumnRenamed("id", "question_id"), spark.range(5000).withColumnRenamed("id", "chunk_id")
+    q, c = search.grid(questions, chunks, rows=3, cells=10)
+    for side, copies, share in ((q, 10, 100), (c, 3, 500)):
+        n = [r["count"] for r in side.groupBy("row", "cell").count().collect()]
+        assert len(n) == 30 and sum(n) == copies * share * 30 // copies and max(n) < 1.5 * share
+    numbered = lambda df, name: df.select(name, F.lit(0).alias(f"{name[:-2]}label"), F.array(F.lit(1.0)).alias("q" if name[0] == "q" else "c"), F.lit(8).alias("weight"))
+    asked = numbered(questions, "question_id").withColumnRenamed("question_label", "question_label")
+    held = numbered(chunks, "chunk_id").withColumnRenamed("chunk_label", "label")
+    plan = lambda df: df._jdf.queryExecution().toString()
+    grid = plan(search.best_in_cells(asked, held, search.distances(1), 5, 100, 500))
+    assert "FlatMapCoGroupsInArrow" in grid and "BroadcastExchange" not in grid
+    sent = plan(search.best_in_cells(asked, held, search.distances(1), 5, 1000, 500))
+    assert "FlatMapCoGroupsInArrow" not in sent and "Join" in sent
+
+
 def test_reads_and_blocks_and_breakers_as_streams(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # or batches without data go on, to end idle keys
     body = "event: a\ndata: one\n\n: note\r\n\r\ndata: two\ndata: lines\r\n\r\ndata: half"
