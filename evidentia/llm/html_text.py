@@ -7,9 +7,13 @@ forms and the like are no text by definition.  Short blocks stay undecided;
 the second pass gives them the label of the nearest decided neighbour, of the
 better one where both are equally near.
 
-Words in a class or id (``HINTS``) are only a hint: they do not count on the
-page as a whole, on what holds an article or a main heading, behind a
-negation such as "no-sidebar", nor where nothing of the page would be left.
+Words in a class or id (``HINTS``) are only a hint.  A name is cut into words,
+camel case too; its last word decides, words such as "body" or "container"
+left aside: "comment-body" and "siteFooter" are hints, "sidebar-article" is
+none, nor is "no-sidebar" (``STATES``).  Hints do not count on the page as a
+whole, on what holds an article or a main heading, nor where nothing of the
+page would be left; where still nothing is, the block with most text outside
+links stays, unless it is all links.
 Stop words are those listed, and the short words that run through many of the
 page's own blocks; where a page's language shows neither, length and links
 decide alone.
@@ -65,8 +69,11 @@ HINTS = frozenset(
     "comment comments commentlist reply replies respond disqus sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs toolbar share sharing "
     "social newsletter subscribe subscription signup login search related recommended widget popup modal overlay footer masthead pagination pager skip".split()
 )
-#: Words beside a hint that say that the page, or the text itself, is meant.
-NO_HINTS = frozenset("no not without has have with hide hidden page layout wrapper container site body content entry post text story article main".split())
+#: Words beside a hint that tell of a state of the page.
+STATES = frozenset("no not without has have with hide hidden page layout".split())
+#: Words at the end of a name that say nothing of its own, and those that name the text itself.
+PLAIN = frozenset("container wrapper wrap body content contents text inner outer list box area block section item items".split())
+TEXTS = frozenset("site entry post story article main".split())
 #: Short words that stand in this many blocks of a page are stop words of it.
 RUNNING, RUNNING_CHARS = 3, 5
 
@@ -74,7 +81,7 @@ _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']
 _ATTR = re.compile(r"""(?<![^\s"'/])(class|id|role|style|hidden|aria-hidden)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?+(?![^\s/])""", re.I)
 _HIDDEN = re.compile(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
-_PART = re.compile(r"[^a-z]+")
+_PART = re.compile(r"[a-z]+|[A-Z](?:[a-z]+|[A-Z]*(?![a-z]))")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 _HEADING = frozenset(f"h{i}" for i in range(1, 7))
 
@@ -131,19 +138,26 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             at = lt + 1
 
 
+def _hints(name: str) -> bool:
+    """Whether one class name or id names what stands around an article."""
+    words = [w.lower() for w in _PART.findall(name)]
+    if not HINTS.intersection(words) or STATES.intersection(words):
+        return False
+    head = next((w for w in reversed(words) if w not in PLAIN), "")
+    return head not in TEXTS
+
+
 def _says(tag: str, attrs: str) -> tuple[bool, bool]:
     """Whether an element stands around the article for certain, and whether its class or id hints at it."""
     around, hint = tag in AROUND, False
     for name, value in _ATTR.findall(attrs) if attrs else ():
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value.lower()):
             around = True
         elif name == "role":
-            around |= value in ROLES
+            around |= value.lower() in ROLES
         elif name in ("class", "id"):
-            for one in value.split():
-                parts = set(_PART.split(one))
-                hint |= bool(parts & HINTS) and not parts & NO_HINTS
+            hint |= any(map(_hints, value.split()))
     return around, hint and tag not in ("html", "body") and tag not in ARTICLE
 
 
@@ -287,6 +301,10 @@ def classify(blocks: list[Block]) -> list[Block]:
             if b.article or far == float("inf"):
                 bad = False  # where nothing is decided, all is kept
         b.label = first[i] or ("bad" if bad else "good")
+    if blocks and not any(b.label == "good" for b in blocks):
+        own = lambda b: (not b.around) * (len("".join(b.text.split())) - b.linked)
+        best = max(blocks, key=lambda b: (not b.hinted, own(b)))
+        best.label = "good" if own(best) > 0 and not best.hinted else "bad"
     return blocks
 
 

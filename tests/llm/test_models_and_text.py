@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import random
+import re
 import time
 import zlib
+from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -199,6 +203,105 @@ def test_markup_is_read_as_browsers_do():
     assert read(f"<head><title>t</title><body><p>{LONG}<svg><text>z</text></svg> q</p>") == f"{LONG} q"
 
 
+read = html_text.main_text
+
+
+@pytest.mark.parametrize("name", ["comment-body", "post-comments", "entry-comments", "site-footer", "sidebar-content", "cookie-text", "ad-container", "main-nav", "articleComments", "CommentList", "siteFooter", "sidebar_inner"])
+def test_names_of_what_stands_around_an_article(name):
+    for page in (f'<p>{LONG}</p><div class="{name}"><p>{LONG} more of it</p></div>', f'<article><h1>The T</h1><p>{LONG}</p><div class="x {name}"><p>{LONG} more of it</p></div></article>'):
+        assert "more of it" not in read(page) and LONG in read(page)
+
+
+@pytest.mark.parametrize("name", ["article-body", "post-content", "entry", "mainContent", "sidebar-article", "page-with-sidebar", "noSidebar", "has-comments", "shareholder", "adfree", "story"])
+def test_names_of_the_text_itself(name):
+    assert read(f'<p>{LONG}</p><div class="{name}"><p>{LONG} more of it</p></div>') == f"{LONG}\n{LONG} more of it"
+
+
+def test_a_page_of_one_block_rich_in_links_is_kept():
+    linked = f"See <a href=/a>{LONG}</a> and what it says of that."
+    assert read(f"<article><p>{linked}</p></article>") == f"See {LONG} and what it says of that."
+    assert read(f"<nav>{linked}</nav>") == "" and read(f"<p><a href=/a>{LONG}</a></p>") == ""
+
+
+class Plain(HTMLParser):
+    """Blocks of a well-formed page, read by the parser of the standard library."""
+
+    def __init__(self):
+        super().__init__()
+        self.path, self.blocks, self.text, self.linked = [], [], "", 0
+
+    def flush(self):
+        if self.text.split():
+            self.blocks.append((" ".join(self.text.split()), self.linked, [*self.path]))
+        self.text, self.linked = "", 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_text.BLOCKS:
+            self.flush()
+        self.path.append((tag, dict(attrs)))
+
+    def handle_endtag(self, tag):
+        if tag in html_text.BLOCKS:
+            self.flush()
+        self.path.pop()
+
+    def handle_data(self, data):
+        self.text += data
+        if any(t == "a" for t, _ in self.path):
+            self.linked += len("".join(data.split()))
+
+
+def plain_text(page):
+    """The two passes as the docstring has them, block by block against all others."""
+    parser = Plain()
+    parser.feed(page)
+    parser.flush()
+    seen = Counter(w for text, _, _ in parser.blocks if len(text) >= 70 for w in {w for w in re.findall(r"[^\W\d_]+", text.lower()) if len(w) <= 5})
+    stops = html_text.STOP_WORDS | {w for w, n in seen.items() if n >= 3}
+    share = lambda text: sum(w in stops for w in re.findall(r"[^\W\d_]+", text.lower())) / max(1, len(re.findall(r"[^\W\d_]+", text)))
+    out = [(text, any(t in html_text.AROUND for t, _ in path), any(t in ("article", "main") for t, _ in path), linked / len("".join(text.split())), any(a.get("class") == "ad" for _, a in path)) for text, linked, path in parser.blocks]
+    known = any(share(text) >= 0.05 for text, around, *_ in out if len(text) >= 70 and not around)
+
+    def first(text, around, article, links, ad):
+        if around or ad or links > 0.4:
+            return "bad"
+        if article:
+            return "" if len(text) < 70 and share(text) < 0.25 else "good"
+        if len(text) < 70 or not known:
+            return "" if len(text) < 70 else "good"
+        return "good" if share(text) >= 0.25 else "" if share(text) >= 0.05 else "bad"
+
+    labels = [first(*b) for b in out]
+    for i, b in enumerate(out):
+        near = [(abs(i - j), x == "bad") for j, x in enumerate(labels) if x and out[j][2] == b[2]]
+        if not near and not b[2]:
+            near = [(abs(i - j), x == "bad") for j, x in enumerate(labels) if x]
+        if labels[i] == "good" or not labels[i] and not (near and min(near)[1]):
+            yield b[0]
+
+
+def test_against_a_plain_version():
+    rng = random.Random(4)
+    words = "the of and in is that was for with a to this stone river garden window letter morning silver engine market".split()
+    rare = "stone river garden window letter morning silver engine market copper basalt".split()
+    said = lambda n: " ".join(rng.choices(rng.choice([words, words, rare]), k=n))
+    compared = 0
+    for _ in range(600):
+        parts = []
+        for _ in range(rng.randrange(1, 9)):
+            text = said(rng.choice([2, 5, 12, 30]))
+            text = rng.choice([text, text, text, f"<a href='/x'>{text}</a>", f"{said(3)} <a href='/x'>{said(6)}</a> &amp; <b>{said(2)}</b>"])
+            tag = rng.choice(["p", "p", "p", "div", "nav", "footer", "h2", "blockquote"])
+            parts.append(f"<{tag}{rng.choice(['', '', '', ' class="ad"'])}>{text}</{tag}>")
+        cut = rng.randrange(len(parts) + 1)
+        page = "".join(parts[:cut]) + rng.choice(["{}", "<article>{}</article>", "<div><main>{}</main></div>"]).format("".join(parts[cut:]))
+        want = "\n".join(plain_text(page))
+        if want:
+            assert read(page) == want, page
+        compared += bool(want)
+    assert compared > 200
+
+
 def test_hints_do_not_lose_a_page():
     read = html_text.main_text
     assert read(f'<body class="has-sidebar"><p>{LONG}</p></body>') == LONG
