@@ -7,9 +7,10 @@ plans run it inside Arrow batches on the executors.
 from __future__ import annotations
 
 import os
+import threading
 import time
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future
 from concurrent.futures import TimeoutError as FutureTimeout
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -25,6 +26,9 @@ T = TypeVar("T")
 EMBED_BATCH, ATTEMPTS, PAUSE = 96, 2, 0.3
 #: Seconds that a streamed answer, and a structured one, may take.
 STREAM_SECONDS, STRUCTURE_SECONDS = 120.0, 20.0
+#: Calls that may hang in a worker at one time.
+HANGING = 16
+_THREADS = threading.BoundedSemaphore(HANGING)
 
 
 class Embedder(Protocol):
@@ -108,14 +112,31 @@ def embed_column(df: DataFrame, text: str, out: str, embedder: Embedder) -> Data
 
 
 def within(call: Callable[[], T], seconds: float, otherwise: Callable[[], T]) -> T:
-    """The answer of a call, or what stands in for it if the call takes longer than ``seconds``; a late answer is dropped."""
-    pool = ThreadPoolExecutor(1)
+    """The answer of a call, or what stands in for it if the call takes longer than ``seconds``; a late answer is dropped.
+
+    A call that never returns keeps its thread, so a worker has HANGING of them at
+    most: where all hang, calls wait for one as long as they would for an answer.
+    """
+    until = time.monotonic() + seconds
+    if not _THREADS.acquire(timeout=seconds):
+        return otherwise()
+    answer: Future[T] = Future()
+
+    def run() -> None:
+        try:
+            answer.set_result(call())
+        except BaseException as e:
+            answer.set_exception(e)
+        finally:
+            _THREADS.release()
+
+    threading.Thread(target=run, daemon=True).start()
     try:
-        return pool.submit(call).result(timeout=seconds)
+        return answer.result(timeout=max(0.0, until - time.monotonic()))
     except FutureTimeout:
+        if answer.done():  # the call itself timed out
+            return answer.result()
         return otherwise()
-    finally:
-        pool.shutdown(wait=False, cancel_futures=True)
 
 
 def asked(sample: DataFrame, text: str, ask: Callable[[str], str], seconds: float = STRUCTURE_SECONDS) -> DataFrame:

@@ -18,7 +18,7 @@ from itertools import accumulate, groupby, islice, pairwise
 from operator import itemgetter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DataType
@@ -392,21 +392,46 @@ def diagnose_documents(pages: DataFrame) -> DataFrame:
     return read_documents(pages).drop("chunks")
 
 
-def verified_templates(pages: DataFrame, expected: DataFrame) -> DataFrame:
-    """Readings of documents against frozen expectations (doc_id, unique_numbers, recommendations, status): what came out, and whether it is as expected.
+def verified_templates(readings: DataFrame, expected: DataFrame, listed: DataFrame) -> DataFrame:
+    """Readings of documents against frozen expectations: doc_id, got_status, outcome and the ``reasons`` of a mismatch.
 
-    A document that is read better than expected is a mismatch too, as is one that
-    nothing was expected of, or that is not there any more.
+    ``readings`` are rows of ``read_documents``, defects that are waived taken out
+    before (``waived``).  ``expected`` has doc_id, status, unique_numbers, recommendations
+    and the sets unparsed, not_derived and unknown_levels (null: empty), ``listed`` the
+    doc_id of documents that are no targets.  That a document is no target is what
+    the expectation says, never that nothing was read: a reader that finds nothing
+    must not pass.  A document that is read better than expected is a mismatch too,
+    as is one that nothing was expected of, or that is not there any more.
     """
-    got = read_documents(pages).select(
-        "doc_id", F.size("numbers").alias("got_numbers"), F.size(F.array_distinct(F.transform(F.filter("chunks", lambda c: c["grade"].isNotNull()), lambda c: c["number"]))).alias("got_recommendations"),
-        F.size(F.flatten(F.array("missing", "duplicated", "ungraded"))).alias("defects"),
+    graded = F.size(F.filter("chunks", lambda c: c["grade"].isNotNull()))
+    unparsed = F.array_distinct(F.flatten(F.array("missing", "duplicated", "ungraded")))
+    got = readings.select(
+        "doc_id", F.size("numbers").alias("got_numbers"), graded.alias("got_recommendations"), unparsed.alias("got_unparsed"), F.col("not_derived").alias("got_not_derived"),
+        F.col("unknown_levels").alias("got_unknown_levels"), F.when(F.size(unparsed) == 0, "OK").otherwise("PARTIAL").alias("got_status"),
     )
-    got = got.withColumn("got_status", template_status(F.col("got_numbers"), F.col("got_recommendations"), F.col("defects")))
-    both = got.join(expected.withColumn("expected", F.lit(True)), "doc_id", "full")
-    same = (F.col("got_numbers") == F.col("unique_numbers")) & (F.col("got_recommendations") == F.col("recommendations")) & (F.col("got_status") == F.col("status"))
-    outcome = F.when(F.col("expected").isNull(), "unexpected").when(F.col("got_status").isNull(), "missing").when(same, "same").otherwise("mismatch")
-    return both.select("doc_id", "got_numbers", "got_recommendations", "got_status", outcome.alias("outcome"))
+    both = got.join(expected.withColumn("expected", F.lit(True)), "doc_id", "full").join(listed.select("doc_id").distinct().withColumn("listed", F.lit(True)), "doc_id", "left")
+    listed_, no_target = F.col("listed").isNotNull(), F.coalesce(F.col("status") == "NOT_TARGET", F.lit(False))
+
+    def other(name: str) -> Column:
+        sets = [F.array_sort(F.array_distinct(F.coalesce(F.col(c), F.array().cast("array<string>")))) for c in (f"got_{name}", name)]
+        return sets[0] != sets[1]
+
+    kinds = {
+        "numbers": F.col("got_numbers") != F.col("unique_numbers"),
+        "recommendations": F.col("got_recommendations") != F.col("recommendations"),
+        "read_no_target": no_target & ((F.col("got_numbers") > 0) | (F.col("got_recommendations") > 0)),
+        "status": ~no_target & (F.col("got_status") != F.col("status")),
+        "unparsed": ~no_target & other("unparsed"),
+        "unknown_levels": ~no_target & other("unknown_levels"),
+        "not_derived": other("not_derived"),
+        "not_listed": no_target & ~listed_,
+        "listed": ~no_target & listed_,
+    }
+    reasons = F.array_compact(F.array(*[F.when(c, F.lit(kind)) for kind, c in kinds.items()]))
+    one_sided = F.when(F.col("expected").isNull(), "unexpected").when(F.col("got_status").isNull(), "missing")
+    reasons = F.when(one_sided.isNull(), reasons).otherwise(F.array().cast("array<string>"))
+    outcome = F.coalesce(one_sided, F.when(F.size(reasons) > 0, "mismatch").otherwise("same"))
+    return both.select("doc_id", "got_status", outcome.alias("outcome"), reasons.alias("reasons"))
 
 
 def guarded(diagnoses: DataFrame) -> DataFrame:
@@ -417,7 +442,7 @@ def guarded(diagnoses: DataFrame) -> DataFrame:
 
 def waived(diagnoses: DataFrame, waivers: DataFrame) -> DataFrame:
     """Takes known defects of the source out of the diagnosis; ``unused`` holds waivers that match nothing any more."""
-    got = diagnoses.join(F.broadcast(waivers), "doc_id", "left")  # a list kept by hand
+    got = diagnoses.join(waivers, "doc_id", "left")  # however many there are: the planner knows their size
     known = F.coalesce("waived", F.array().cast("array<string>"))
     rest = {c: F.array_except(c, known) for c in ("missing", "duplicated", "ungraded")}
     found = F.flatten(F.array("missing", "duplicated", "ungraded"))

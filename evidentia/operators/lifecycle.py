@@ -6,7 +6,7 @@ written to a new directory and committed by that write.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -74,9 +74,29 @@ def finalised(status: Column, failed: Column) -> Column:
 
 
 def superseded(versions: DataFrame, key: list[str], revision: str) -> DataFrame:
-    """Of each key the highest revision is ACTIVE, the others SUPERSEDED."""
-    top = F.max(revision).over(Window.partitionBy(*key))
-    return versions.withColumn("status", F.when(F.col(revision) == top, "ACTIVE").otherwise("SUPERSEDED"))
+    """Of each key the highest revision is ACTIVE, the others SUPERSEDED; a null in a key is a value of its own."""
+    top = versions.groupBy(*key).agg(F.max(revision).alias("__top")).select(*[F.col(k).alias(f"__{k}") for k in key], "__top")
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]
+    rows = versions.join(top, same, "left")
+    return rows.select(*versions.columns, F.when(F.col(revision) == F.col("__top"), "ACTIVE").otherwise("SUPERSEDED").alias("status"))
+
+
+def claimed(attempts: DataFrame, token: str, at: str, order: list[str], expires: str | None = None) -> DataFrame:
+    """Adds ``outcome`` to attempts at tokens that can be used once: the first in order of time is accepted.
+
+    Rivals at the same instant are told apart by ``order``.  Attempts after the token's
+    expiry are expired and consume nothing; those without a token are unknown; one
+    attempt, known by all its columns in ``order``, is accepted again if it is repeated.
+    The first of each token is an aggregate, which is joined back, so a token
+    that many try meets in no window.
+    """
+    live = F.lit(True) if expires is None else F.coalesce(F.col(at) < F.col(expires), F.lit(True))
+    place = F.struct(at, *order)
+    rows = attempts.withColumn("__live", live & F.col(at).isNotNull())
+    first = rows.where(F.col("__live")).groupBy(F.col(token).alias("__token")).agg(F.min(place).alias("__first"))
+    rows = rows.join(first, F.col(token) == F.col("__token"), "left")
+    outcome = F.when(F.col(token).isNull(), "unknown").when(~F.col("__live"), "expired").when(place == F.col("__first"), "accepted").otherwise("consumed")
+    return rows.select(*attempts.columns, outcome.alias("outcome"))
 
 
 def assert_at_most_one(df: DataFrame, active: Column) -> DataFrame:

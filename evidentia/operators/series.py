@@ -12,22 +12,65 @@ def _micros(at: str) -> Column:
     return F.unix_micros(F.col(at).cast("timestamp"))
 
 
-def _last(by: list[str], at: str, seconds: int):
-    return Window.partitionBy(*by).orderBy(_micros(at)).rangeBetween(-seconds * 1_000_000, 0)
+#: A cell is this many windows long, so that a small part of its rows is looked back at from the next one.
+WINDOWS = 4
+
+
+def _celled(df: DataFrame, at: str, seconds: int) -> DataFrame:
+    """Adds ``__us`` and the time cell ``__cell`` of each row: no window over (series, cell) grows with the length of a series."""
+    us = _micros(at)
+    return df.withColumn("__us", us).withColumn("__cell", F.floor(us / (WINDOWS * seconds * 1_000_000)))
+
+
+def _previous(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
+    """Adds ``__before``, the value of the row before in the series, to rows with a ``__cell``.
+
+    Within a cell it is the row before.  The first row of a cell gets the last value of
+    the cell before that has rows: that is carried over one row a cell.
+    """
+    cell = [*by, "__cell"]
+    last = rows.groupBy(*cell).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("__v"))
+    carried = last.withColumn("__c", F.lag("__v").over(Window.partitionBy(*by).orderBy("__cell"))).drop("__v")
+    w = Window.partitionBy(*cell).orderBy(*order)
+    rows = rows.withColumn("__n", F.row_number().over(w)).withColumn("__w", F.lag(value).over(w))
+    keys = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(cell)]
+    carried = carried.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(cell)], "__c")
+    rows = rows.join(carried, keys, "left").withColumn("__before", F.when(F.col("__n") == 1, F.col("__c.v")).otherwise(F.col("__w")))
+    return rows.drop(*[f"__k{i}" for i in range(len(cell))], "__c", "__n", "__w")
+
+
+def _sum_of_last(rows: DataFrame, by: list[str], seconds: int, value: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over the last seconds to rows with a ``__cell``.
+
+    Rows near a cell's end are looked back at from the next cell too, where they are no rows of their own.
+    """
+    span = WINDOWS * seconds * 1_000_000
+    near = (F.col("__cell") + 1) * span - F.col("__us") <= seconds * 1_000_000
+    cells = F.when(near, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    seen = rows.withColumn("__next", F.explode(cells)).withColumn("__cell", F.col("__cell") + F.col("__next"))
+    w = Window.partitionBy(*by, "__cell").orderBy("__us").rangeBetween(-seconds * 1_000_000, 0)
+    return seen.withColumn(name, F.sum(value).over(w)).where("__next = 0").drop("__next")
 
 
 def increase(df: DataFrame, by: list[str], at: str, tie: str, value: str, seconds: int) -> DataFrame:
-    """Adds the increase of a counter over the last seconds; a fall means that it started again at zero."""
-    before = F.lag(value).over(Window.partitionBy(*by).orderBy(at, tie))
+    """Adds the increase of a counter over the last seconds; a fall means that it started again at zero.
+
+    A series is dealt into time cells: however many rows one series has, they are many
+    tasks' work.  Rows without a time have no increase.
+    """
+    before = F.col("__before")
     delta = F.when(before.isNull(), 0.0).when(F.col(value) >= before, F.col(value) - before).otherwise(F.col(value))
-    return df.withColumn("__delta", delta).withColumn("increase", F.sum("__delta").over(_last(by, at, seconds))).drop("__delta")
+    rows = _previous(_celled(df.where(F.col(at).isNotNull()), at, seconds), by, [at, tie], value).withColumn("__delta", delta)
+    rows = _sum_of_last(rows, by, seconds, "__delta", "increase").select(*df.columns, "increase")
+    return rows.unionByName(df.where(F.col(at).isNull()).withColumn("increase", F.lit(None).cast("double")))
 
 
 def changes(df: DataFrame, by: list[str], at: str, tie: str, value: str, seconds: int) -> DataFrame:
-    """Adds how often a value changed in the last seconds."""
-    changed = (F.col(value) != F.lag(value).over(Window.partitionBy(*by).orderBy(at, tie))).cast("int")
-    rows = df.withColumn("__c", changed).withColumn("changes", F.coalesce(F.sum("__c").over(_last(by, at, seconds)), F.lit(0)).cast("long"))
-    return rows.drop("__c")
+    """Adds how often a value changed in the last seconds; series are dealt into time cells as for ``increase``."""
+    changed = (F.col(value) != F.col("__before")).cast("int")
+    rows = _previous(_celled(df.where(F.col(at).isNotNull()), at, seconds), by, [at, tie], value).withColumn("__delta", changed)
+    rows = _sum_of_last(rows, by, seconds, "__delta", "changes").withColumn("changes", F.coalesce("changes", F.lit(0)).cast("long"))
+    return rows.select(*df.columns, "changes").unionByName(df.where(F.col(at).isNull()).withColumn("changes", F.lit(0).cast("long")))
 
 
 def histogram_quantile(buckets: DataFrame, by: list[str], q: float, name: str) -> DataFrame:

@@ -149,3 +149,15 @@ def ttl_denylist(t):
 
     entries = (F.col("event_type") == "error") & (F.col("event_id") % 5 == 0)
     return live_entry(t.events, "user_id", "ts", entries, 960, "denied").select("event_id", "denied")
+
+
+@query(
+    """WITH a AS (SELECT event_id, user_id * 100 + event_id % 40 AS token, ts, ts >= TIMESTAMP '2024-01-20' AS late, user_id % 50 = 0 AS unknown FROM events),
+    f AS (SELECT *, row_number() OVER (PARTITION BY token, late OR unknown ORDER BY ts, event_id) AS k FROM a)
+    SELECT event_id, CASE WHEN unknown THEN 'unknown' WHEN late THEN 'expired' WHEN k = 1 THEN 'accepted' ELSE 'consumed' END AS outcome FROM f"""
+)
+def token_consume_once(t):
+    """Invitations that may be accepted once, and until a day: rival attempts, the first of which is accepted."""
+    token = F.when(F.col("user_id") % 50 != 0, F.col("user_id") * 100 + F.col("event_id") % 40)
+    rows = t.events.select("event_id", "ts", token.alias("token"), F.lit("2024-01-20").cast("timestamp_ntz").alias("expires"))
+    return life.claimed(rows, "token", "ts", ["event_id"], "expires").select("event_id", "outcome")

@@ -49,23 +49,26 @@ def scalar_token_estimate(t):
     return t.conversations.select("conv_id", "turn", text.token_estimate(F.col("text")).alias("tokens"))
 
 
-_MARKED = "concat('see [', doc_id % 5, '] and [', doc_id % 3, '], [', doc_id % 5, '] ', left(text, 60))"
+_MARKED = "concat('see [', doc_id % 5, '] and [', doc_id % 3, '], [', doc_id % 5, '] ', text)"
 
 
-def _marked(t):
+def _marked(t, *others):
     d = F.col("doc_id")
-    said = F.concat(F.lit("see ["), d % 5, F.lit("] and ["), d % 3, F.lit("], ["), d % 5, F.lit("] "), F.left("text", F.lit(60)))
-    return t.documents.select("doc_id", said.alias("answer"))
+    said = F.concat(F.lit("see ["), d % 5, F.lit("] and ["), d % 3, F.lit("], ["), d % 5, F.lit("] "), F.coalesce("text", F.lit("")))
+    return t.documents.select("doc_id", *others, said.alias("answer"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 5 = doc_id % 3 THEN '' || doc_id % 5 ELSE doc_id % 5 || ',' || doc_id % 3 END AS markers FROM documents")
+@query(
+    f"""WITH m AS (SELECT doc_id, list_transform(regexp_extract_all({_MARKED}, '\\[(\\d{{1,9}})\\]', 1), lambda x: x::INTEGER) AS all_ FROM documents)
+    SELECT doc_id, array_to_string(list_filter(all_, lambda x, i: list_position(all_, x) = i), ',') AS markers FROM m"""
+)
 def scalar_markers(t):
     return _marked(t).select("doc_id", F.array_join(text.markers(F.col("answer")), ",").alias("markers"))
 
 
 @query(f"""SELECT doc_id, regexp_matches(text, '(^|\\n)(#|[-*] |```)') OR contains(text, '**') AS markdown, regexp_matches({_MARKED}, '\\[\\d\\]') AS cited FROM documents""")
 def mechanical_checks(t):
-    said = _marked(t).join(t.documents.select("doc_id", "text"), "doc_id")
+    said = _marked(t, "text")
     markdown = F.col("text").rlike(r"(?m)^(#|[-*] |```)") | F.contains("text", F.lit("**"))
     return said.select("doc_id", markdown.alias("markdown"), F.col("answer").rlike(r"\[\d\]").alias("cited"))
 
@@ -265,11 +268,11 @@ def report_cell_escape(t):
     return t.documents.select("doc_id", text.report_cell(F.col("text")).alias("cell"))
 
 
-@query("SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS no, 'turn' AS event, coalesce(text, '') AS data FROM conversations WHERE NOT regexp_matches(coalesce(text, ''), '[\\r\\n]')")
+@query("SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS no, 'turn' AS event, regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') AS data FROM conversations")
 def frames_across_reads(t):
-    """Frames cut into reads of 700 characters, wherever that falls, and read back."""
-    said = F.coalesce("text", F.lit(""))
-    rows = t.conversations.where(~said.rlike("[\\r\\n]")).select("conv_id", "turn", F.concat(F.lit("event: turn\ndata: "), said, F.lit("\n\n")).alias("frame"))
+    """Frames, with a data line for each line of the turn, cut into reads of 700 characters, wherever that falls, and read back."""
+    lines = F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?|\n", "\r\ndata: ")
+    rows = t.conversations.select("conv_id", "turn", F.concat(F.lit("event: turn\r\ndata: "), lines, F.lit("\r\n\r\n")).alias("frame"))
     body = rows.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "frame"))), lambda x: x["frame"]), "").alias("body"))
     starts = F.sequence(F.lit(0), F.floor(F.length("body") / 700).cast("int"))
     reads = body.select("conv_id", "body", F.explode(starts).alias("n")).select("conv_id", "n", F.substr("body", F.col("n") * 700 + 1, F.lit(700)).alias("read"))

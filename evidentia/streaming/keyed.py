@@ -111,7 +111,7 @@ class Reads:
 
 
 def fold(df: DataFrame, keys: list[str], at: str, order: list[str], machine, inputs: list[str], out: str, kind: str) -> DataFrame:
-    """Runs a machine over each key's events in order of time; adds its answers as ``out``.
+    """Runs a machine over each key's events in order of time; adds its answers as ``out``.  Null is a key like any other.
 
     Rows are ordered by Spark and come in batches, so that a key may have more
     events than fit in memory; only the state of the current key is held.
@@ -125,7 +125,9 @@ def fold(df: DataFrame, keys: list[str], at: str, order: list[str], machine, inp
         current, state = None, None
         for pdf in batches:
             answers = []
-            for key, when, *values in zip(zip(*[pdf[k] for k in keys]), pdf["__at"], *[pdf[c] for c in inputs]):
+            # nulls come as values that equal nothing, not even themselves
+            known = [pdf[k].astype(object).where(pdf[k].notna(), None) for k in keys]
+            for key, when, *values in zip(zip(*known), pdf["__at"], *[pdf[c] for c in inputs]):
                 if key != current:
                     current, state = key, machine()
                 answers.append(state.step(when, *values))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from evidentia.engine import ports
 from evidentia.engine.config import RetrievalConfig, positive
 from evidentia.functions import crypto, lenient, reporting, text, trigram
-from evidentia.operators import curated, evaluation, guideline, lifecycle, paging, search, statistics
+from evidentia.operators import curated, evaluation, guideline, lifecycle, paging, search, series, statistics
 from evidentia.sources import catalog, frames, sinks
 from evidentia.streaming import keyed, streams
 
@@ -117,10 +117,88 @@ def test_documents_over_many_batches(spark):
 
 
 def test_templates_against_expectations(spark):
-    pages = [(1, 0, "3\n" + BLOCK.format("R1", "한다. A/High")), (2, 0, "3\n본문"), (3, 0, "3\n" + BLOCK.format("R1", "없다.")), (5, 0, "3\n" + BLOCK.format("R1", "한다. A/High"))]
-    expected = [(1, 1, 1, "OK"), (2, 0, 0, "NOT_TARGET"), (3, 1, 1, "OK"), (4, 2, 2, "OK")]
-    got = guideline.verified_templates(spark.createDataFrame(pages, "doc_id long, page_no int, text string"), spark.createDataFrame(expected, "doc_id long, unique_numbers int, recommendations int, status string"))
-    assert {r.doc_id: r.outcome for r in got.collect()} == {1: "same", 2: "same", 3: "mismatch", 4: "missing", 5: "unexpected"}
+    graded, ungraded, odd = BLOCK.format("R1", "한다. A/High"), BLOCK.format("R1", "없다."), BLOCK.format("R1", "한다. A/Unheard")
+    pages = [(i, 0, "3\n" + text) for i, text in enumerate([graded, "본문", ungraded, graded, "본문", "본문", graded, graded, odd, graded, ungraded, graded, graded])]
+    pages = spark.createDataFrame(pages, "doc_id long, page_no int, text string")
+    readings = guideline.read_documents(pages)
+    level = readings.where("doc_id = 8").first().unknown_levels
+    expected = [
+        (0, "OK", 1, 1, None, None, None), (1, "NOT_TARGET", 0, 0, None, None, None), (2, "OK", 1, 1, ["R1"], None, None), (4, "NOT_TARGET", 0, 0, None, None, None),
+        (5, "OK", 0, 0, None, None, None), (6, "NOT_TARGET", 0, 0, None, None, None), (7, "OK", 2, 1, None, ["R4"], None), (8, "OK", 1, 1, None, None, level), (9, "OK", 1, 1, None, None, ["R1: x"]),
+        (10, "PARTIAL", 1, 0, ["R1", "R1"], None, None), (11, "PARTIAL", 1, 1, None, None, None), (12, "OK", 1, 1, None, None, None), (99, "OK", 1, 1, None, None, None),
+    ]
+    schema = "doc_id long, status string, unique_numbers int, recommendations int, unparsed array<string>, not_derived array<string>, unknown_levels array<string>"
+    listed = spark.createDataFrame([(1,), (6,), (12,), (12,)], "doc_id long")
+    got = {r.doc_id: (r.outcome, r.reasons) for r in guideline.verified_templates(readings, spark.createDataFrame(expected, schema), listed).collect()}
+    same = ("same", [])
+    assert level and got == {
+        0: same, 1: same, 2: ("mismatch", ["recommendations", "status"]), 3: ("unexpected", []), 4: ("mismatch", ["not_listed"]), 5: same, 6: ("mismatch", ["numbers", "recommendations", "read_no_target"]),
+        7: ("mismatch", ["numbers", "not_derived"]), 8: same, 9: ("mismatch", ["unknown_levels"]), 10: same, 11: ("mismatch", ["status"]), 12: ("mismatch", ["listed"]), 99: ("missing", []),
+    }
+    waivers = spark.createDataFrame([(2, ["R1"])], "doc_id long, waived array<string>")
+    after = guideline.verified_templates(guideline.waived(readings, waivers), spark.createDataFrame([(2, "OK", 1, 0, None, None, None)], schema), listed.limit(0))
+    assert after.where("doc_id = 2").first().outcome == "same"
+
+
+def test_series_in_cells_against_whole_series(spark):
+    import random
+
+    rng = random.Random(2)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(rng.choice(["hot", "hot", "hot", "cold", None]), start + dt.timedelta(seconds=rng.choice([0, 10, 40, 400, 4000]) + rng.randrange(200)), i, rng.choice([None, *range(9)])) for i in range(400)]
+    rows += [("hot", None, 900, 4), ("lone", start, 901, 3)]
+    df = spark.createDataFrame([(k, at, i, None if v is None else float(v)) for k, at, i, v in rows], "k string, at timestamp, i int, v double")
+    up, turned = {}, {}
+    for series_ in {r[0] for r in rows}:
+        line, before = sorted((r for r in rows if r[0] == series_ and r[1]), key=lambda r: (r[1], r[2])), None
+        deltas = []
+        for n, (_, at, i, v) in enumerate(line):
+            before = line[n - 1][3] if n else None
+            deltas.append((at, v if before is not None and (v is None or v < before) else 0.0 if before is None else v - before, before is not None and v is not None and v != before))
+            deltas[-1] = (at, deltas[-1][1] if v is not None or before is None else None, deltas[-1][2])
+        for (_, at, i, _) in line:
+            near = [d for d in deltas if 0 <= (at - d[0]).total_seconds() <= 30]
+            sums = [d[1] for d in near if d[1] is not None]
+            up[i], turned[i] = sum(sums) if sums else None, sum(d[2] for d in near)
+    got = {r.i: r.increase for r in series.increase(df, ["k"], "at", "i", "v", 30).collect()}
+    assert got == up | {900: None}
+    got = {r.i: r.changes for r in series.changes(df, ["k"], "at", "i", "v", 30).collect()}
+    assert got == turned | {900: 0}
+    celled = series._celled(df, "at", 30)
+    assert celled.where("k = 'hot'").select("__cell").distinct().count() > 5
+
+
+def test_tokens_are_consumed_once(spark):
+    rows = [("a", 2, 1), ("a", 1, 2), ("a", 1, 3), ("a", 9, 4), ("b", 9, 5), ("b", 8, 6), (None, 1, 7), ("c", None, 8), ("a", 1, 2)]
+    df = spark.createDataFrame([(*r, 8) for r in rows], "token string, at int, n int, until int")
+    got = {(r.token, r.n): r.outcome for r in lifecycle.claimed(df, "token", "at", ["n"], "until").collect()}
+    want = {("a", 1): "consumed", ("a", 2): "accepted", ("a", 3): "consumed", ("a", 4): "expired", ("b", 5): "expired", ("b", 6): "expired", (None, 7): "unknown", ("c", 8): "expired"}
+    assert got == want
+    assert lifecycle.claimed(df, "token", "at", ["n"]).where("outcome = 'accepted'").count() == 3
+
+
+def test_revisions_with_null_keys(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 2), ("a", 2), ("a", 1)], "k string, r int")
+    assert sorted((r.k or "", r.r, r.status) for r in lifecycle.superseded(df, ["k"], "r").collect()) == [("", 1, "SUPERSEDED"), ("", 2, "ACTIVE"), ("a", 1, "SUPERSEDED"), ("a", 2, "ACTIVE"), ("a", 2, "ACTIVE")]
+
+
+def test_a_null_key_has_one_machine(spark):
+    rows = [(k, dt.datetime(2024, 1, 1, 0, 0, i), True) for k in (None, 1) for i in range(7)]
+    df = spark.createDataFrame(rows, "k int, at timestamp, failed boolean")
+    got = keyed.fold(df, ["k"], "at", ["at"], keyed.Breaker, ["failed"], "state", "string").orderBy("k", "at").collect()
+    assert [r.state for r in got] == (["closed"] * 4 + ["open", "rejected", "rejected"]) * 2
+
+
+def test_calls_that_hang_are_bounded():
+    import threading
+
+    stop, n = threading.Event(), threading.active_count()
+    assert [ports.within(stop.wait, 0.02, lambda: "late") for _ in range(ports.HANGING + 5)] == ["late"] * (ports.HANGING + 5)
+    assert threading.active_count() <= n + ports.HANGING
+    stop.set()
+    assert ports.within(lambda: 1, 5.0, lambda: 0) == 1
+    with pytest.raises(ZeroDivisionError):
+        ports.within(lambda: 1 / 0, 5.0, lambda: 0)
 
 
 def test_curated_lists(spark):
