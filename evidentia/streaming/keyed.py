@@ -95,6 +95,43 @@ class Numbering:
         return self.n
 
 
+#: What may follow what in an answer's stream; the kinds without a row here end it.
+FOLLOWS = {
+    "": ("message.accepted",),
+    "message.accepted": ("retrieval.started", "error"),
+    "retrieval.started": ("retrieval.completed", "error"),
+    "retrieval.completed": ("answer.delta", "answer.completed", "answer.abstained", "error"),
+    "answer.delta": ("answer.delta", "answer.completed", "error"),
+}
+
+
+@dataclass
+class Grammar:
+    """Checks the order of an answer's events: accepted, retrieval started and completed, parts of the answer, one end.
+
+    Each step names what is wrong with an event, or gives null.  An event out of
+    place is passed over, so that one slip is told once; parts must be numbered
+    from 0 without a gap.
+    """
+
+    at: str = ""
+    parts: int = 0
+    ended: bool = False
+
+    def step(self, when: float, kind: str, seq: int | None = None) -> str | None:
+        if self.ended:
+            return "after_end"
+        if kind not in FOLLOWS[self.at]:
+            known = kind in FOLLOWS or any(kind in after for after in FOLLOWS.values())
+            return f"{kind or 'null'}_after_{self.at or 'start'}" if known else "unknown_kind"
+        if kind == "answer.delta":
+            if seq is None or seq != seq or int(seq) != self.parts:
+                return "seq_gap"
+            self.parts += 1
+        self.at, self.ended = kind, kind not in FOLLOWS
+        return None
+
+
 @dataclass
 class Reads:
     """Puts frames together that the reads of a connection cut; each step gives the frames that a read completes."""

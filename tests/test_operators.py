@@ -13,7 +13,7 @@ from evidentia.engine.config import RetrievalConfig, positive
 from evidentia.functions import crypto, lenient, reporting, text, trigram
 from evidentia.operators import curated, evaluation, guideline, lifecycle, paging, search, series, statistics
 from evidentia.sources import catalog, frames, sinks
-from evidentia.streaming import keyed, streams
+from evidentia.streaming import keyed, streams, timed
 
 # -- documents -------------------------------------------------------------------
 
@@ -496,6 +496,86 @@ def test_reads_and_blocks_and_breakers_as_streams(spark, tmp_path):
         assert sorted((r.at, r.out) for r in spark.table(name).collect()) == sorted((r.at, r.out) for r in whole.collect()), name
 
 
+def streamed(spark, tmp_path, name, batches, schema, make):
+    """Runs a stream over files, a micro-batch each, and starts it anew after each from its checkpoint."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", timed.STORE)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    rows = []
+    try:
+        for n, batch in enumerate(batches):
+            spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}/in")
+            events = spark.readStream.schema(schema).parquet(f"{tmp_path}/{name}/in")
+            q = make(events).writeStream.foreachBatch(lambda df, _: rows.extend(df.collect())).option("checkpointLocation", f"{tmp_path}/{name}/state").trigger(availableNow=True).start()
+            try:
+                assert q.awaitTermination(120)
+            finally:
+                q.stop()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    return rows
+
+
+def test_events_in_order_of_their_time_however_they_come(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda s: t0 + dt.timedelta(seconds=s)
+    rows = [("k", at(10 * i), i, i < 6 or i == 9) for i in range(14)] + [("j", at(7 * i), i, i % 3 > 0) for i in range(20)]
+    schema = "key string, at timestamp, i int, failed boolean"
+    mixed = [rows[k::3][::-1] for k in range(3)]  # each file holds events of all times, in reverse
+    done = [("z", at(100_000), 0, False)]
+    got = streamed(spark, tmp_path, "order", [mixed[0], mixed[1] + mixed[2], done, [("z", at(300_000), 1, False)]], schema,
+                   lambda e: timed.fold_in_order(e, ["key"], "at", "i", keyed.Breaker, ["failed"], "state", "string", "1 hour", 7200))
+    want = keyed.fold(spark.createDataFrame(rows + done, schema), ["key"], "at", ["at", "i"], keyed.Breaker, ["failed"], "state", "string").collect()
+    assert sorted((r.key, r.i, r.state) for r in got) == sorted((r.key, r.i, r.state) for r in want)
+
+
+def test_state_ends_by_event_time(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [[("k", t0 + dt.timedelta(seconds=s), i)] for i, s in enumerate((0, 60, 4000, 4100, 90_000))]
+    got = streamed(spark, tmp_path, "ttl", rows, "key string, at timestamp, i int",
+                   lambda e: timed.fold_in_order(e, ["key"], "at", "i", keyed.Numbering, [], "n", "long", "1 second", 600))
+    assert sorted((r.i, r.n) for r in got) == [(0, 0), (1, 1), (2, 0), (3, 1)]  # 4000 s is more than 600 after 60 s; the last event still waits
+
+
+def test_beats_of_silent_streams(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    row = lambda k, s, e: (k, t0 + dt.timedelta(seconds=s), e)
+    batches = [[row("a", 0, "x"), row("b", 1, "x"), row("b", 2, "done")], [row("c", 31, "x")], [row("a", 36, "y"), row("b", 37, "late")], [row("c", 60, "x")]]
+    got = streamed(spark, tmp_path, "beats", batches, "key string, at timestamp, kind string", lambda e: timed.beating(e, "key", "at", "kind", ("done",), "0 seconds"))
+    start = t0.replace(tzinfo=dt.UTC).timestamp()
+    of = lambda k: sorted((round(r.at - start), json.loads(r.frame[6:])["seq"] if r.frame.startswith("data: ") else "beat") for r in got if r.key == k)
+    assert of("a") == [(0, 0), (15, "beat"), (30, "beat"), (36, 1), (51, "beat")]
+    assert of("b") == [(1, 0), (2, 1)] and of("c") == [(31, 0), (46, "beat"), (60, 1)]
+
+
+def test_the_order_of_an_answers_events(spark, tmp_path):
+    def wrong(*kinds):
+        machine, n = keyed.Grammar(), 0
+        out = []
+        for k in kinds:
+            kind, seq = (k, None) if isinstance(k, str) or k is None else k
+            out.append(machine.step(0.0, kind, seq))
+            n += 1
+        return out
+
+    begin = ["message.accepted", "retrieval.started", "retrieval.completed"]
+    delta = lambda n: ("answer.delta", n)
+    assert wrong(*begin, delta(0), delta(1), "answer.completed") == [None] * 6
+    assert wrong(*begin, "answer.abstained") == [None] * 4 and wrong("message.accepted", "error", "error") == [None, None, "after_end"]
+    assert wrong(*begin, delta(0), delta(2), delta(1), "answer.completed", "answer.completed") == [None] * 4 + ["seq_gap", None, None, "after_end"]
+    assert wrong("retrieval.started", "message.accepted", delta(0)) == ["retrieval.started_after_start", None, "answer.delta_after_message.accepted"]
+    assert wrong("ping", None, "message.accepted") == ["unknown_kind", "unknown_kind", None]
+    assert wrong(*begin, delta(0), "answer.abstained")[-1] == "answer.abstained_after_answer.delta"
+    t0 = dt.datetime(2024, 1, 1)
+    kinds = [*begin, "answer.delta", "answer.delta", "answer.completed", "answer.delta"]
+    rows = [(c, t0 + dt.timedelta(seconds=i), i, k if c or i != 1 else "answer.delta", i - 3 if i in (3, 4) else None) for c in (0, 1) for i, k in enumerate(kinds)]
+    schema = "conv int, at timestamp, i int, kind string, seq int"
+    batch = keyed.fold(spark.createDataFrame(rows, schema), ["conv"], "at", ["at", "i"], keyed.Grammar, ["kind", "seq"], "wrong", "string").collect()
+    got = streamed(spark, tmp_path, "grammar", [rows[::2], rows[1::2], [(9, t0 + dt.timedelta(days=1), 0, "x", None)]], schema,
+                   lambda e: timed.fold_in_order(e, ["conv"], "at", "i", keyed.Grammar, ["kind", "seq"], "wrong", "string", "1 hour", 7200))
+    assert sorted(((r.conv, r.i, r.wrong) for r in got), key=repr) == sorted(((r.conv, r.i, r.wrong) for r in batch), key=repr)
+
+
 def test_timeouts_fall_back_and_sinks_end_once(spark):
     import time
 
