@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import curated, guideline
 from ..operators.splitting import split_by_length as split_texts
+from ..sources.documents import extracted
 from .registry import query
 
 
@@ -149,3 +150,25 @@ def template_verification(t):
     waivers = facts.select(F.col("conv_id").alias("doc_id"), F.array(F.lit("R1")).alias("waived"))
     got = guideline.verified_templates(guideline.waived(guideline.read_documents(pages), waivers), expected, listed)
     return got.withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query(
+    """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages)
+    SELECT page_id::VARCHAR AS name, CASE WHEN page_id % 17 <> 0 THEN len(string_split(html, '</p>')) END::BIGINT AS pages, CASE WHEN page_id % 17 <> 0 THEN length(replace(html, '</p>', '')) END::BIGINT AS chars,
+    CASE WHEN page_id % 17 = 0 THEN 'ValueError: no text in it' END AS error FROM p"""
+)
+def pages_extracted(t):
+    """Bodies that landed in parts, put together and read into pages by a table function; some cannot be read."""
+    size = 4096
+    rows = t.pages.select(F.col("page_id").cast("string").alias("name"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("b"), (F.col("page_id") % 17 == 0).alias("bad"))
+    whole = F.when(F.col("bad"), F.lit(b"\xff")).otherwise(F.col("b"))
+    starts = F.explode(F.sequence(F.lit(0), F.floor(F.octet_length("b") / size).cast("int"))).alias("part")
+    parts = rows.select("name", whole.alias("b"), starts).select("name", "part", F.substring("b", F.col("part") * size + 1, F.lit(size)).alias("body"))
+
+    def read(body: bytes) -> list[str]:
+        if body.startswith(b"\xff"):
+            raise ValueError("no text in it")
+        return body.decode().split("</p>")
+
+    got = extracted(parts, read)
+    return got.groupBy("name").agg(F.nullif(F.count("page_no"), F.lit(0)).alias("pages"), F.sum(F.length("text")).alias("chars"), F.max("error").alias("error"))

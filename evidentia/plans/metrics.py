@@ -6,10 +6,12 @@ divided by its length.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..engine.metrics import Metrics
 from ..operators import series
-from ..streaming.keyed import Breaker, RateBlock, Suppressor, fold
+from ..streaming.keyed import Breaker, Grammar, RateBlock, Suppressor, fold
 from ..streaming.streams import progress
 from .registry import query
 
@@ -137,6 +139,37 @@ def rate_blocked(t):
     return fold(rows, ["user_id"], "ts", ["ts", "event_id"], RateBlock, ["limited", "retry"], "blocked", "boolean").select("event_id", "blocked")
 
 
+@query(
+    """WITH r AS (SELECT conv_id, turn, conv_id % 5 AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations)
+    SELECT conv_id, turn, CASE WHEN c = 1 AND k > 0 THEN CASE WHEN k = 2 THEN 'retrieval.completed' ELSE 'answer.delta' END || '_after_message.accepted' WHEN c = 2 AND k >= 4 THEN 'seq_gap' WHEN c = 3 AND k >= 3 THEN 'after_end'
+    WHEN c = 4 AND k = 0 THEN 'unknown_kind' WHEN c = 4 THEN CASE k WHEN 1 THEN 'retrieval.started' WHEN 2 THEN 'retrieval.completed' ELSE 'answer.delta' END || '_after_start' END AS wrong FROM r"""
+)
+def answer_grammar(t):
+    """Conversations as the events of an answer, four of five with a slip of their own: what is wrong with each event."""
+    c = F.col("conv_id") % 5
+    k = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1  # a few turns a conversation
+    rows = t.conversations.select("conv_id", "turn", c.alias("c"), k.alias("k"))
+    kind = F.when((F.col("k") == 0) & (F.col("c") == 4), "ping").when(F.col("k") == 0, "message.accepted").when((F.col("k") == 1) & (F.col("c") != 1), "retrieval.started")
+    kind = kind.when((F.col("k") == 2) & (F.col("c") == 3), "error").when(F.col("k") == 2, "retrieval.completed").otherwise("answer.delta")
+    seq = F.col("k") - 3 + F.when((F.col("c") == 2) & (F.col("k") == 4), 7).otherwise(0)
+    events = rows.select("conv_id", "turn", F.timestamp_seconds("turn").alias("at"), kind.alias("kind"), seq.cast("int").alias("seq"))
+    return fold(events, ["conv_id"], "at", ["turn"], Grammar, ["kind", "seq"], "wrong", "string").select("conv_id", "turn", "wrong")
+
+
+@query(
+    """WITH e AS (SELECT count(*) AS n, sum(value) AS s, count(value) AS k, max(event_id) AS m FROM events), b AS (SELECT unnest([1, 5, 10, 50, 100, 500]) AS le)
+    SELECT 'event_id_max' AS name, '' AS labels, round(m::DOUBLE, 6) AS value FROM e UNION ALL SELECT 'events_total', '', n FROM e UNION ALL SELECT 'value_count', '', k FROM e UNION ALL SELECT 'value_sum', '', round(s, 6) FROM e
+    UNION ALL SELECT 'value_bucket', 'le=' || le, count(*) FILTER (value <= le) FROM events, b GROUP BY le UNION ALL SELECT 'value_bucket', 'le=+Inf', k FROM e"""
+)
+def metrics_observed(t):
+    """A counter, a gauge and a histogram told by a job that does something else."""
+    told = Metrics()
+    events = told.watch(t.events, counters={"events_total": F.count("*")}, gauges={"event_id_max": F.max("event_id")}, histograms={"value": (F.col("value"), _BOUNDS)})
+    events.groupBy("event_type").agg(F.max("ts")).write.format("noop").mode("overwrite").save()
+    pairs = F.transform(F.sort_array(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return told.samples(t.spark).select("name", F.array_join(pairs, ",").alias("labels"), F.round("value", 6).alias("value"))
+
+
 @query(
     """SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, count(*) AS n_events, CASE WHEN arg_max(event_type, (ts, event_id)) = 'purchase' THEN 'snapshot,job.completed' ELSE 'snapshot' END AS frames FROM events GROUP BY user_id"""
 )

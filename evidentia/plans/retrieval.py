@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..engine import standins
 from ..engine.views import CHUNKS_SQL, EVERY, QUESTIONS_SQL
 from ..functions import text
 from ..operators import evaluation, search
@@ -159,6 +160,39 @@ def compose_fallback(t):
     return n.select("conv_id", pick("structured", "citations", "summary").alias("source"), pick(F.col("accepted"), F.col("cited"), F.lit(1)).cast("long").alias("items"))
 
 
+_REAL = f"""{_VECTOR}, o AS (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY label = question_label DESC, vector_rank) AS place FROM varm),
+ev AS (SELECT o.question_id, o.place, c.guideline, c.version, c.content FROM o JOIN chunks c USING (chunk_id) WHERE place <= CASE WHEN o.question_id % 40 = 0 THEN 2 ELSE 5 END)"""
+
+
+def _evidence(t):
+    """The evidence of each question on the path that evaluations share; every other question has two pieces only."""
+    found = real_path(t).where((F.col("question_id") % 40 != 0) | (F.col("position") <= 2))
+    return t.questions().select("question_id", "question").join(standins.evidence_of(found, t.chunks()), "question_id")
+
+
+@query(
+    f"""{_REAL}, f AS (SELECT question_id, list_filter(['age', 'history'], lambda x: CASE x WHEN 'age' THEN question_id % 3 > 0 ELSE question_id % 60 = 20 END) AS factors FROM questions)
+    SELECT question_id, CASE WHEN len(any_value(factors)) > 0 THEN 'structured' ELSE 'citations' END AS source, count(*) AS items,
+    sha256(string_agg(CASE WHEN len(factors) > 0 THEN guideline || ' > ' || version ELSE guideline END, chr(10) ORDER BY place)) AS titles FROM ev JOIN f USING (question_id) GROUP BY question_id"""
+)
+def guidance_path(t):
+    """Search, re-rank, structure, validate, compose: items need a fact on record, without one the evidence is cited as it stands."""
+    factors = F.array_compact(F.array(F.when(F.col("question_id") % 3 > 0, "age"), F.when(F.col("question_id") % 60 == 20, "history")))
+    rows = standins.structured(_evidence(t).withColumn("factors", factors), standins.EvidenceStructurer())
+    got = standins.composed(standins.accepted(rows))
+    return got.select("question_id", "source", F.size("titles").cast("long").alias("items"), text.sha256_hex(F.array_join("titles", "\n")).alias("titles"))
+
+
+@query(
+    f"""{_REAL}, n AS (SELECT question_id, count(*) AS n FROM ev GROUP BY question_id)
+    SELECT question_id, (n + CASE WHEN n < 3 THEN 1 ELSE 0 END)::INTEGER AS claims, n::INTEGER AS supported, CASE WHEN n < 3 THEN 'partial' ELSE 'grounded' END AS verdict FROM n"""
+)
+def answers_judged(t):
+    """Answers that quote their evidence, judged by their markers; those that add a sentence of their own are partial."""
+    rows = standins.judged(standins.answered(_evidence(t), standins.QuotingAnswerer()), standins.MarkerJudge())
+    return rows.select("question_id", "judgement.claims", "judgement.supported", "judgement.verdict")
+
+
 # -- evaluation ------------------------------------------------------------------
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from ..operators.evaluation import approved
 
@@ -66,3 +67,38 @@ def pages_of(files: DataFrame, extract: Callable[[bytes], list[str]]) -> DataFra
             yield pd.DataFrame(rows, columns=["name", "page_no", "text"])
 
     return files.select("name", "body").mapInPandas(run, "name string, page_no int, text string")
+
+
+def page_reader(extract: Callable[[bytes], list[str]]):
+    """A table function: the parts of each landed body, in order, to its pages.
+
+    Its input is a table (name, part, body) partitioned by name and ordered by part.
+    An extractor that fails gives a row with the error and no page.
+    """
+
+    @udtf(returnType="name string, page_no int, text string, error string")
+    class Pages:
+        def __init__(self):
+            self.name, self.parts = None, []
+
+        def eval(self, row: Row):
+            self.name = row["name"]
+            self.parts.append(bytes(row["body"] or b""))
+
+        def terminate(self):
+            if not self.parts:
+                return
+            try:
+                pages = [*enumerate(extract(b"".join(self.parts)))]
+            except Exception as e:
+                yield self.name, None, None, f"{type(e).__name__}: {e}"
+                return
+            for n, text in pages:
+                yield self.name, n, text, None
+
+    return Pages
+
+
+def extracted(files: DataFrame, extract: Callable[[bytes], list[str]]) -> DataFrame:
+    """name, page_no, text, error of landed bodies (name, part, body), which may have landed in several parts."""
+    return page_reader(extract)(files.select("name", "part", "body").asTable().partitionBy("name").orderBy("part"))
