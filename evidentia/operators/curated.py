@@ -54,3 +54,12 @@ def looked_up(documents: DataFrame, entries: DataFrame) -> DataFrame:
     axes = mismatched_axes({c: (c, e) for c, e in state.items()})
     found = F.col("entry_version").isNotNull()
     return got.select(*[got[c] for c in documents.columns], (found & (F.size(axes) == 0)).alias("listed"), (found & (F.size(axes) > 0)).alias("expired"), F.when(found, axes).alias("differs"))
+
+
+def known_defects(documents: DataFrame, entries: DataFrame) -> DataFrame:
+    """doc_id, waived: the known defects of each document (doc_id and its state) that an entry names in just that state.
+
+    Goes into ``guideline.waived``; an entry for another version or file waives nothing.
+    """
+    state = ["source_system", "external_id", "version", "file_hash"]
+    return documents.join(entries, state).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("waived"))).alias("waived"))

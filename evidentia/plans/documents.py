@@ -172,3 +172,23 @@ def pages_extracted(t):
 
     got = extracted(parts, read)
     return got.groupBy("name").agg(F.nullif(F.count("page_no"), F.lit(0)).alias("pages"), F.sum(F.length("text")).alias("chars"), F.max("error").alias("error"))
+
+
+_DEFECT = curated.SOURCE_DEFECTS[0]
+
+
+@query(
+    f"""WITH d AS (SELECT conv_id AS doc_id, count(*) AS n, CASE WHEN conv_id % 4 < 3 THEN '{_DEFECT[0]}' ELSE '1' END AS id, CASE WHEN conv_id % 4 = 1 THEN '2020-01' ELSE '{_DEFECT[1]}' END AS version, CASE WHEN conv_id % 4 = 2 THEN 'other' ELSE '{_DEFECT[2]}' END AS hash FROM conversations GROUP BY conv_id)
+    SELECT doc_id, CASE WHEN n < 2 THEN '' WHEN id = '{_DEFECT[0]}' AND version = '{_DEFECT[1]}' AND hash = '{_DEFECT[2]}' THEN '' ELSE '{_DEFECT[4][0]}' END AS duplicated FROM d"""
+)
+def source_defect_waived(t):
+    """A number that the source itself prints twice, in documents whose second page repeats the first: the shipped list waives it in one version of one file."""
+    number, n = _DEFECT[4][0], F.col("conv_id") % 4
+    page = F.concat(F.lit("3\nⅣ. 권고사항\n1. 침\n【"), F.lit(number), F.lit("】\n권고안 권고등급/근거수준\n권고한다. B/Moderate\n(1) 배경\n"), F.col("text"))
+    pages = t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), page.alias("text"))
+    state = t.conversations.select("conv_id").distinct().select(
+        F.col("conv_id").alias("doc_id"), F.lit(curated.SOURCE_SYSTEM).alias("source_system"), F.when(n < 3, _DEFECT[0]).otherwise("1").alias("external_id"),
+        F.when(n == 1, "2020-01").otherwise(_DEFECT[1]).alias("version"), F.when(n == 2, "other").otherwise(_DEFECT[2]).alias("file_hash"),
+    )
+    got = guideline.waived(guideline.diagnose_documents(pages), curated.known_defects(state, curated.source_defects(t.spark)))
+    return got.select("doc_id", F.array_join("duplicated", ",").alias("duplicated"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..engine import standins
+from ..engine.kept import kept
 from ..engine.views import CHUNKS_SQL, EVERY, QUESTIONS_SQL
 from ..functions import text
-from ..operators import evaluation, search
+from ..operators import evaluation, reports, search
 from ..operators.lookup import all_references_known
 from ..operators.scope import corpus_predicate
 from .registry import query
@@ -247,3 +248,104 @@ def _labels(t):
     named = F.when(F.col("doc_id") % 10 == 0, "nowhere").otherwise(F.col("source"))
     keys = t.documents.select(F.col("doc_id").alias("item"), named.alias("guideline"), F.col("lang").alias("version"), number)
     return keys, t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("guideline"), F.col("lang").alias("version"), number), ["guideline", "version", "number"]
+
+
+# -- reports ---------------------------------------------------------------------
+
+_SAID = "format('{{:.3f}}', round(coalesce(count(*) FILTER ({0} AND {1}) / nullif(count(*) FILTER ({1}), 0)::DOUBLE, 0), 3))"
+_MRR = "format('{{:.3f}}', round(coalesce(sum(CASE WHEN {1} AND {0} <= 5 THEN 1.0::DOUBLE / {0} ELSE 0 END) / nullif(count(*) FILTER ({1}), 0), 0), 3))"
+_KEY = "format('{:020d}', item_id)"
+_A, _B = "kind = 'answerable'", "kind = 'abstain'"
+
+
+def _totals(section: str, lines: list[tuple[str, str]]) -> str:
+    return " UNION ALL ".join(f"SELECT '{section}' AS section, {i}::BIGINT AS line, '' AS key, {label!r} || ' | ' || {value} AS cells FROM items" for i, (label, value) in enumerate(lines, 1))
+
+
+@query(
+    f"""{_FUSED}, v AS (SELECT question_id, min(CASE WHEN label = question_label THEN vector_rank END) AS vector_rank, min(distance) AS top_distance FROM varm GROUP BY 1),
+    kk AS (SELECT k.question_id, min(CASE WHEN c.label = q.question_label THEN keyword_rank END) AS keyword_rank FROM karm k JOIN chunks c USING (chunk_id) JOIN questions q USING (question_id) GROUP BY 1),
+    rr AS (SELECT f.question_id, min(CASE WHEN c.label = q.question_label THEN rank END) AS reranked_rank, arg_min(c.guideline, rank) AS top_guideline FROM fused f JOIN chunks c ON c.chunk_id = f.chunk_id JOIN questions q ON q.question_id = f.question_id GROUP BY 1),
+    items AS (SELECT question_id AS item_id, CASE WHEN question_id % 60 = 0 THEN 'abstain' ELSE 'answerable' END AS kind, vector_rank, keyword_rank, reranked_rank, top_distance, question_id % 12 AS top_relevance, top_guideline,
+      CASE WHEN top_distance > {CUTOFF} THEN 'distance' WHEN question_id % 12 < 4 THEN 'score' END AS gate FROM v JOIN kk USING (question_id) JOIN rr USING (question_id)),
+    qs_ AS (SELECT kind, list(top_distance ORDER BY top_distance) AS d FROM items GROUP BY kind),
+    at_ AS (SELECT kind, len(d) AS n, d, [least(len(d) - 1, floor(q * len(d))::INT) + 1 for q in [0.1, 0.5, 0.9]] AS i FROM qs_)
+    {_totals("items", [("answerable", f"count(*) FILTER ({_A})"), ("abstain", f"count(*) FILTER ({_B})")])}
+    UNION ALL {_totals("ranks", [("recall@5", _SAID.format("vector_rank <= 5", _A)), ("mrr@5", _MRR.format("vector_rank", _A)), ("recall@10", _SAID.format("vector_rank <= 10", _A))])}
+    UNION ALL {_totals("candidates", [("keyword recall", _SAID.format("keyword_rank <= 10", _A)), ("union coverage", _SAID.format("(coalesce(vector_rank <= 10, false) OR coalesce(keyword_rank <= 10, false))", _A))])}
+    UNION ALL {_totals("reranked", [("recall@5", _SAID.format("reranked_rank <= 5", _A)), ("mrr@5", _MRR.format("reranked_rank", _A)), ("abstain recall", _SAID.format("gate IS NOT NULL", _B)), ("over-abstain", _SAID.format("gate IS NOT NULL", _A))])}
+    UNION ALL {_totals("distance gate", [("abstain recall", _SAID.format("coalesce(gate = 'distance', false)", _B)), ("over-abstain", _SAID.format("coalesce(gate = 'distance', false)", _A))])}
+    UNION ALL SELECT 'top distances', 1, kind, kind || ' | ' || n || ' | ' || format('{{:.4f}}', round(d[i[1]], 4)) || ' | ' || format('{{:.4f}}', round(d[i[2]], 4)) || ' | ' || format('{{:.4f}}', round(d[i[3]], 4)) FROM at_
+    UNION ALL SELECT 'relevance', 1, kind, kind || ' | ' || array_to_string([len(list_filter(r, lambda x: least(x, 10) = b)) for b in range(11)], ' | ') FROM (SELECT kind, list(top_relevance) AS r FROM items GROUP BY kind)
+    UNION ALL SELECT 'not found', 1, {_KEY}, concat_ws(' | ', item_id, 'q' || item_id, coalesce(vector_rank::VARCHAR, '—'), coalesce(keyword_rank::VARCHAR, '—')) FROM items WHERE {_A} AND coalesce(vector_rank > 5, true)
+    UNION ALL SELECT 'answered wrongly', 1, {_KEY}, concat_ws(' | ', item_id, 'q' || item_id, format('{{:.4f}}', round(top_distance, 4)), top_relevance, top_guideline) FROM items WHERE {_B} AND gate IS NULL
+    UNION ALL SELECT 'abstained wrongly', 1, {_KEY}, concat_ws(' | ', item_id, 'q' || item_id, gate, format('{{:.4f}}', round(top_distance, 4)), top_relevance, coalesce(vector_rank::VARCHAR, '—')) FROM items WHERE {_A} AND gate IS NOT NULL"""
+)
+def report_retrieval(t):
+    """The report of a retrieval evaluation, every line of it; labels stand in for relevance."""
+    q, v, k = _arms(t)
+    v, k = kept(v, "vector-arm"), kept(k, "keyword-arm")
+    asked, held = q.select("question_id", "question_label"), t.chunks().select("chunk_id", "label", "guideline")
+    hit = F.col("label") == F.col("question_label")
+    first = lambda df, rank, *more: df.join(held, "chunk_id").join(asked, "question_id").groupBy("question_id").agg(F.min(F.when(hit, F.col(rank))).alias(rank), *more)
+    vector = v.groupBy("question_id").agg(F.min(F.when(hit, F.col("vector_rank"))).alias("vector_rank"), F.min("distance").alias("top_distance"))
+    merged = first(search.fused(v, k), "rank", F.min_by("guideline", "rank").alias("top_guideline")).withColumnRenamed("rank", "reranked_rank")
+    rows = vector.join(first(k, "keyword_rank"), "question_id").join(merged, "question_id")
+    n = F.col("question_id")
+    gate = F.when(F.col("top_distance") > CUTOFF, "distance").when(n % 12 < 4, "score")
+    items = rows.select(n.alias("item_id"), F.concat(F.lit("q"), n).alias("question"), F.when(n % 60 == 0, "abstain").otherwise("answerable").alias("kind"), "vector_rank", "keyword_rank", "reranked_rank", "top_distance", (n % 12).alias("top_relevance"), "top_guideline", gate.alias("gate"))
+    return reports.retrieval_report(items, 5, K).where("line > 0").select("section", "line", "key", F.array_join("cells", " | ").alias("cells"))
+
+
+@query(
+    """WITH s AS (SELECT doc_id AS item_id, len(parts) AS claims, len(list_filter(parts, lambda x: contains(x, 'the'))) AS supported, length(text) AS chars, parts FROM (
+      SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '[.!?\\n]+'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM documents)),
+    items AS (SELECT *, claims - supported AS unsupported, CASE WHEN item_id % 13 <> 0 THEN CASE WHEN claims = supported THEN 'grounded' WHEN supported > 0 THEN 'partial' ELSE 'ungrounded' END END AS verdict FROM s),
+    j AS (SELECT count(*) AS n, sum(claims) AS c, sum(supported) AS s, sum(unsupported) AS u FROM items WHERE verdict IS NOT NULL)
+    SELECT 'verdicts' AS section, i AS line, '' AS key, concat_ws(' | ', v, count(*) FILTER (verdict = v), format('{:.1f}%', round(count(*) FILTER (verdict = v) * 100.0::DOUBLE / count(verdict), 1))) AS cells FROM items, (VALUES (1::BIGINT, 'grounded'), (2, 'partial'), (3, 'ungrounded')) x(i, v) GROUP BY i, v
+    UNION ALL SELECT 'claims', 1, '', 'all | ' || c || ' | —' FROM j UNION ALL SELECT 'claims', 2, '', concat_ws(' | ', 'supported', s, format('{:.1f}%', round(s * 100.0::DOUBLE / c, 1))) FROM j UNION ALL SELECT 'claims', 3, '', 'miscited | 0 | 0.0%' FROM j UNION ALL SELECT 'claims', 4, '', concat_ws(' | ', 'unsupported', u, format('{:.1f}%', round(u * 100.0::DOUBLE / c, 1))) FROM j
+    UNION ALL SELECT 'mechanical', 1, '', 'markdown | ' || count(*) FILTER (item_id % 7 = 0) FROM items UNION ALL SELECT 'mechanical', 2, '', 'no marker | ' || count(*) FILTER (supported = 0) FROM items
+    UNION ALL SELECT 'suppression', 3, '', 'insufficiency disclosed | ' || count(*) FILTER (item_id % 5 = 0 AND verdict IS NOT NULL) FROM items
+    UNION ALL SELECT 'flagged', 1, format('{:020d}', item_id), concat_ws(' | ', item_id, verdict, 0, unsupported, sha256(array_to_string(list_filter(parts, lambda x: NOT contains(x, 'the'))[:2], ' / ')), '—') FROM items WHERE verdict <> 'grounded'
+    UNION ALL SELECT 'failures', 1, format('{:020d}', item_id), item_id || ' | judge | late' FROM items WHERE verdict IS NULL"""
+)
+def report_groundedness(t):
+    """The report of a groundedness evaluation: sentences as claims, supported where they hold an article; some items were not judged."""
+    parts = F.filter(F.transform(F.split("text", r"[.!?\n]+"), lambda x: F.trim(x)), lambda x: x != "")
+    rows = t.documents.select(F.col("doc_id").alias("item_id"), "text", parts.alias("parts"))
+    held, n = F.size(F.filter("parts", lambda x: F.contains(x, F.lit("the")))), F.col("item_id")
+    judged = n % 13 != 0
+    rows = rows.withColumns({"claims": F.size("parts"), "supported": held, "miscited": F.lit(0), "unsupported": F.size("parts") - held})
+    verdict = F.when(judged, F.when(F.col("unsupported") == 0, "grounded").when(F.col("supported") > 0, "partial").otherwise("ungrounded"))
+    digest = F.sha2(F.encode(F.array_join(F.slice(F.filter("parts", lambda x: ~F.contains(x, F.lit("the"))), 1, 2), " / "), "UTF-8"), 256)
+    items = rows.select(
+        "item_id", verdict.alias("verdict"), "claims", "supported", "miscited", "unsupported", F.array(digest).alias("examples"), F.array().cast("array<string>").alias("miscited_examples"), F.length("text").alias("answer_chars"),
+        (n % 7 == 0).alias("markdown"), (F.col("supported") == 0).alias("no_marker"), (n % 5 == 0).alias("disclosed"), F.when(~judged, "judge").alias("stage"), F.when(~judged, "late").alias("reason"),
+    )
+    got = reports.groundedness_report(items).where("line > 0 AND NOT (section = 'suppression' AND line < 3)")
+    return got.select("section", "line", "key", F.array_join("cells", " | ").alias("cells"))
+
+
+@query(
+    """WITH c AS (SELECT conv_id AS item_id, conv_id % 4 AS g, count(*) AS produced, count(*) FILTER (role = 'user') AS accepted, (count(*) * 7 % 20)::DOUBLE AS seconds FROM conversations GROUP BY conv_id),
+    cases AS (SELECT *, g = 3 AS bare, CASE WHEN item_id % 9 = 0 THEN 'skipped' WHEN accepted > 3 OR g = 3 AND item_id % 10 > 0 THEN 'fallback' ELSE 'structured' END AS outcome, CASE WHEN item_id % 11 = 5 THEN 'no answer' END AS reason FROM c),
+    e AS (SELECT * FROM cases WHERE reason IS NULL), f AS (SELECT count(*) FILTER (outcome = 'fallback' AND NOT bare) AS fell, count(*) FILTER (outcome <> 'skipped' AND NOT bare) AS rated, count(*) FILTER (outcome = 'structured' AND bare) AS bad FROM e),
+    s AS (SELECT list(seconds ORDER BY seconds) AS d FROM cases WHERE outcome <> 'skipped')
+    SELECT 'outcomes' AS section, i AS line, '' AS key, concat_ws(' | ', o, count(*) FILTER (outcome = o), format('{:.1f}%', round(count(*) FILTER (outcome = o) * 100.0::DOUBLE / count(*), 1))) AS cells FROM e, (VALUES (1::BIGINT, 'structured'), (2, 'fallback'), (3, 'skipped')) x(i, o) GROUP BY i, o
+    UNION ALL SELECT 'fallback rate', 1, '', concat_ws(' | ', 'rate', fell, rated, format('{:.1f}%', round(fell * 100.0::DOUBLE / rated, 1)), bad) FROM f
+    UNION ALL SELECT 'two legs', 1, '', 'produced | ' || sum(produced) FROM cases UNION ALL SELECT 'two legs', 2, '', 'accepted | ' || sum(accepted) FROM cases UNION ALL SELECT 'two legs', 3, '', 'share | ' || format('{:.1f}%', round(sum(accepted) * 100.0::DOUBLE / sum(produced), 1)) FROM cases
+    UNION ALL SELECT 'seconds', 1, '', concat_ws(' | ', format('{:.2f}', d[floor(0.5 * len(d))::INT + 1]), format('{:.2f}', d[floor(0.9 * len(d))::INT + 1]), format('{:.2f}', d[len(d)]), '20.00') FROM s
+    UNION ALL SELECT 'cases', 1, concat_ws(' ', format('{:020d}', g), format('{:020d}', item_id), 'c' || item_id), concat_ws(' | ', g, item_id, 'c' || item_id, outcome, CASE WHEN bare THEN '' ELSE 'age' END, produced, accepted, 'guided') FROM e
+    UNION ALL SELECT 'failures', 1, format('{:020d}', item_id), concat_ws(' | ', item_id, 'c' || item_id, reason) FROM cases WHERE reason IS NOT NULL"""
+)
+def report_guidance(t):
+    """The report of a guidance evaluation over conversations as cases."""
+    n = F.col("item_id")
+    rows = t.conversations.groupBy(F.col("conv_id").alias("item_id")).agg(F.count("*").alias("produced"), F.count_if(F.col("role") == "user").alias("accepted"))
+    bare = n % 4 == 3
+    outcome = F.when(n % 9 == 0, "skipped").when((F.col("accepted") > 3) | bare & (n % 10 > 0), "fallback").otherwise("structured")
+    cases = rows.select(
+        "item_id", F.concat(F.lit("c"), n).alias("label"), (n % 4).alias("expectation"), outcome.alias("outcome"), F.when(bare, F.array().cast("array<string>")).otherwise(F.array(F.lit("age"))).alias("fields"), "produced", "accepted",
+        F.when(outcome != "skipped", (F.col("produced") * 7 % 20).cast("double")).alias("seconds"), F.array(F.lit("guided")).alias("titles"), F.when(n % 11 == 5, "no answer").alias("reason"),
+    )
+    return reports.guidance_report(cases).where("line > 0").select("section", "line", "key", F.array_join("cells", " | ").alias("cells"))

@@ -74,3 +74,20 @@ def markdown_table(df: DataFrame, most_rows: int = 200) -> str:
         raise ValueError(f"a report table holds {most_rows} rows at most; aggregate first")
     line = lambda cells: f"| {' | '.join(cells)} |"
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *[line(r) for r in rows]])
+
+
+def report_lines(report: DataFrame, title: str, sections: list[str]) -> DataFrame:
+    """section, line, key, part, text: the Markdown of a report (section, line, key, cells), which these columns put in order."""
+    place = F.array_position(F.array(*map(F.lit, sections)), F.col("section"))
+    row = F.concat(F.lit("| "), F.array_join(F.transform("cells", lambda c: report_cell(F.coalesce(c, F.lit("—")))), " | "), F.lit(" |"))
+    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.size("cells")), " | "), F.lit(" |"))
+    head = F.array(F.lit(""), F.concat(F.lit("## "), F.col("section")), F.lit(""), row, rule)
+    lines = F.when(F.col("line") == 0, head).otherwise(F.array(row))
+    body = report.where(place > 0).select(place.alias("section"), "line", "key", F.posexplode(lines).alias("part", "text"))
+    first = report.sparkSession.range(1).select(F.lit(0).cast("long").alias("section"), F.lit(0).cast("long").alias("line"), F.lit("").alias("key"), F.lit(0).alias("part"), F.lit(f"# {title}").alias("text"))
+    return first.unionByName(body.withColumn("section", F.col("section").cast("long")))
+
+
+def write_report(report: DataFrame, title: str, sections: list[str], path: str) -> None:
+    """Writes a report as text files whose order is that of the lines; a long one is many tasks' work."""
+    report_lines(report, title, sections).orderBy("section", "line", "key", "part", "text").select("text").write.mode("overwrite").text(path)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from evidentia.engine import ports
 from evidentia.engine.config import RetrievalConfig, positive
 from evidentia.functions import crypto, lenient, reporting, text, trigram
-from evidentia.operators import curated, evaluation, guideline, lifecycle, paging, search, series, statistics
+from evidentia.operators import curated, evaluation, guideline, lifecycle, paging, reports, search, series, statistics
 from evidentia.sources import catalog, frames, sinks
 from evidentia.streaming import keyed, streams, timed
 
@@ -168,6 +168,52 @@ def test_series_in_cells_against_whole_series(spark):
     assert celled.where("k = 'hot'").select("__cell").distinct().count() > 5
 
 
+def test_reports_of_the_three_evaluations(spark, tmp_path):
+    schema = "item_id string, question string, kind string, vector_rank int, keyword_rank int, reranked_rank int, top_distance double, top_relevance double, top_guideline string, gate string"
+    items = [
+        ("a1", "q|1", "answerable", 1, None, 1, 0.1, 9.6, "g", None), ("a2", "q2", "answerable", 7, 2, 4, 0.2, 12.0, "g", None), ("a3", "q3", "answerable", None, None, None, float("inf"), None, None, "distance"),
+        ("n1", "q4", "abstain", None, None, None, 0.9, 3.0, "h", "score"), ("n2", "q5", "abstain", None, None, None, 0.4, 8.0, "h", None),
+    ]
+    of = lambda report: {(r.section, r.line, r.key): r.cells for r in report.collect()}
+    report = reports.retrieval_report(spark.createDataFrame(items, schema))
+    got = of(report)
+    value = lambda section, line: got[section, line, ""][1:]
+    assert value("items", 1) == ["3"] and value("ranks", 1) == ["0.333"] and value("ranks", 2) == ["0.333"] and value("ranks", 3) == ["0.667"]
+    assert value("candidates", 1) == ["0.333"] and value("candidates", 2) == ["0.667"] and value("reranked", 1) == ["0.667"] and value("reranked", 2) == ["0.417"]
+    assert value("reranked", 3) == ["0.500"] and value("reranked", 4) == ["0.333"] and value("distance gate", 1) == ["0.000"] and value("distance gate", 2) == ["0.333"]
+    assert got["top distances", 1, "abstain"] == ["abstain", "2", "0.4000", "0.9000", "0.9000"] and got["top distances", 1, "answerable"] == ["answerable", "2", "0.1000", "0.2000", "0.2000"]
+    assert got["relevance", 1, "answerable"] == ["answerable", *["0"] * 10, "2"] and {k[2] for k in got if k[:2] == ("not found", 1)} == {"a2", "a3"}
+    assert got["answered wrongly", 1, "n2"] == ["n2", "q5", "0.4000", "8.0", "h"] and got["abstained wrongly", 1, "a3"] == ["a3", "q3", "distance", "—", "—", "—"]
+    sinks.write_report(report, "Search", ["not found", "items"], f"{tmp_path}/report")
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/report", wholetext=False).collect()]
+    assert lines[:7] == ["# Search", "", "## not found", "", "| item | question | vector rank | keyword rank |", "| --- | --- | --- | --- |", "| a2 | q2 | 7 | 2 |"] and lines[-2:] == ["| answerable | 3 |", "| abstain | 2 |"]
+
+    schema = "item_id long, verdict string, claims int, supported int, miscited int, unsupported int, examples array<string>, miscited_examples array<string>, answer_chars int, markdown boolean, no_marker boolean, disclosed boolean, stage string, reason string"
+    items = [
+        (2, "grounded", 4, 4, 0, 0, [], [], 100, False, False, True, None, None), (10, "partial", 4, 2, 1, 1, ["x|y"], ["z"], 50, True, False, False, None, None),
+        (3, None, None, None, None, None, None, None, 30, False, True, None, "judge", "late"), (4, None, None, None, None, None, None, None, None, None, None, None, "answer", "down"),
+    ]
+    got = of(reports.groundedness_report(spark.createDataFrame(items, schema)))
+    assert value("verdicts", 1) == ["1", "50.0%"] and value("verdicts", 3) == ["0", "0.0%"] and value("claims", 1) == ["8", "—"] and value("claims", 3) == ["1", "12.5%"]
+    assert value("mechanical", 1) == ["1"] and value("mechanical", 2) == ["1"] and value("suppression", 1) == ["4.0"] and value("suppression", 2) == ["60.0"] and value("suppression", 3) == ["1"]
+    assert [c for k, c in sorted(got.items()) if k[0] == "flagged"][1] == ["10", "partial", "1", "1", "x|y", "z"] and sum(k[0] == "failures" for k in got) == 3
+    got = of(reports.groundedness_report(spark.createDataFrame([], schema)))
+    assert value("verdicts", 1) == ["0", "—"] and value("suppression", 1) == ["0.0"]
+
+    schema = "item_id string, label string, expectation string, outcome string, fields array<string>, produced int, accepted int, seconds double, titles array<string>, reason string"
+    cases = [("b", "x", "full", "structured", ["age"], 3, 2, 1.0, ["t1", "t2"], None), ("a", "y", "full", "fallback", ["age"], 2, 0, 4.0, [], None), ("a", "x", "none", "structured", [], 1, 1, 2.0, ["t"], None), ("c", "x", "none", "skipped", ["age"], 0, 0, None, [], None), ("d", "x", "none", None, ["age"], None, None, None, None, "down")]
+    got = of(reports.guidance_report(spark.createDataFrame(cases, schema)))
+    assert value("outcomes", 1) == ["2", "50.0%"] and got["fallback rate", 1, ""] == ["rate", "1", "2", "50.0%", "1"] and value("two legs", 3) == ["50.0%"]
+    assert got["seconds", 1, ""] == ["2.00", "4.00", "4.00", "20.00"] and [k[2] for k in sorted(got) if k[:2] == ("cases", 1)] == ["full a y", "full b x", "none a x", "none c x"]
+    assert got["failures", 1, "d"] == ["d", "x", "down"]
+
+
+def test_the_shipped_list_of_defects_waives_one_state(spark):
+    (i, v, h, _, numbers) = curated.SOURCE_DEFECTS[0]
+    docs = spark.createDataFrame([(1, "NCKM", i, v, h), (2, "NCKM", i, "2020-01", h), (3, "NCKM", i, v, "0"), (4, "other", i, v, h)], "doc_id long, source_system string, external_id string, version string, file_hash string")
+    assert [(r.doc_id, r.waived) for r in curated.known_defects(docs, curated.source_defects(spark)).collect()] == [(1, list(numbers))]
+
+
 def test_tokens_are_consumed_once(spark):
     rows = [("a", 2, 1), ("a", 1, 2), ("a", 1, 3), ("a", 9, 4), ("b", 9, 5), ("b", 8, 6), (None, 1, 7), ("c", None, 8), ("a", 1, 2)]
     df = spark.createDataFrame([(*r, 8) for r in rows], "token string, at int, n int, until int")
