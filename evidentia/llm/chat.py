@@ -98,16 +98,17 @@ def _hashed(paths: Column) -> Column:
 
 
 def payload_paths(payload: Column, layouts=LAYOUTS) -> Column:
-    """The paths of a JSON record that any layout knows; a list stands for its first element, an empty one for itself."""
+    """The paths of a JSON record that any layout knows; a list stands for the paths of all its elements, an empty one for itself."""
     known = sorted({p for paths, _ in layouts for p in paths})
     lists = sorted({p.split("[].")[0] for p in known if "[]." in p})
     keys = F.json_object_keys(payload)
     parts = [F.filter(keys, lambda k: k.isin([p for p in known if "[]" not in p]))]
     for name in lists:
-        inner = F.json_object_keys(F.get_json_object(payload, f"$.{name}[0]"))
+        elements = F.from_json(F.get_json_object(payload, f"$.{name}"), "array<string>")
+        inner = F.array_distinct(F.flatten(F.transform(elements, lambda x: F.coalesce(F.json_object_keys(x), F.array().cast("array<string>")))))
         own = F.filter(F.transform(inner, lambda k: F.concat(F.lit(f"{name}[]."), k)), lambda p: p.isin(known))
         empty = F.get_json_object(payload, f"$.{name}") == "[]"
-        parts.append(F.coalesce(own, F.when(empty, F.array(F.lit(f"{name}[]")))))
+        parts.append(F.when(empty, F.array(F.lit(f"{name}[]"))).otherwise(own))
     nothing = F.array().cast("array<string>")
     return F.concat(*[F.coalesce(p, nothing) for p in parts])
 

@@ -9,7 +9,11 @@ passage are the same in any text, and at the same distances: they are matched
 by position.  What counts as common to two texts is an anchor together with
 the distance to the next one, so that scattered runs alone make no likeness.
 
-The likeness is the Jaccard index of all these pairs of both texts; the
+Texts too short for several anchors would be all or nothing; so of every text,
+however long, the pairs of characters among its first HEAD ones are marks too, each
+with its place.  They weigh much in short texts and little in long ones.
+
+The likeness is the Jaccard index of all these marks of both texts; the
 fingerprint, as an id, lists the SKETCH smallest of their hashes (all, if
 fewer), from which the same index can be estimated within about 0.04.
 
@@ -21,6 +25,8 @@ an id come last; extra columns do not matter; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +37,10 @@ K, S = 5, 2
 UNIT = r"[\x{0E00}-\x{10FFFF}]|[^\s\x{0E00}-\x{10FFFF}]{1,4}"
 #: Hashes in a fingerprint.
 SKETCH = 128
-#: Rows of neighbouring ids in a cell, and cells at most: beyond that, cells grow.
-CELL, MOST_CELLS = 1024, 1 << 14
+#: Characters at the beginning whose pairs are marks.
+HEAD = 9
+#: Rows of neighbouring ids in a cell, and cells at most: beyond that (134 million rows), cells grow.
+CELL, MOST_CELLS = 1024, 1 << 17
 
 
 def _anchor_starts(inner: str) -> Column:
@@ -63,19 +71,17 @@ def with_anchors(df: DataFrame, text: str, out: str = "anchors") -> DataFrame:
     return df.withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(whole))
 
 
-def aligned(a: Column, b: Column, offset: Column) -> Column:
-    """How many anchors of ``a`` stand in ``b`` at the given offset."""
-    moved = F.transform(a, lambda x: F.struct((x["pos"] + offset).alias("pos"), x["hash"].alias("hash")))
-    return F.size(F.array_intersect(moved, b))
-
-
 def with_marks(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds the distinct hashes (32 bits) of the text's anchors, each with the distance to the next."""
+    """Adds the distinct hashes (32 bits) of the text's anchors, each with the distance to the next, and of its first pairs of characters with their places."""
     (anchors,) = C.spare(df, f"{out}_a")
     df = with_anchors(df, text, anchors)
     after = F.slice(F.col(anchors), F.lit(2), F.greatest(F.size(anchors) - 1, F.lit(0)))
     marks = F.zip_with(F.col(anchors), after, lambda x, y: F.shiftright(F.xxhash64(x["hash"], y["pos"] - x["pos"]), 32).cast("int"))
-    return df.withColumn(out, F.array_distinct(marks)).drop(anchors)
+    value = F.coalesce(F.col(text), F.lit(""))
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length(value), F.lit(HEAD)) - 1))
+    head = F.transform(places, lambda i: F.shiftright(F.xxhash64(i, F.substring(value, i, F.lit(2))), 32).cast("int"))
+    head = F.when(F.length(value) > 1, head).otherwise(F.array().cast("array<int>"))
+    return df.withColumn(out, F.array_distinct(F.concat(marks, head))).drop(anchors)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -89,15 +95,16 @@ def as_text(marks: Column) -> Column:
     return F.array_join(F.transform(low, lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), "")
 
 
-def _cell_of(value: Column, cuts: list[int], fan: int = 256) -> Column:
-    """How many of the sorted cuts are below the value, looked up in two steps."""
+def _cell_of(value: Column, cuts: list[int], fan: int = 362) -> Column:
+    """How many of the sorted cuts are below the value, looked up in two steps.
+
+    The cuts are one constant of the plan, however many they are.
+    """
     below = lambda cs: F.size(F.filter(cs, lambda c: c < value))
-    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    constant = lambda xs, kind: F.from_json(F.lit(json.dumps(xs)), kind)  # noqa: E731  folded once
     parts = [cuts[i : i + fan] for i in range(0, len(cuts), fan)]
-    if len(parts) == 1:
-        return below(longs(cuts))
-    part = F.least(below(longs([p[-1] for p in parts])), F.lit(len(parts) - 1))
-    return part * fan + below(F.element_at(F.array(*map(longs, parts)), part + 1))
+    part = F.least(below(constant([p[-1] for p in parts], "array<bigint>")), F.lit(len(parts) - 1))
+    return part * fan + below(F.element_at(constant(parts, "array<array<bigint>>"), part + 1))
 
 
 def with_next(df: DataFrame, cols: list[str], per_cell: int = CELL) -> DataFrame:
@@ -115,20 +122,21 @@ def with_next(df: DataFrame, cols: list[str], per_cell: int = CELL) -> DataFrame
         inner = ids.select(F.percentile_approx("doc_id", [x / cells for x in range(1, cells)], 10 * max(cells, 1000))).first()[0] if cells > 1 else []
         cuts = sorted({*inner, most})
     lowest, top = (-1 if n_rows > n_ids else 0), len(cuts) - 1
-    df = df.withColumn("__cell", F.when(F.col("doc_id").isNull(), -1).otherwise(_cell_of(F.col("doc_id"), cuts)) if cuts else F.lit(-1))
+    cell, nxt, head = C.spare(df, "cell", "next", "head")
+    df = df.withColumn(cell, F.when(F.col("doc_id").isNull(), -1).otherwise(_cell_of(F.col("doc_id"), cuts)) if cuts else F.lit(-1))
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
     n_tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), cells // 4)
-    by_cell = Window.partitionBy("__cell").orderBy(*order)
-    df = df.repartition(n_tasks, "__cell")  # rows and heads are read from one exchange
-    rows = df.withColumn("__next", F.lead(F.struct(*cols)).over(by_cell))
+    by_cell = Window.partitionBy(cell).orderBy(*order)
+    df = df.repartition(n_tasks, cell)  # rows and heads are read from one exchange
+    rows = df.withColumn(nxt, F.lead(F.struct(*cols)).over(by_cell))
     first = F.max_by(F.struct(*cols), F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), -F.xxhash64("text").cast("decimal(20,0)")))
-    heads = df.groupBy("__cell").agg(first.alias("__head")).select(
-        F.when(F.col("__cell") == top, lowest).otherwise(F.col("__cell") + 1).alias("__cell"), "__head"
+    heads = df.groupBy(cell).agg(first.alias(head)).select(
+        F.when(F.col(cell) == top, lowest).otherwise(F.col(cell) + 1).alias(cell), head
     )
-    rows = rows.join(heads, "__cell")
+    rows = rows.join(heads, cell)
     for c in cols:
-        rows = rows.withColumn(f"next_{c}", F.coalesce("__next", "__head")[c])
-    return rows.drop("__cell", "__next", "__head")
+        rows = rows.withColumn(f"next_{c}", F.coalesce(nxt, head)[c])
+    return rows.drop(cell, nxt, head)
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

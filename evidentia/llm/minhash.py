@@ -270,7 +270,7 @@ def _classed(docs: DataFrame, least: float, counted: bool = False) -> DataFrame:
     """
     sigs = C.stored(signatures(docs, counted), "signatures")
     first = F.min(F.struct("doc_id", "bands")).alias("first")
-    texts = C.stored(sigs.groupBy("key").agg(first).select("key", F.col("first.doc_id").alias("node"), F.col("first.bands").alias("bands")), "texts")
+    texts = C.stored(sigs.groupBy("key").agg(first, F.count("*").alias("n")).select("key", "n", F.col("first.doc_id").alias("node"), F.col("first.bands").alias("bands")), "texts")
     in_bucket = texts.select("node", F.explode("bands").alias("bucket"))
     order = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("hub"))
     full = in_bucket.groupBy("bucket").agg(F.min(order).alias("o"), F.count("*").alias("members")).where("members > 1").select("bucket", "o.hub", "members")
@@ -313,8 +313,8 @@ def _classed(docs: DataFrame, least: float, counted: bool = False) -> DataFrame:
         if not found.isEmpty():
             classes = joined_classes(classes, found)
 
-    out = sigs.select("doc_id", "key").join(texts.select("key", "node"), "key")
-    return out.join(classes, "node", "left").select("doc_id", "key", F.coalesce("class_id", "node").alias("class_id"))
+    named = texts.select("key", "n", "node").join(classes, "node", "left").select("key", "n", F.coalesce("class_id", "node").alias("class_id"))
+    return C.joined(sigs.select("doc_id", "key"), C.stored(named, "named"), "key").select("doc_id", "key", "class_id")
 
 
 def _same_id(sigs: DataFrame, texts: DataFrame) -> DataFrame:

@@ -7,20 +7,18 @@ among the others (water filling).  A source's repetition rate is its target
 over its size.  Each document is taken floor(rate) times, plus one more time
 with probability rate - floor(rate).
 
-The extra copies are hash-seeded Bernoulli draws, independent by default.
-Independent draws leave the words of a source far from the target where it has
-few documents, or a few very long ones (by up to 11 % with 500 documents a
-source, 30 % with 50).  With ``coupled``, which the query and the pipeline
-ask for, each document keeps its probability, but the draws of a source are
-tied to one another (systematic sampling): its documents are dealt by hash
-into cells of bounded size, ordered by size within the cell, and the k-th one
-is taken when a multiple of 1 lies between k * p + u and (k + 1) * p + u,
-where u is the cell's hash.  Neighbours in size balance each other.
+The extra copies are hash-seeded Bernoulli draws: a document's draw is a number in
+[0, 1) that depends on its id, its size and a seed alone, and it is taken if
+that is below the probability.  One seed leaves the words of a source far
+from the target where the source has few documents, or a few very long ones; so the
+draws are made for SEEDS seeds in one pass, words are summed by source and seed,
+and each source takes the seed whose words come nearest to its target.  Every
+choice is a sum by source: no document waits for another.
 
 Defined cases: a null text has size 0, as an empty one; a null source is a
 source of its own, last in order; a table without words has rate 0
-throughout; repeated rows are rows of their own, alike in hash, which the
-rank tells apart; extra columns do not matter.
+throughout; repeated rows are rows of their own, which draw alike; extra
+columns do not matter.
 """
 
 from __future__ import annotations
@@ -33,9 +31,9 @@ from . import _common as C
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MOST = 3
-#: Documents dealt to a cell, on average; windows never hold more than about this.
-CELL = 1024
 SEED = 20240607
+#: Seeds that a source chooses from, and how many draws of 32 bits a digest holds.
+SEEDS, DRAWS = 32, 4
 
 
 def word_count(text: Column) -> Column:
@@ -69,33 +67,37 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     )
 
 
-def copies(sizes: DataFrame, targets: DataFrame, seed: int = SEED, cell: int = CELL, coupled: bool = False) -> DataFrame:
-    """Adds source_size, target and copies to rows with doc_id, source, size.
+def draws(*cols: Column, seed: int = SEED, seeds: int = SEEDS) -> Column:
+    """An array of one number in [0, 1) for each seed, of the values alone."""
+    key = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])
+    digests = [F.md5(F.concat(F.lit(f"{seed + k}|"), key)) for k in range(-(-seeds // DRAWS))]
+    part = lambda s: F.conv(F.substring(digests[s // DRAWS], 8 * (s % DRAWS) + 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return F.array(*[part(s) for s in range(seeds)])
 
-    Coupled draws: the hash deals a hot source out over many cells, so no window
-    grows with it.
-    """
+
+def copies(sizes: DataFrame, targets: DataFrame, seed: int = SEED, seeds: int = SEEDS) -> DataFrame:
+    """Adds source_size, target and copies to rows with doc_id, source, size; needs a frame that can be read twice."""
     a, b = sizes.alias("a"), targets.alias("b")
-    rows = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "b.n_docs", "b.source_size", "b.target", "b.rate")
-    rows = rows.withColumn("draw", C.unit(F.col("doc_id"), F.col("size"), seed=seed))
+    rows = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "b.source_size", "b.target", "b.rate")
     part = F.col("rate") - F.floor("rate")
-    if coupled:
-        rows = rows.withColumn("cell", F.floor(F.col("draw") * F.ceil(F.col("n_docs") / cell)))
-        start = C.unit(F.col("source"), F.col("cell"), seed=seed + 1)
-        k = F.row_number().over(Window.partitionBy("source", "cell").orderBy("size", "draw", "doc_id"))
-        extra = F.floor(k * part + start) - F.floor((k - 1) * part + start)
-    else:
-        extra = (F.col("draw") < part).cast("long")
-    return rows.withColumn("copies", (F.floor("rate") + extra).cast("int")).drop("draw", "cell", "n_docs", "rate")
-
-
-def mix_sources(docs: DataFrame, coupled: bool = True) -> DataFrame:
+    rows = rows.withColumn("draws", draws(F.col("doc_id"), F.col("size"), seed=seed, seeds=seeds))
+    short = F.max("target") - F.max(F.floor("rate")) * F.max("source_size")  # what the whole copies leave
+    words = [F.sum(F.when(F.col("draws")[s] < part, F.col("size")).otherwise(0)).alias(f"w{s}") for s in range(seeds)]
+    sums = rows.groupBy("source").agg(short.alias("short"), *words)
+    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{s}") - F.col("short")).alias("off"), F.lit(s).alias("seed")) for s in range(seeds)]))
+    chosen = sums.select("source", best["seed"].alias("seed"))
+    rows = rows.alias("r").join(chosen.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source"))).select("r.*", "c.seed")
+    extra = (F.element_at("draws", F.col("seed") + 1) < part).cast("long")
+    return rows.withColumn("copies", (F.floor("rate") + extra).cast("int")).drop("draws", "seed", "rate")
+
+
+def mix_sources(docs: DataFrame) -> DataFrame:
     """The documents in their new proportions: the same columns, each row as often as it is taken.
 
     Needs columns doc_id, text and source.
     """
     sizes = C.stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    n = copies(sizes, source_targets(sizes), coupled=coupled).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    n = copies(sizes, source_targets(sizes)).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
     size, times, copy = C.spare(docs, "size_", "times", "copy")
     names = [F.col(f"`{c}`") for c in docs.columns]
     d = docs.withColumn(size, word_count(F.col("text"))).alias("d")
@@ -115,15 +117,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the mix takes each document, in words."""
     docs = C.table(spark, sf_dir, "documents")
     sizes = C.stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    rows = copies(sizes, source_targets(sizes), coupled=True)
+    rows = copies(sizes, source_targets(sizes))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-_UNIT = "(('0x' || substr(md5({0}), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0)"
 ORACLE_SQL = {
-    "op8_mixing": f"""
+    "op8_mixing": r"""
 WITH RECURSIVE sizes AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 per AS (SELECT source, count(*) AS n_docs, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source),
 ranked AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM per),
 -- shares are dealt in rounds: whoever is above the limit is set to it, and the rest is dealt again
@@ -138,16 +139,14 @@ fill AS (
   FROM (SELECT *, capped OR share > 3.0 * source_size AS now_capped FROM fill) WHERE round < 60),
 targets AS (SELECT *, share AS target, CASE WHEN source_size > 0 THEN share / source_size ELSE 0 END AS rate FROM fill WHERE round = 60),
 rows AS (
-  SELECT s.doc_id, s.source, s.size, t.n_docs, t.source_size, t.target, t.rate,
-         {_UNIT.format("'20240607|' || coalesce(s.doc_id::VARCHAR, '') || '|' || s.size")} AS draw
+  SELECT s.doc_id, s.source, s.size, t.source_size, t.target, t.rate, t.rate - floor(t.rate) AS p,
+         list_transform(range(32), lambda k: ('0x' || substr(md5((20240607 + k // 4) || '|' || coalesce(s.doc_id::VARCHAR, '') || '|' || s.size), 8 * (k % 4) + 1, 8))::BIGINT / 4294967296.0::DOUBLE) AS draws
   FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
-dealt AS (SELECT *, floor(draw * ceil(n_docs / 1024.0))::BIGINT AS cell FROM rows),
-placed AS (
-  SELECT *, row_number() OVER (PARTITION BY source, cell ORDER BY size, draw, doc_id) AS k,
-         {_UNIT.format("'20240608|' || coalesce(source, '') || '|' || cell")} AS u, rate - floor(rate) AS p FROM dealt)
-SELECT doc_id, size, source_size, round(target, 6) AS target,
-       (size * (floor(rate) + floor(k * p + u) - floor((k - 1) * p + u)))::BIGINT AS taken
-FROM placed"""
+sums AS (
+  SELECT source, k, abs(sum(CASE WHEN draws[k + 1] < p THEN size ELSE 0 END) - (max(target) - max(floor(rate)) * max(source_size))) AS off FROM rows, (SELECT unnest(range(32)) AS k) GROUP BY source, k),
+chosen AS (SELECT source, arg_min(k, (off, k)) AS k FROM sums GROUP BY source)
+SELECT doc_id, size, source_size, round(target, 6) AS target, (size * (floor(rate) + CASE WHEN draws[k + 1] < p THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM rows JOIN chosen ON rows.source IS NOT DISTINCT FROM chosen.source"""
 }
 
 
