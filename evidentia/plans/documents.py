@@ -18,6 +18,17 @@ def _pages(t):
     return t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), text.alias("text"))
 
 
+@query(
+    """SELECT conv_id AS doc_id, 'R' || (turn + 1) AS number, 'Ⅳ. 권고사항 > 1. ' || role AS path, CASE WHEN role <> 'system' THEN 'B' END AS grade, CASE WHEN role <> 'system' THEN 'Moderate' END AS level,
+    (turn + 1)::INTEGER AS page, (2 * length(regexp_replace(text, '[\\s-]+', '', 'g')) + 5)::BIGINT AS chars FROM conversations"""
+)
+def chunks_by_number(t):
+    """What the chunks of each recommendation hold together: path, rating, page, and their characters without blanks and hyphens, which line breaks may change."""
+    rows = guideline.chunk_documents(_pages(t)).withColumn("chars", F.length(F.regexp_replace("content", r"[\s-]+", "")))
+    got = rows.groupBy("doc_id", "number").agg(F.max(F.array_join("path", " > ")).alias("path"), F.max("grade").alias("grade"), F.max("level").alias("level"), F.max("page_end").alias("page"), F.sum("chars").alias("chars"))
+    return got.select("doc_id", "number", "path", "grade", "level", "page", "chars")
+
+
 @query()
 def chunk_guidelines(t):
     return guideline.chunk_documents(_pages(t))

@@ -119,7 +119,14 @@ def alert_dedup(t):
     return fold(rows, ["user_id", "event_type"], "ts", ["ts", "event_id"], lambda: Suppressor(86400.0), [], "shown", "boolean").select("event_id", "shown")
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS sec, event_type IN ('error', 'signup', 'view') AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    s AS (SELECT event_id, user_id, k, CASE WHEN failed THEN 1 ELSE 0 END AS failures, 0.0::DOUBLE AS opened, false AS is_open, 'closed' AS state FROM e WHERE k = 1 UNION ALL
+    SELECT event_id, user_id, k, CASE WHEN rejected THEN failures WHEN failed THEN f + 1 ELSE 0 END, CASE WHEN NOT rejected AND failed AND f >= 4 THEN sec ELSE opened END, rejected OR failed AND f >= 4,
+      CASE WHEN rejected THEN 'rejected' WHEN failed AND f >= 4 THEN 'open' ELSE 'closed' END FROM (
+      SELECT e.*, s.failures, s.opened, s.is_open AND e.sec - s.opened < 259200 AS rejected, CASE WHEN s.is_open THEN 4 ELSE s.failures END AS f FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1))
+    SELECT event_id, state FROM s"""
+)
 def circuit_state(t):
     """A breaker for each user, failing on errors; five failures open it for three days here."""
     rows = t.events.select("event_id", "user_id", "ts", F.col("event_type").isin("error", "signup", "view").alias("failed"))

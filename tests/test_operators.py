@@ -105,6 +105,38 @@ def test_layouts(name):
     assert [(c.number, c.grade, c.level, c.content) for c in r.chunks] == want and r.missing == r.duplicated == []
 
 
+DOCUMENTS = {
+    # a contents page and a summary name the numbers before the chapter that has the blocks
+    "decoys": (["1\n차례\n【R1】 침 ..... 30", "5\nⅡ. 요약\n【R1】\n요약이다. A/High", "30\nⅣ. 권고사항\n" + BLOCK.format("R1", "침을 권한다. B/Low"), "40\nⅤ. 부록\n" + BLOCK.format("R9", "부록이다. A/High")],
+               dict(numbers=["R1"], graded=[("R1", "B", "Low")], paths={("Ⅳ. 권고사항",)})),
+    "roman and symbol heads": (["30\nIV 권고 및 해설\n● 한약\n■ 탕약\n" + BLOCK.format("R1", "한다. A/Low"), "31\n■ 환약\n" + BLOCK.format("R2", "한다. A/Low"), "32\n● 침\n" + BLOCK.format("R3", "한다. A/Low")],
+                               dict(numbers=["R1", "R2", "R3"], paths={("Ⅳ. 권고 및 해설", "● 한약", "■ 탕약"), ("Ⅳ. 권고 및 해설", "■ 환약"), ("Ⅳ. 권고 및 해설", "● 침")})),
+    "no chapter for recommendations": (["2\n1. 침\n" + BLOCK.format("R1", "한다. A/Low"), "3\n2. 뜸\n" + BLOCK.format("R2", "한다. A/Low")], dict(numbers=["R1", "R2"], paths={("1. 침",), ("2. 뜸",)})),
+    "a mention in an explanation is no number of its own": (["7\n" + BLOCK.format("R1", "한다. A/High\n(1) 배경\n【R7】 참조."), "8\n이어진다."], dict(numbers=["R1"])),
+    "references end an explanation": (["7\n" + BLOCK.format("R1", "한다. A/High\n(1) 배경\n이유.\n[참고문헌]\n【R7】 인용."), "8\n이어진다."], dict(numbers=["R1", "R7"], missing=["R7"])),
+    "not derived": (["7\n" + BLOCK.format("R1", "한다. A/High"), "8\n【R2】 근거가 모자라\n권고안 도출에 반영하지\n않았다.", "9\n" + BLOCK.format("R3", "한다. A/High")], dict(numbers=["R1", "R3"], not_derived=["R2"])),
+    "unknown levels": (["7\n" + BLOCK.format("R1", "한다. A/Verry Low 3)") + "\n" + BLOCK.format("R2", "한다. B/Fair")], dict(numbers=["R1", "R2"], unknown_levels=[("R1", "Verry Low"), ("R2", "Fair")], graded=[("R1", "A", None), ("R2", "B", None)])),
+    "words over lines": (["7\n" + BLOCK.format("R1", "inter-\nvention을 권\n한다. low\ndose 환자를\n살핀다. A/High")], dict(contents=["intervention을 권한다. low dose 환자를 살핀다."])),
+    "blocks over pages": (["7\n" + BLOCK.format("R1", "첫 쪽의"), "8\n글이다. A/High\n(1) 배경\n이유", "9\n이다."], dict(pages=[(7, 8), (8, 9)], contents=["첫 쪽의 글이다.", "(1) 배경\n이유이다."])),
+    "a page without a printed number is left out": (["7\n" + BLOCK.format("R1", "한다. A/High"), "그림\n" + BLOCK.format("R2", "한다. A/High")], dict(numbers=["R1"])),
+    "interleaved considerations": (["7\n" + BLOCK.format("R1", "권한다. A/High\n[임상적 고려사항]\n살핀다.\n① 배경\n이유.\n[임상적 고려사항]\n또 살핀다.")], dict(contents=["권한다.\n[임상적 고려사항]\n살핀다.\n[임상적 고려사항]\n또 살핀다.", "① 배경\n이유."])),
+    "a marker without a block": (["7\n" + BLOCK.format("R1", "한다. A/High") + "\n【R2】\n글만 있다."], dict(numbers=["R1", "R2"], missing=["R2"])),
+    "a grade of both orders": (["7\n" + BLOCK.format("R1", "한다. GPP/Low") + "\n" + BLOCK.format("R2", "한다. Moderate / GPP") + "\n" + BLOCK.format("R3", "한다. A/CTB")], dict(graded=[("R1", "GPP", "Low"), ("R2", "GPP", "Moderate"), ("R3", "A", "CTB")])),
+}
+
+
+@pytest.mark.parametrize("name", DOCUMENTS)
+def test_documents_of_several_pages(name):
+    pages, want = DOCUMENTS[name]
+    r = guideline.read_document(pages)
+    got = dict(
+        numbers=r.numbers, missing=r.missing, not_derived=r.not_derived, unknown_levels=r.unknown_levels, graded=[(c.number, c.grade, c.level) for c in r.chunks if c.grade],
+        paths={c.path for c in r.chunks}, contents=[c.content for c in r.chunks], pages=[(c.page_start, c.page_end) for c in r.chunks],
+    )
+    assert {k: got[k] for k in want} == want
+    assert r.duplicated == [] and ("missing" in want or r.missing == [])
+
+
 def test_documents_over_many_batches(spark):
     pages = [(d, p, f"{p + 1}\n" + BLOCK.format(f"R{p}", f"글 {d}. A/High")) for d in range(90) for p in range(7)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
