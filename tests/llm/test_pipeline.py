@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+import re
 import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 import __spark_entry__
@@ -56,10 +60,85 @@ def test_run_is_the_stages_in_order(spark, folder):
     assert rows and key(rows) == key(again)
 
 
+def one_of_each_class(rows):
+    """The smallest id of each near-duplicate class, every pair of texts compared."""
+    grams = []
+    for r in rows:
+        w = (r.text or "").lower().split()
+        grams.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(grams[i] & grams[j])
+            if rows[i].text == rows[j].text or both and both >= 0.8 * (len(grams[i]) + len(grams[j]) - both):
+                root[find(i)] = find(j)
+    best = {}
+    for i, r in enumerate(rows):
+        best[find(i)] = min(best.get(find(i), r), r, key=lambda x: x.doc_id)
+    return [*best.values()]
+
+
+def taken(rows):
+    """How often the mix takes each document: targets dealt in rounds, the best seed of each source."""
+    size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in rows}
+    per = Counter()
+    for r in rows:
+        per[r.source] += size[r.doc_id]
+    names = sorted((s for s in per if s is not None)) + [None] * (None in per)
+    weight, capped = {s: (1, 2, 3)[k % 3] for k, s in enumerate(names)}, set()
+    while True:
+        free = [s for s in names if s not in capped]
+        rest = sum(per.values()) - 3 * sum(per[s] for s in capped)
+        target = {s: 3.0 * per[s] if s in capped else rest * weight[s] / sum(weight[x] for x in free) for s in names}
+        over = {s for s in free if target[s] > 3 * per[s] + 1e-9}
+        if not over:
+            break
+        capped |= over
+    out = {}
+    draw = lambda i, k: int(hashlib.md5(f"{mixing.SEED + k // 4}|{i}|{size[i]}".encode()).hexdigest()[8 * (k % 4) : 8 * (k % 4) + 8], 16) / 2**32
+    for s in names:
+        whole, p = divmod(target[s] / per[s], 1) if per[s] else (0, 0)
+        own = [r.doc_id for r in rows if r.source == s]
+        k = min(range(mixing.SEEDS), key=lambda k: abs(sum(size[i] for i in own if draw(i, k) < p) - (target[s] - whole * per[s])))
+        out |= {i: int(whole) + (draw(i, k) < p) for i in own}
+    return out
+
+
+def test_run_against_a_plain_version(spark, folder):
+    import public_tokenizers
+    import tokenizers
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        docs = stage(spark, docs, folder)
+    kept = one_of_each_class(docs.collect())
+    copies, text = taken(kept), {r.doc_id: r.text for r in kept}
+    pieces = corpus_pipeline.run(spark, folder).collect()
+    assert Counter(r.doc_id for r in pieces if r.start == 0) == Counter({i: n for i, n in copies.items() if n})
+    encode = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode
+    ids = {i: np.array([*encode(text[i], add_special_tokens=False).ids, 1], "<u4") for i in {r.doc_id for r in pieces}}
+    covered, filled = Counter(), defaultdict(list)
+    for r in pieces:
+        part = ids[r.doc_id][r.start : r.start + r.length]
+        assert len(part) == r.length > 0 and zlib.crc32(part.tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id])
+        covered.update((r.doc_id, k) for k in range(r.start, r.start + r.length))
+        filled[r.sequence_id].append((r.offset, r.length))
+    assert covered == Counter({(i, k): n for i, n in copies.items() for k in range(len(ids.get(i, ()))) if n})
+    for spans in filled.values():
+        spans.sort()
+        assert [a for a, _ in spans] == [0, *np.cumsum([n for _, n in spans])[:-1]] and sum(n for _, n in spans) <= 2048
+
+
 def test_every_operator_is_registered_once():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == [*range(1, 11)] and "pipeline" in __spark_entry__.queries()
-    assert {"op7_chat_format", "op8_mixing", "op10_topk"} <= set(__spark_entry__.oracle_sql())
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == [*range(1, 14)] and "pipeline" in __spark_entry__.queries()
+    assert {"op7_chat_format", "op8_mixing", "op10_topk", "op11_filter_audit", "op13_source_divergence"} <= set(__spark_entry__.oracle_sql())
 
 
 def test_filters_on_empty_tables(spark, folder):
