@@ -145,4 +145,56 @@ def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op12_simhash_dedup": op12_simhash_dedup}
-ORACLE_SQL: dict[str, str] = {}
+
+#: The primes of the public XXH64 hash.
+P1, P2, P3, P4, P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+
+
+def _xxh64_sql(strings: str, seed: int) -> str:
+    """CTEs that end in ``hashed`` (s, h): the XXH64 of each string s of the relation ``strings``, in 128-bit integers cut to 64."""
+    u = lambda n: f"{n % (1 << 64)}::UHUGEINT"
+    cut = lambda x: f"(({x}) % 18446744073709551616::UHUGEINT)"
+    mul = lambda x, k: cut(f"({x}) * {u(k)}")
+    turn = lambda x, n: f"({cut(f'({x}) * {1 << n}::UHUGEINT')} + ({x}) // {u(1 << (64 - n))})"
+    mixed = lambda acc, x: mul(turn(cut(f"{acc} + {mul(x, P2)}"), 31), P1)
+    then = lambda x, k, plus: cut(f"{mul(x, k)} + {u(plus)}")
+    shifted = lambda h, n, k: mul(f"xor({h}, {h} // {u(1 << n)})", k)
+    swaps = ((8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF))  # bytes from big to little end
+    lane = "list_transform(range(n // 8), lambda i: ('0x' || substr(hx, 16 * i + 1, 16))::UBIGINT)"
+    for bits, mask in swaps:
+        lane = f"list_transform({lane}, lambda x: ((x & {mask}::UBIGINT) << {bits}) | ((x >> {bits}) & {mask}::UBIGINT))"
+    four = " + ".join(f"('0x' || substr(hx, 16 * (n // 8) + {2 * j + 1}, 2))::UHUGEINT * {256**j}" for j in range(4))
+    byte = "list_transform(range(n - n % 4, n), lambda i: ('0x' || substr(hx, 2 * i + 1, 2))::UHUGEINT)"
+    starts = (seed + P1 + P2, seed + P2, seed, seed - P1)
+    accs = [f"list_reduce(list_transform(range(n // 32), lambda i: lanes[4 * i + {k + 1}]), lambda a, x: {mixed('a', 'x')}, {u(s)}) AS a{k + 1}" for k, s in enumerate(starts)]
+    whole = cut(" + ".join(turn(f"a{k + 1}", n) for k, n in enumerate((1, 7, 12, 18))))
+    steps = [
+        f"SELECT s, hex(encode(s)) AS hx, octet_length(encode(s)) AS n FROM {strings}",
+        f"SELECT *, list_transform({lane}, lambda x: x::UHUGEINT) AS lanes FROM x0",
+        f"SELECT *, {', '.join(accs)} FROM x1",
+        f"SELECT *, CASE WHEN n < 32 THEN {u(seed + P5)} ELSE list_reduce([a1, a2, a3, a4], lambda h, x: {then('xor(h, ' + mixed(u(0), 'x') + ')', P1, P4)}, {whole}) END AS h FROM x2",
+        f"SELECT s, hx, n, list_reduce(lanes[4 * (n // 32) + 1:], lambda h, x: {then(turn('xor(h, ' + mixed(u(0), 'x') + ')', 27), P1, P4)}, {cut('h + n::UHUGEINT')}) AS h FROM x3",
+        f"SELECT s, hx, n, CASE WHEN n % 8 >= 4 THEN {then(turn(f'xor(h, {mul(four, P1)})', 23), P2, P3)} ELSE h END AS h FROM x4",
+        f"SELECT s, list_reduce({byte}, lambda h, x: {mul(turn('xor(h, ' + mul('x', P5) + ')', 11), P1)}, h) AS h FROM x5",
+        f"SELECT s, {shifted('h', 33, P2)} AS h FROM x6",
+        f"SELECT s, {shifted('h', 29, P3)} AS h FROM x7",
+    ]
+    return ",\n".join([*[f"x{i} AS ({s})" for i, s in enumerate(steps)], f"hashed AS (SELECT s, xor(h, h // {u(1 << 32)})::UBIGINT AS h FROM x8)"])
+
+
+#: All pairs of fingerprints, compared; fit for small tables only.
+ORACLE_SQL = {
+    "op12_simhash_dedup": rf"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+o AS (SELECT r, array_to_string(ws[i:i + 2], ' ') AS s FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+t AS (SELECT DISTINCT s FROM o),
+{_xxh64_sql("t", SEED)},
+f AS (SELECT r, {" + ".join(f"CASE WHEN 2 * sum((h >> {b}) & 1) > count(*) THEN {1 << b}::HUGEINT ELSE 0 END" for b in range(64))} AS fp FROM o JOIN hashed USING (s) GROUP BY r),
+d AS (SELECT doc_id, coalesce(fp, 0::HUGEINT) AS fp FROM w LEFT JOIN f USING (r)),
+n AS (SELECT fp, min(doc_id) AS low FROM d GROUP BY fp),
+e AS (SELECT a.fp AS a, b.fp AS b FROM n a, n b WHERE a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)) <= 2),
+c AS (SELECT fp AS a, fp AS b FROM n UNION SELECT c.a, e.b FROM c JOIN e ON e.a = c.b)
+SELECT d.doc_id, format('{{:016x}}', d.fp) AS fingerprint, g.component_id
+FROM d JOIN (SELECT c.a AS fp, min(n.low) AS component_id FROM c JOIN n ON n.fp = c.b GROUP BY c.a) g USING (fp)"""
+}

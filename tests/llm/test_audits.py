@@ -223,9 +223,18 @@ def test_every_pair_of_blocks_meets_once(spark, blocks):
     assert sorted(met) == [(a, b) for a in range(blocks) for b in range(a + 1, blocks)]
 
 
-@pytest.mark.parametrize("name", ["op11_filter_audit", "op13_source_divergence"])
+def test_the_hash_in_sql():
+    rng = random.Random(6)
+    texts = [""] + ["".join(rng.choices("abc défgh漢 ", k=rng.randrange(1, 90))) for _ in range(300)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT DISTINCT unnest(?) AS s", [texts])
+    got = dict(con.sql(f"WITH {simhash._xxh64_sql('t', 42)} SELECT s, h FROM hashed").fetchall())
+    assert got == {t: xxhash.xxh64_intdigest(t.encode(), 42) for t in texts}
+
+
+@pytest.mark.parametrize("name", ["op11_filter_audit", "op12_simhash_dedup", "op13_source_divergence"])
 def test_same_rows_as_sql(spark, data, name):
-    module = filter_audit if name == "op11_filter_audit" else source_divergence
+    module = {"op11_filter_audit": filter_audit, "op12_simhash_dedup": simhash, "op13_source_divergence": source_divergence}[name]
     con = duckdb.connect()
     for t in ("documents", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
