@@ -69,6 +69,7 @@ def joined(rows: DataFrame, side: DataFrame, *key: str) -> DataFrame:
 
     Rows of hot keys stay where they are: the hot part of ``side``, bounded by HOT rows,
     goes to them.  The others are shuffled; no task gets more than a HOT-th for a key.
+    Keys are not null, and each row's key is in ``side``.
     """
     most = (side.agg(F.sum("n")).first()[0] or 0) / HOT
     hot, rest = F.broadcast(side.where(F.col("n") > most).drop("n")), side.where(F.col("n") <= most).drop("n")

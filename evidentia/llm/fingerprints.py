@@ -123,7 +123,8 @@ def with_next(df: DataFrame, cols: list[str], per_cell: int = CELL) -> DataFrame
         cuts = sorted({*inner, most})
     lowest, top = (-1 if n_rows > n_ids else 0), len(cuts) - 1
     cell, nxt, head = C.spare(df, "cell", "next", "head")
-    df = df.withColumn(cell, F.when(F.col("doc_id").isNull(), -1).otherwise(_cell_of(F.col("doc_id"), cuts)) if cuts else F.lit(-1))
+    place = F.when(F.col("doc_id").isNull(), -1).otherwise(_cell_of(F.col("doc_id"), cuts)) if cuts else F.lit(-1)
+    df = df.withColumn(cell, F.coalesce(place, F.lit(-1)))  # never null, or the join would filter one side only and the exchange be made twice
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
     n_tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), cells // 4)
     by_cell = Window.partitionBy(cell).orderBy(*order)

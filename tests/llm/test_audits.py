@@ -11,7 +11,7 @@ import duckdb
 import pytest
 import xxhash
 
-from evidentia.llm import filter_audit, simhash, source_divergence
+from evidentia.llm import _common, filter_audit, simhash, source_divergence
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOCS = "doc_id long, text string, lang string, source string, mask int, n int, fp string"
@@ -159,6 +159,16 @@ def test_links_of_long_and_short_lists_tie_the_same(spark, bits):
         assert tied == want
 
 
+def test_hot_keys_are_joined_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(_common, "HOT", 8)
+    keys = ["hot"] * 600 + ["warm"] * 150 + [f"k{i % 100}" for i in range(250)]
+    rows = spark.createDataFrame([(i, k, k[:1]) for i, k in enumerate(keys)], "i int, a string, b string").repartition(5)
+    side = spark.createDataFrame([(k, k[:1], n, k.upper()) for k, n in Counter(keys).items()], "a string, b string, n long, c string")
+    got = _common.joined(rows, side, "a", "b")
+    assert sorted((r.i, r.a, r.c) for r in got.collect()) == [(i, k, k.upper()) for i, k in enumerate(keys)] and "n" not in got.columns
+    assert _common.joined(rows.limit(0), side.limit(0), "a", "b").count() == 0
+
+
 def test_simhash_of_nothing_and_position_sets(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
     for bits in (1, 2):
