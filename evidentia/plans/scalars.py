@@ -26,9 +26,15 @@ def scalar_truncate(t):
     return t.documents.select("doc_id", text.truncated(F.col("text"), 80).alias("short"), text.utf16_left(F.col("text"), 300).alias("cut"))
 
 
-@query()
+_INDEX_KEY = b"index key for tests"
+_PADDED = [bytes(k ^ x for k in _INDEX_KEY.ljust(64, b"\0")).hex() for x in (0x36, 0x5C)]  # the inner and outer key of the public HMAC
+
+
+@query(
+    f"""SELECT c_custkey, rtrim(replace(replace(to_base64(unhex(sha256(unhex('{_PADDED[1]}') || unhex(sha256(unhex('{_PADDED[0]}') || encode(lower(trim(nfc_normalize(c_name))))))))), '+', '-'), '/', '_'), '=') AS name_index FROM customer"""
+)
 def blind_index(t):
-    return t.customer.select("c_custkey", crypto.blind_index(b"index key for tests")(F.col("c_name")).alias("name_index"))
+    return t.customer.select("c_custkey", crypto.blind_index(_INDEX_KEY)(F.col("c_name")).alias("name_index"))
 
 
 @query("SELECT doc_id, sha256(text) AS digest FROM documents")
@@ -124,9 +130,16 @@ def vector_distance(t):
     return got.select("vec_id", F.abs(F.round(vectors.cosine_distance(F.col("e"), F.col("q")), 9)).alias("distance"))
 
 
-@query()
+_CUT = "& 4294967295::UBIGINT"
+
+
+@query(
+    f"""WITH s AS (SELECT item_id, list_transform(range(1, 17), lambda i: (('0x' || left(sha256(text), 8))::UBIGINT + i::UBIGINT * 1831565813::UBIGINT) {_CUT}) AS s FROM benchmark),
+    z AS (SELECT item_id, list_transform(list_transform(s, lambda s: (xor(s, s >> 15) * (s | 1::UBIGINT)) {_CUT}), lambda z: xor(z, (z + ((xor(z, z >> 7) * (z | 61::UBIGINT)) {_CUT})) {_CUT})) AS z FROM s)
+    SELECT item_id, unnest(range(16))::INTEGER AS place, unnest(list_transform(z, lambda z: round(xor(z, z >> 14)::DOUBLE / 4294967296 * 2 - 1, 6))) AS value FROM z"""
+)
 def embed_deterministic(t):
-    return t.benchmark.select("item_id", vectors.deterministic_embedding(16)(F.col("text")).alias("vector"))
+    return t.benchmark.select("item_id", F.posexplode(vectors.deterministic_embedding(16)(F.col("text"))).alias("place", "value"))
 
 
 @query(
