@@ -42,7 +42,7 @@ class WordEncoder:
     time when too small, but never changes a result.
     """
 
-    def __init__(self, path: str, cache_size: int = 700_000):
+    def __init__(self, path: str, cache_size: int = 500_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
