@@ -12,14 +12,10 @@ def _micros(at: str) -> Column:
     return F.unix_micros(F.col(at).cast("timestamp"))
 
 
-#: A cell is this many windows long, so that a small part of its rows is looked back at from the next one.
-WINDOWS = 4
-
-
 def _celled(df: DataFrame, at: str, seconds: int) -> DataFrame:
-    """Adds ``__us`` and the time cell ``__cell`` of each row: no window over (series, cell) grows with the length of a series."""
+    """Adds ``__us`` and the time cell ``__cell`` of each row, as long as the window: no window over (series, cell) grows with the length of a series."""
     us = _micros(at)
-    return df.withColumn("__us", us).withColumn("__cell", F.floor(us / (WINDOWS * seconds * 1_000_000)))
+    return df.withColumn("__us", us).withColumn("__cell", F.floor(us / (seconds * 1_000_000)))
 
 
 def _previous(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
@@ -42,14 +38,20 @@ def _previous(rows: DataFrame, by: list[str], order: list[str], value: str) -> D
 def _sum_of_last(rows: DataFrame, by: list[str], seconds: int, value: str, name: str) -> DataFrame:
     """Adds the sum of ``value`` over the last seconds to rows with a ``__cell``.
 
-    Rows near a cell's end are looked back at from the next cell too, where they are no rows of their own.
+    A window is the end of the cell before and the beginning of its own.  Both are running
+    sums, the one backwards, so that a row costs the same however many rows its window
+    has; a sliding frame adds all of them up for each row anew.  For the one, each row
+    stands in the next cell too, a window later, where it is no row of its own.
     """
-    span = WINDOWS * seconds * 1_000_000
-    near = (F.col("__cell") + 1) * span - F.col("__us") <= seconds * 1_000_000
-    cells = F.when(near, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    seen = rows.withColumn("__next", F.explode(cells)).withColumn("__cell", F.col("__cell") + F.col("__next"))
-    w = Window.partitionBy(*by, "__cell").orderBy("__us").rangeBetween(-seconds * 1_000_000, 0)
-    return seen.withColumn(name, F.sum(value).over(w)).where("__next = 0").drop("__next")
+    span = seconds * 1_000_000
+    seen = rows.withColumn("__next", F.explode(F.array(F.lit(0), F.lit(1))))
+    seen = seen.withColumn("__cell", F.col("__cell") + F.col("__next")).withColumn("__us", F.col("__us") + F.col("__next") * F.lit(span))
+    cell = Window.partitionBy(*by, "__cell")
+    so_far = lambda order: cell.orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = seen.withColumn("__end", F.sum(F.when(F.col("__next") == 1, F.col(value))).over(so_far(F.desc("__us"))))
+    seen = seen.withColumn("__begin", F.sum(F.when(F.col("__next") == 0, F.col(value))).over(so_far(F.asc("__us"))))
+    total = F.coalesce(F.col("__end") + F.col("__begin"), "__end", "__begin")
+    return seen.where("__next = 0").withColumn(name, total).drop("__next", "__end", "__begin")
 
 
 def increase(df: DataFrame, by: list[str], at: str, tie: str, value: str, seconds: int) -> DataFrame:

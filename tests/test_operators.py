@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -200,6 +201,19 @@ def test_series_in_cells_against_whole_series(spark):
     assert celled.where("k = 'hot'").select("__cell").distinct().count() > 5
 
 
+def test_sums_of_windows_are_running_sums(spark):
+    """A sliding frame adds up a whole window for each row, which is quadratic where rows are dense in time."""
+    start = dt.datetime(2024, 1, 1)
+    rows = [(start + dt.timedelta(seconds=i // 40 * 3 + (30 if i > 900 else 0)), i, float("inf") if i == 500 else float(i * 7 % 13)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "at timestamp, i int, v double").withColumn("k", F.lit("one"))
+    up = series.increase(df, ["k"], "at", "i", "v", 30)
+    frames = re.findall(r"specifiedwindowframe\((\w+), ([^,]+), ([^)]+)\)", up._jdf.queryExecution().optimizedPlan().toString())
+    assert {f for f in frames if f[0] == "RangeFrame"} == {("RangeFrame", "unboundedpreceding$", "currentrow$")}
+    deltas = [0.0, *(b[2] - a[2] if b[2] >= a[2] else b[2] for a, b in zip(rows, rows[1:]))]
+    want = {i: sum(d for (at, _, _), d in zip(rows, deltas) if 0 <= (now - at).total_seconds() <= 30) for now, i, _ in rows}
+    assert {r.i: r.increase for r in up.collect()} == want
+
+
 def test_reports_of_the_three_evaluations(spark, tmp_path):
     schema = "item_id string, question string, kind string, vector_rank int, keyword_rank int, reranked_rank int, top_distance double, top_relevance double, top_guideline string, gate string"
     items = [
