@@ -55,6 +55,7 @@ def count_trigrams(docs: DataFrame) -> DataFrame:
     """lang, bucket, n over all documents that may be learned from; tasks send sums only."""
 
     def count(batches):
+        C.fresh()
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             by: dict[str, list] = {}
@@ -127,6 +128,7 @@ def identify(docs: DataFrame, langs: list[str], p: np.ndarray, keep: list[str])
     own = ["lang_pred string", "score double", "lang_set array<string>"]
 
     def run(batches):
+        C.fresh()
         for batch in batches:
             pred, score, sets = [], [], []
             for text in batch.column(batch.num_columns - 1).to_pylist():

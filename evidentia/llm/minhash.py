@@ -168,6 +168,7 @@ def signatures(docs: DataFrame, counted: bool = False) -> DataFrame:
     """doc_id, key, bands of each row with an id."""
 
     def run(batches):
+        C.fresh()
         for batch in batches:
             got = [band_hashes(t, counted=counted) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.list_(pa.int64()))], ["doc_id", "key", "bands"])
@@ -180,6 +181,7 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
     """node, tag, grams: sorted 32-bit shingle hashes; the tag tells texts of one id apart."""
 
     def run(batches):
+        C.fresh()
         for batch in batches:
             got = [np.unique((shingles(t)[0] >> _U(32)).astype(np.uint32)).view(np.int32) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.list_(pa.int32()))], ["node", "tag", "grams"])
@@ -191,7 +193,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard index of ``least`` or more."""
     left = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
     right = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
-    both = pairs.join(right, "b").join(left, "a")
+    both = pairs.join(C.merged(right), "b").join(C.merged(left), "a")
     common = F.size(F.array_intersect("ga", "gb"))
     sizes = F.size("ga") + F.size("gb")
     possible = F.least(F.size("ga"), F.size("gb")) >= F.lit(least) * F.greatest(F.size("ga"), F.size("gb"))
@@ -210,7 +212,7 @@ def may_reach(rows: DataFrame, least: float) -> DataFrame:
     slack = 1e-6
     grams = rows.select("node", "tag", "class_id", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
     shared = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo != hi").select("gram", "n")
-    found = grams.join(shared, "gram").groupBy("node", "tag", "class_id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("found"))
+    found = grams.join(C.merged(shared), "gram").groupBy("node", "tag", "class_id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("found"))
     own = F.col("size") - F.size("found")
     reach = lambda share: F.floor(F.col("size") - F.col("size") * share + slack) + 1
     short = F.greatest(reach(least) - own, F.lit(0)).cast("int")
@@ -222,7 +224,7 @@ def may_reach(rows: DataFrame, least: float) -> DataFrame:
     big = heads.select("gram", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.struct("node", "class_id", "size", "pos").alias("y"))
     fits = (F.col("x.class_id") != F.col("y.class_id")) & (F.col("x.size") <= F.col("y.size")) & (F.col("x.size") >= F.col("y.size") * least - slack)
     follow = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
-    met = small.join(big, ["gram", "part"]).where(fits & (follow >= (F.col("x.size") + F.col("y.size")) * (least / (1 + least)) - slack))
+    met = small.join(C.merged(big), ["gram", "part"]).where(fits & (follow >= (F.col("x.size") + F.col("y.size")) * (least / (1 + least)) - slack))
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
@@ -236,10 +238,10 @@ def components(links: DataFrame) -> DataFrame:
     both = C.stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
     while True:
-        seen = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").groupBy("a").agg(F.min("lb").alias("m"))
-        new = labels.join(seen.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "m").alias("low"))
+        seen = both.join(C.merged(labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))), "b").groupBy("a").agg(F.min("lb").alias("m"))
+        new = labels.join(C.merged(seen.withColumnRenamed("a", "node")), "node").select("node", "label", F.least("label", "m").alias("low"))
         jump = new.select(F.col("node").alias("low"), F.col("low").alias("lower"))
-        after = C.stored(new.join(jump, "low").select("node", F.col("lower").alias("label"), (F.col("lower") != F.col("label")).alias("moved")), "labels")
+        after = C.stored(new.join(C.merged(jump), "low").select("node", F.col("lower").alias("label"), (F.col("lower") != F.col("label")).alias("moved")), "labels")
         labels = after.select("node", "label")
         if after.where("moved").isEmpty():
             return labels.select("node", F.col("label").alias("class_id"))
@@ -247,13 +249,13 @@ def components(links: DataFrame) -> DataFrame:
 
 def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
     """The classes after more links: only the classes that the new links tie are worked out anew."""
-    of = lambda c, name: classes.select(F.col("node").alias(c), F.col("class_id").alias(name))
+    of = lambda c, name: C.merged(classes.select(F.col("node").alias(c), F.col("class_id").alias(name)))
     tied = links.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left")
     tied = tied.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a != b")
     moved = components(tied).withColumnRenamed("class_id", "to")
-    known = classes.unionByName(moved.select("node", F.col("node").alias("class_id")).join(classes, "node", "left_anti"))
+    known = classes.unionByName(moved.select("node", F.col("node").alias("class_id")).join(C.merged(classes), "node", "left_anti"))
     renamed = moved.withColumnRenamed("node", "class_id")
-    return C.stored(known.join(renamed, "class_id", "left").select("node", F.coalesce("to", "class_id").alias("class_id")), "classes")
+    return C.stored(known.join(C.merged(renamed), "class_id", "left").select("node", F.coalesce("to", "class_id").alias("class_id")), "classes")
 
 
 def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY, counted: bool = False) -> DataFrame:
@@ -277,10 +279,10 @@ def _classed(docs: DataFrame, least: float, counted: bool = False) -> DataFrame:
     # one row a text with its shared buckets, at most one a band
     mine = F.collect_list(F.struct("bucket", "members")).alias("buckets")
     best = F.min_by("hub", F.struct(F.xxhash64("hub"), "hub")).alias("hub")
-    shared = C.stored(in_bucket.join(full, "bucket").groupBy("node").agg(mine, F.sum("members").alias("crowd"), best), "shared")
-    wanted = shared.select("node").join(texts.select("node", "key"), "node")
+    shared = C.stored(in_bucket.join(C.merged(full), "bucket").groupBy("node").agg(mine, F.sum("members").alias("crowd"), best), "shared")
+    wanted = shared.select("node").join(C.merged(texts.select("node", "key")), "node")
     rows = docs.select(F.col("doc_id").cast("long").alias("node"), "text").withColumn("key", text_key(F.col("text")))
-    rows = rows.join(wanted, ["node", "key"]).select("node", F.xxhash64("key").alias("tag"), "text")
+    rows = rows.join(C.merged(wanted), ["node", "key"]).select("node", F.xxhash64("key").alias("tag"), "text")
     sets = C.stored(shingle_sets(rows), "shingles")
 
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
@@ -290,39 +292,39 @@ def _classed(docs: DataFrame, least: float, counted: bool = False) -> DataFrame:
     rest = shared.drop("hub")
     for turn in range(1, HUB_ROUNDS + 2):
         # what is left: buckets with several classes
-        named = rest.join(classes, "node", "left").withColumns({"class_id": F.coalesce("class_id", "node"), "alone": F.col("class_id").isNull()})
+        named = rest.join(C.merged(classes), "node", "left").withColumns({"class_id": F.coalesce("class_id", "node"), "alone": F.col("class_id").isNull()})
         named = named.select("node", "crowd", "class_id", "alone", F.inline("buckets"))
         # first the member that stands in the fullest buckets, like an original among its edited copies; then one of a class of several: the few that are left meet it, not the many
         prefer = F.struct(-F.col("crowd"), F.xxhash64("node")) if turn == 1 else F.struct("alone", F.xxhash64("node", "bucket", F.lit(turn)))
         mixed = named.groupBy("bucket").agg(
             F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.min(F.struct(prefer, F.col("node").alias("hub"), F.col("class_id").alias("hub_class"))).alias("o")
         ).where("lo != hi").select("bucket", "o.hub", "o.hub_class")
-        left = C.stored(named.join(mixed, "bucket"), "rest")
+        left = C.stored(named.join(C.merged(mixed), "bucket"), "rest")
         if turn <= HUB_ROUNDS:
             new = left.where((F.col("members") > PAIRWISE) & (F.col("class_id") != F.col("hub_class"))).select(*pair(F.col("node"), F.col("hub")))
             rest = left.groupBy("node").agg(mine, F.max("crowd").alias("crowd"))
         else:
             small = left.where(F.col("members") <= PAIRWISE).select("bucket", "node", "class_id")
             other = small.select("bucket", F.col("node").alias("node2"), F.col("class_id").alias("class2"))
-            new = small.join(other, "bucket").where("node < node2 and class_id != class2").select(*pair(F.col("node"), F.col("node2")))
+            new = small.join(C.merged(other), "bucket").where("node < node2 and class_id != class2").select(*pair(F.col("node"), F.col("node2")))
             large = left.where(F.col("members") > PAIRWISE).select("node", "class_id").distinct()
-            new = new.union(may_reach(large.join(sets, "node"), least))
-        new = C.stored(new.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+            new = new.union(may_reach(large.join(C.merged(sets), "node"), least))
+        new = C.stored(new.distinct().join(C.merged(tried), ["a", "b"], "left_anti"), "pairs")
         found = C.stored(verified(new, sets, least), "links")
         tried = tried.union(new)
         if not found.isEmpty():
             classes = joined_classes(classes, found)
 
-    named = texts.select("key", "n", "node").join(classes, "node", "left").select("key", "n", F.coalesce("class_id", "node").alias("class_id"))
-    return C.joined(sigs.select("doc_id", "key"), C.stored(named, "named"), "key").select("doc_id", "key", "class_id")
+    named = texts.select("key", "n", "node").join(C.merged(classes), "node", "left").select("key", "n", F.coalesce("class_id", "node").alias("class_id"))
+    return C.joined(sigs.select("doc_id", "key"), C.stored(named, "named"), "key", grows=True).select("doc_id", "key", "class_id")
 
 
 def _same_id(sigs: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between the texts of rows that share an id."""
     several = sigs.groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi")
-    at = several.join(sigs.select("doc_id", "key"), "doc_id").join(texts.select("key", "node"), "key")
+    at = several.join(C.merged(sigs.select("doc_id", "key")), "doc_id").join(C.merged(texts.select("key", "node")), "key")
     one = at.groupBy("doc_id").agg(F.min("node").alias("a"))
-    return at.join(one, "doc_id").where("a != node").select("a", F.col("node").alias("b")).distinct()
+    return at.join(C.merged(one), "doc_id").where("a != node").select("a", F.col("node").alias("b")).distinct()
 
 
 def keep_one_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -334,8 +336,8 @@ def keep_one_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     kept = C.stored(kept, "kept")
     keyed = docs.where(F.col("doc_id").isNotNull()).withColumn(key, text_key(F.col("text")))
     same = (F.col("doc_id") == F.col(kept_id)) & (F.col(key) == F.col(kept_key))
-    once = keyed.join(kept.where(F.col(n) == 1), same, "left_semi").select(*names)
-    repeated = keyed.join(kept.where(F.col(n) > 1), same, "left_semi").dropDuplicates(["doc_id"]).select(*names)
+    once = keyed.join(C.merged(kept.where(F.col(n) == 1)), same, "left_semi").select(*names)
+    repeated = keyed.join(C.merged(kept.where(F.col(n) > 1)), same, "left_semi").dropDuplicates(["doc_id"]).select(*names)
     return once.unionByName(repeated).unionByName(docs.where(F.col("doc_id").isNull()))
 
 

@@ -90,6 +90,7 @@ def _counted(sample: DataFrame) -> DataFrame:
     """feature, pos, neg: in how many toxic and other texts of the sample a feature occurs."""
 
     def count(batches):
+        C.fresh()
         for batch in batches:
             cols: list[list] = [[], []]
             for text, toxic in zip(*(batch.column(k).to_pylist() for k in range(2))):
@@ -153,6 +154,7 @@ def _rows_of(sample: DataFrame, known: np.ndarray, groups) -> tuple[list, np.nda
     schema = "at array<int>, toxic int, gone array<array<int>>, come array<array<int>>"
 
     def read(batches):
+        C.fresh()
         for batch in batches:
             at, toxic, gone, come = [], [], [], []
             for text, t in zip(*(batch.column(k).to_pylist() for k in range(2))):
@@ -249,6 +251,7 @@ def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
         return out.select(*[F.col(f"`{c}`") for c in keep], F.lit(0.0).alias("score"))
 
     def run(batches):
+        C.fresh()
         cache: dict[str, tuple] = {}
         for batch in batches:
             got = scores(batch.column(batch.num_columns - 1).to_pylist(), model, cache)

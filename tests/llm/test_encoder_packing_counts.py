@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import gc
 import random
 import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from evidentia.llm import packing, token_counts
+from evidentia.llm import encoder, language, packing, token_counts
 from evidentia.llm.encoder import WordEncoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -124,3 +127,15 @@ def test_crossing_tokens_follow_the_rule():
     assert token_counts.attribute(starts, ends, lo, hi, "majority").tolist() == [0, 1, 1, -1]
     with pytest.raises(ValueError):
         token_counts.count_by_section(None, PATH, rule="other")
+
+
+def test_what_the_encoder_keeps_is_dropped_by_other_stages(spark, monkeypatch):
+    """Workers are used again: after packing they would hold its caches, and no garbage collection, while they read the next table."""
+    gc.disable()
+    kept = encoder.encoder(PATH)
+    assert encoder.encoder(PATH) is kept and kept.ids_of(["a word"])
+    docs = [pa.record_batch([pa.array(["en"]), pa.array(["a word"])], ["lang", "text"])]
+    df = spark.createDataFrame([(1, "a word", "en")], "doc_id long, text string, lang string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda df, f, schema: [*f(iter(docs))] and df.select(*[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in schema.split(", ")]))
+    language.count_trigrams(df)
+    assert not encoder._KEPT and gc.isenabled()

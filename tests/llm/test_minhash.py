@@ -7,7 +7,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from evidentia.llm import minhash
+from evidentia.llm import _common, minhash
 
 SCHEMA = "doc_id long, text string, class_id int, bucket string"
 
@@ -149,3 +149,24 @@ def test_pairs_of_different_classes_are_all_found(spark):
     got = {(r.a, r.b) for r in minhash.may_reach(df, 0.8).collect()}
     want = {(a, b) for a, ca, x in rows for b, cb, y in rows if a < b and ca != cb and len({*x} & {*y}) >= 0.8 * len({*x} | {*y})}
     assert want and want <= got
+
+
+def test_tables_that_grow_are_not_broadcast(spark, monkeypatch):
+    """The planner would broadcast them while their compressed bytes are few, several at a time."""
+    rng = random.Random(9)
+    base = words(rng, 60)
+    texts = [" ".join(base[: 60 - i % 5] + words(rng, i % 3)) for i in range(60)] + [" ".join(words(rng, 30)) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    plans, stored = {}, _common.stored
+
+    def noted(df, hint):
+        plans.setdefault(hint, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, hint)
+
+    monkeypatch.setattr(_common, "stored", noted)
+    got = minhash.keep_one_each(docs)
+    plans["result"] = [got._jdf.queryExecution().executedPlan().toString()]
+    assert {"labels", "rest", "pairs", "links"} <= plans.keys()
+    # the hot keys alone, at most a few thousand rows, are sent to the rows of a key
+    assert {hint for hint, seen in plans.items() if any("BroadcastHashJoin" in x for x in seen)} <= {"kept"}
+    assert got.count() == len({*brute(dict(enumerate(texts))).values()})
