@@ -3,10 +3,11 @@
 The vocabulary's own pre-tokeniser never lets a token cross white space or
 a change between letters, digits and other signs, so the ids of a word do
 not depend on its neighbours.  Encoding a corpus therefore comes down to
-encoding each distinct word once; repeats are dictionary lookups.  Texts
-with characters outside the ranges checked below, with letters whose lower
-case lies outside them, or with one of the vocabulary's control strings go to
-the library whole.
+encoding each distinct word once.  Texts are split and their repeats found
+by Arrow, some megabytes at a time; only what is distinct there is looked up
+among the words that are kept.  Texts with characters outside the ranges
+checked below, with letters whose lower case lies outside them, or with one of
+the vocabulary's control strings go to the library whole.
 """
 
 from __future__ import annotations
@@ -14,9 +15,14 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+#: Characters that are encoded together, more where one text has more.
+PART = 4 << 20
 #: Characters for which lower-casing, composition and the letter/digit split are done here.
 PLAIN = "\x09-\x0d\x20-\x7e\xa1-ɏ‐-‧‰-⁞€"
 _OUTSIDE = f"[^{PLAIN}]"
@@ -26,6 +32,7 @@ _OTHER = re.compile("[^\x09-\x0d\x20-\x7e‐-‧‰-⁞€" + "".join(c for c in
 _LETTER, _DIGIT = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: The vocabulary's split rule for lower-cased text in those ranges.
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\\s{_LETTER}{_DIGIT}]+")
+_PIECE_OR_END = re.compile(f"{_PIECE.pattern}|\n")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -35,14 +42,21 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _spread(flat: np.ndarray, stops: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``flat`` between neighbouring ``stops``, in the order of ``which``, and where each begins; the last number is where all end."""
+    n = np.diff(stops)[which]
+    ends = np.cumsum(np.append(0, n))
+    return flat[np.repeat(stops[:-1][which] - ends[:-1], n) + np.arange(ends[-1])], ends
+
+
 class WordEncoder:
     """Ids, and where asked for character spans, of whole texts.
 
-    ``cache_size`` bounds the words kept at a time (under 200 bytes each); it costs
+    ``cache_size`` bounds the pieces of words kept at a time (under 200 bytes each); it costs
     time when too small, but never changes a result.
     """
 
-    def __init__(self, path: str, cache_size: int = 500_000):
+    def __init__(self, path: str, cache_size: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -53,7 +67,6 @@ class WordEncoder:
         spec |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
         self.words = Tokenizer.from_str(json.dumps(spec))
         self.cache_size = cache_size
-        self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.letters = _byte_letters() | {32: " "}
         ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -69,40 +82,57 @@ class WordEncoder:
         flat, stops = ids.tobytes(), ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
         return [flat[a:b] for a, b in zip([0, *stops], stops)]
 
-    def _learn(self, missing: set[str]) -> None:
-        """Fill the cache for white-space separated chunks that are not in it."""
-        split = [(c, _PIECE.findall(c)) for c in missing]
+    def _ids_of_pieces(self, pieces: list[str]) -> list[bytes]:
         if len(self.pieces) > self.cache_size:
             self.pieces.clear()
-        known = self.pieces
-        new = list({p for _, ps in split for p in ps if p not in known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            known.update(zip(part, self._encode_words(part), strict=True))
-        self.chunks.update((c, known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])) for c, ps in split)
-
-    def _chunks_of(self, text: str) -> list[str] | None:
-        """The lower-cased chunks, or None where the library has to take the text whole."""
+        got = [*map(self.pieces.get, pieces)]
+        missing = [i for i, g in enumerate(got) if g is None]
+        for at in range(0, len(missing), 4096):
+            part = missing[at : at + 4096]
+            new = [pieces[i] for i in part]
+            for i, piece, ids in zip(part, new, self._encode_words(new), strict=True):
+                got[i] = self.pieces[piece] = ids
+        return got
+
+    def _ids_of_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of distinct chunks one after another, and where each chunk's begin; the last number is where all end."""
+        split = pa.array(_PIECE_OR_END.findall("\n".join([*chunks, ""])), pa.large_string()).dictionary_encode()
+        pieces = split.dictionary.to_numpy(zero_copy_only=False).tolist()
+        end = pieces.index("\n") if chunks else -1
+        known = self._ids_of_pieces([p for p in pieces if p != "\n"])
+        if chunks:
+            known.insert(end, b"")
+        flat, stops = np.frombuffer(b"".join(known), "<u4"), np.cumsum([0, *map(len, known)]) >> 2
+        which = split.indices.to_numpy(zero_copy_only=False)
+        ids, ends = _spread(flat, stops, which)
+        return ids, np.append(0, ends[1:][which == end])
+
+    def _lowered(self, text: str) -> str | None:
+        """The text in lower case, or None where the library has to take it whole."""
         if _OTHER.search(text) or any(c in text for c in self.control) or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
             return None
-        return text.lower().split()
+        return text.lower()
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
-        """Token ids of each text as little-endian unsigned 32-bit integers."""
-        chunks = [self._chunks_of(t) for t in texts]
-        if len(self.chunks) > self.cache_size:
-            self.chunks.clear()
-        got = [None if c is None else [*map(self.chunks.get, c)] for c in chunks]
-        missing: set[str] = set()
-        holes = [i for i, g in enumerate(got) if g and None in g]
-        for i in holes:
-            missing.update([c for c, g in zip(chunks[i], got[i]) if g is None])
-        if missing:
-            self._learn(missing)
-            for i in holes:
-                got[i] = map(self.chunks.__getitem__, chunks[i])
-        whole = lambda t: np.asarray(self.whole.encode_batch_fast([t], add_special_tokens=False)[0].ids, "<u4").tobytes()
-        return [whole(t) if g is None else b"".join(g) for t, g in zip(texts, got)]
+        """Token ids of each text as little-endian unsigned 32-bit integers.
+
+        A chunk is looked up once for all of its places in the given texts; better some
+        megabytes of them at a time (``in_parts``) than few.
+        """
+        low = [self._lowered(t) for t in texts]
+        split = pc.ascii_split_whitespace(pa.array([t for t in low if t is not None], pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        ids, stops = _spread(*self._ids_of_chunks(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), coded.indices.to_numpy(zero_copy_only=False))
+        ids = ids.tobytes()
+        ends = iter((4 * stops[split.offsets.to_numpy(zero_copy_only=False)]).tolist())
+        out, at = [], next(ends)
+        for text, plain in zip(texts, low):
+            if plain is None:
+                out.append(np.asarray(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes())
+            else:
+                frm, at = at, next(ends)
+                out.append(ids[frm:at])
+        return out
 
     def offsets(self, text: str, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Start and end character of every token of ``ids``, in the text as given.
@@ -110,7 +140,7 @@ class WordEncoder:
         The tokens of a plain text tile its bytes other than white space, so their
         byte lengths place them.
         """
-        if self._chunks_of(text) is None or len(low := text.lower()) != len(text):
+        if (low := self._lowered(text)) is None or len(low) != len(text):
             spans = np.asarray(self.whole.encode(text, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
             return spans[:, 0], spans[:, 1]
         code = np.frombuffer(low.encode("utf-32-le"), "<u4")
@@ -122,6 +152,21 @@ class WordEncoder:
         return of_byte[frm], of_byte[to - 1] + 1
 
 
+def in_parts(texts: list[str | None], most: int = PART) -> Iterator[tuple[int, list[str]]]:
+    """Parts of the texts, null ones empty, each with the place it begins at; a part has ``most`` characters, or one text."""
+    part: list[str] = []
+    held = 0
+    for i, text in enumerate(texts):
+        text = text or ""
+        if part and held + len(text) > most:
+            yield i - len(part), part
+            part, held = [], 0
+        part.append(text)
+        held += len(text)
+    if part:
+        yield len(texts) - len(part), part
+
+
 _KEPT: dict[str, WordEncoder] = {}
 
 

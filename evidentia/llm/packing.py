@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
-from .encoder import encoder
+from .encoder import encoder, in_parts
 
 WINDOW = 2048
 OPEN_WINDOWS = 16
@@ -110,9 +110,8 @@ def _packer(tokenizer: str, size: int, most: int):
 
         for batch in batches:
             docs, texts = (batch.column(k).to_pylist() for k in range(2))
-            for at in range(0, len(docs), 200):
-                part = [t or "" for t in texts[at : at + 200]]
-                for doc, ids in zip(docs[at : at + 200], enc.ids_of(part), strict=True):
+            for at, part in in_parts(texts):
+                for doc, ids in zip(docs[at : at + len(part)], enc.ids_of(part), strict=True):
                     windows.add(doc, ids + end)
             yield rows()
         windows.close()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import _common as C
-from .encoder import encoder
+from .encoder import encoder, in_parts
 
 RULES = ("majority", "first")
 #: Characters of a section at most.
@@ -89,10 +89,9 @@ def count_by_section(docs: DataFrame, tokenizer: str, sections=line_spans, rule:
         enc = encoder(tokenizer)
         for batch in batches:
             docs_, texts = (batch.column(k).to_pylist() for k in range(2))
-            for at in range(0, len(docs_), 200):
-                part = [t or "" for t in texts[at : at + 200]]
+            for at, part in in_parts(texts):
                 cols: list[list] = [[] for _ in names]
-                for doc, text, ids in zip(docs_[at : at + 200], part, enc.ids_of(part), strict=True):
+                for doc, text, ids in zip(docs_[at : at + len(part)], part, enc.ids_of(part), strict=True):
                     lo, hi = sections(text)
                     owner = attribute(*enc.offsets(text, ids), lo, hi, rule)
                     n = np.bincount(owner + 1, minlength=len(lo) + 1)

@@ -56,6 +56,27 @@ def test_random_strings_agree_with_the_library(library):
         assert list(zip(*(x.tolist() for x in own.offsets(text, ids)))) == [tuple(o) for o in want.offsets], text
 
 
+def test_a_part_of_texts_looks_up_what_is_distinct_in_it(library):
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+    own = WordEncoder(PATH)
+    own.pieces = Counted()
+    texts = [" The cat,\n sat", "", None, "日本語 the", "the  THE cat, " * 50, "x" * 9, "\t"] * 20
+    got, places = [], []
+    for at, part in encoder.in_parts(texts, 1500):
+        places.append((at, len(part)))
+        got += own.ids_of(part)
+    assert got == [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert [a + n for a, n in places] == [a for a, _ in places[1:]] + [len(texts)] and len(places) > 9
+    assert own.pieces.asked <= 5 * len(places)  # the, cat, the comma, sat, x...
+    assert [*encoder.in_parts([])] == [] and [*encoder.in_parts(["abc", "d"], 2)] == [(0, ["abc"]), (1, ["d"])]
+
+
 def test_packing_is_a_round_trip(spark, library):
     texts = [*TEXTS, None, "word " * 3000]
     rows = packing.pack_documents(frame(spark, texts), PATH, size=256, open_windows=3).collect()
