@@ -371,6 +371,46 @@ def brute_word_similarity(q, c):
     return best
 
 
+def test_bounds_and_floors_of_word_similarity_lose_no_chunk(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcde", k=rng.randint(1, 5))) for _ in range(60)]
+    say = lambda n: " ".join(rng.choices(words, k=n))
+    texts = ["", "?", "abc", *(say(rng.choice([3, 20, 90, 300])) for _ in range(60))]
+    texts += [texts[-1], say(30) + " " + texts[9] + " " + say(30)]
+    entries = [(line, trigram.previous(line)) for line in map(trigram.codes, texts)]
+    lines, every = trigram.Lines(entries), np.ones(len(texts), bool)
+    for q in ["", "abc", texts[9], texts[12], say(12), say(40)]:
+        wanted = np.unique(trigram.codes(q))
+        whole = lines.best(wanted, None, every, 9)
+        hit = np.isin(lines.dictionary, wanted)[lines.gram]
+        for j, (line, _) in enumerate(entries):
+            for size, reach in ((1, 4), (3, 8), (16, 32), (5, 64)):
+                assert lines._bound(j, hit, len(np.intersect1d(line, wanted)), max(1, len(wanted)), size, reach) >= whole[j] - 0.6e-9
+        for k in (1, 3, 10):
+            least = np.sort(whole)[-k]
+            for floor in (-1.0, least):
+                got = lines.best(wanted, k, every, 9, floor)
+                assert (got[whole >= least] == whole[whole >= least]).all()
+        measured = []
+        with monkeypatch.context() as m:
+            share = trigram.Lines._share
+            m.setattr(trigram.Lines, "_share", lambda self, j, *a: measured.append(j) or share(self, j, *a))
+            lines.best(wanted, 3, every, 9, max(0.01, np.sort(whole)[-3]))
+        if len(q) > 30:
+            assert len(measured) < len(texts) // 2
+    rows = [(i, 0, t) for i, t in enumerate(texts)]
+    c = spark.createDataFrame([*rows, (None, 0, "abc"), (90, 0, None)], "chunk_id long, label int, c string").withColumn("weight", F.lit(1))
+    q = spark.createDataFrame([*rows[::7], (90, 0, None), (91, 0, texts[9])], "question_id long, question_label int, q string").withColumn("weight", F.lit(1))
+    best = lambda df, k: {tuple(r) for r in search.ranked(df, k, "place").select("question_id", "chunk_id", "value", "place").collect()}
+    for k in (1, 4):
+        assert best(search.word_pairs(q, c, k, pilot=12), k) == best(search.word_pairs(q, c, k), k)
+    assert search.word_pairs(q, c, 4, pilot=12).count() <= search.word_pairs(q, c, 4).count()
+
+
 def test_word_similarity_against_brute_force():
     pairs = [("knee pain", "pain of the knee and knee pain"), ("abc", "xyz"), ("", "x"), ("x", ""), ("word", "two words here"), ("aa ab ac", "zz aa qq ab ww ac aa ab"), ("the cat", "the the the dog cat")]
     for q, c in pairs:
