@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,15 @@ def fresh() -> None:
     encoder = sys.modules.get("evidentia.llm.encoder")
     if encoder is not None:
         encoder._KEPT.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, which else stays with the worker beside what the executor's heap has grown to."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim is not None:
+        trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

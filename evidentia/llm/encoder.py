@@ -21,8 +21,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from ._common import give_back
+
 #: Characters that are encoded together, more where one text has more.
-PART = 4 << 20
+PART = 2 << 20
 #: Characters for which lower-casing, composition and the letter/digit split are done here.
 PLAIN = "\x09-\x0d\x20-\x7e\xa1-ɏ‐-‧‰-⁞€"
 _OUTSIDE = f"[^{PLAIN}]"
@@ -56,7 +58,7 @@ class WordEncoder:
     time when too small, but never changes a result.
     """
 
-    def __init__(self, path: str, cache_size: int = 1_000_000):
+    def __init__(self, path: str, cache_size: int = 250_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -173,5 +175,6 @@ _KEPT: dict[str, WordEncoder] = {}
 def encoder(path: str) -> WordEncoder:
     """One encoder for each worker process, so that its cache outlives a task."""
     if path not in _KEPT:
+        give_back()
         _KEPT[path] = WordEncoder(path)
     return _KEPT[path]

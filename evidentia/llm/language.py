@@ -15,6 +15,8 @@ not matter; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +26,8 @@ from . import _common as C
 
 BUCKETS = 1 << 15
 SMOOTHING = 0.5
+#: Trigrams, about, that are counted together: they take 8 bytes each.
+COUNTED = 1 << 20
 ROUNDS = 30
 #: A document is rejected by the filter if no language has this share of it.
 LEAST_SHARE = 0.34
@@ -51,25 +55,37 @@ def trigrams(text: str) -> np.ndarray:
     return (h >> np.uint64(49)).astype(np.int64)  # the upper 15 bits
 
 
-def count_trigrams(docs: DataFrame) -> DataFrame:
-    """lang, bucket, n over all documents that may be learned from; tasks send sums only."""
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, bucket, n of rows of a language and a text; about ``COUNTED`` trigrams are held at a time."""
+    sums: dict[str, np.ndarray] = {}
+    by: dict[str, list] = {}
+
+    def add() -> None:
+        for lang, parts in by.items():
+            n = np.bincount(np.concatenate(parts), minlength=BUCKETS)
+            sums[lang] = sums[lang] + n if lang in sums else n
+        by.clear()
+
+    C.fresh()
+    for batch in batches:
+        held = 0
+        for lang, text in zip(*(batch.column(k).to_pylist() for k in range(2))):
+            grams = trigrams(text)
+            by.setdefault(lang, []).append(grams)
+            held += len(grams)
+            if held > COUNTED:
+                add()
+                held = 0
+        add()
+    for lang, n in sums.items():
+        at = np.flatnonzero(n)
+        yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "bucket", "n"])
 
-    def count(batches):
-        C.fresh()
-        sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            by: dict[str, list] = {}
-            for lang, text in zip(*(batch.column(k).to_pylist() for k in range(2))):
-                by.setdefault(lang, []).append(trigrams(text))
-            for lang, parts in by.items():
-                n = np.bincount(np.concatenate(parts), minlength=BUCKETS)
-                sums[lang] = sums[lang] + n if lang in sums else n
-        for lang, n in sums.items():
-            at = np.flatnonzero(n)
-            yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "bucket", "n"])
 
+def count_trigrams(docs: DataFrame) -> DataFrame:
+    """lang, bucket, n over all documents that may be learned from; tasks send sums only."""
     known = docs.where(~C.held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    return known.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return known.select("lang", "text").mapInArrow(counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import random
 import re
+import subprocess
+import sys
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from evidentia.llm import html_text, language, toxicity
@@ -34,6 +38,36 @@ def test_language_of_each_text(spark):
     assert got[None].lang_pred == "en"
 
 
+def test_counting_holds_few_trigrams_at_a_time():
+    batch = pa.record_batch([pa.array(["en", "de"] * 400), pa.array([ENGLISH * 120, GERMAN * 120] * 400)], ["lang", "text"])
+    language._letters()
+    tracemalloc.start()
+    got = [*language.counted(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = {lang: 400 * np.bincount(language.trigrams(text * 120), minlength=language.BUCKETS) for lang, text in (("en", ENGLISH), ("de", GERMAN))}
+    assert {b.column(0)[0].as_py() for b in got} == {*want} and peak < 40 << 20, peak  # all of them take 50 MB
+    for b in got:
+        assert np.array_equal(np.flatnonzero(want[b.column(0)[0].as_py()]), b.column(1)) and want[b.column(0)[0].as_py()].sum() == sum(b.column(2).to_pylist())
+
+
+def test_a_worker_gives_back_what_a_stage_has_freed():
+    script = """
+import re, numpy as np
+from evidentia.llm import _common as C
+mb = lambda: sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+before = mb()
+parts = [np.ones(2000 if i % 8 else 200) for i in range(10_000)]
+parts = parts[::8]
+C.fresh()
+print(mb() - before)
+"""
+    if not sys.platform.startswith("linux"):
+        pytest.skip("reads /proc")
+    got = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, check=True, timeout=120)
+    assert float(got.stdout) < 40  # 133 MB were held, 2 MB still are
+
+
 def test_language_filter_keeps_columns_and_clean_rows(spark):
     kept = language.keep_identified(docs(spark))
     assert kept.columns == ["doc_id", "text", "lang", "source", "score", "c0"]
