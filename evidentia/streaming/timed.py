@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import IntegralType
 
 #: The state store that transformWithState needs.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -36,11 +37,14 @@ class InOrder(StatefulProcessor):
     Events wait in a list until the watermark has passed them; a timer for the
     end of their slot wakes them, so that late ones within the watermark take their place.  The
     machine's fields are a value that ends once the key has been silent for
-    ``ttl`` seconds of event time.
+    ``ttl`` seconds of event time.  Columns named in ``whole`` come as decimals and are
+    kept and answered as integers: beside nulls, pandas would make floats of them,
+    which the state store takes for null in a column of integers.
     """
 
-    def __init__(self, machine: Callable[[], object], keys: list[str], at: str, tie: str, inputs: list[str], out: str, row: str, ttl: float, slot: float):
+    def __init__(self, machine: Callable[[], object], keys: list[str], at: str, tie: str, inputs: list[str], out: str, row: str, ttl: float, slot: float, whole: tuple[str, ...] = ()):
         self.machine, self.keys, self.at, self.tie, self.inputs, self.out = machine, keys, at, tie, inputs, out
+        self.whole = whole
         self.row, self.ttl, self.slot = row, int(ttl * 1000), max(1, int(slot * 1000))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -54,6 +58,8 @@ class InOrder(StatefulProcessor):
         columns, wake = [self.at, self.tie, *self.inputs], set()
         for pdf in rows:
             plain = pdf[columns].astype(object).where(pdf[columns].notna(), None)
+            for c in self.whole:
+                plain[c] = pd.Series([None if x is None else int(x) for x in plain[c]], plain.index, object)
             self.waiting.appendList([*plain.itertuples(index=False, name=None)])
             wake |= {(_ms(x) // self.slot + 1) * self.slot for x in plain[self.at] if x is not None}
         for when in wake - set(self.handle.listTimers()):
@@ -80,7 +86,10 @@ class InOrder(StatefulProcessor):
             self.waiting.put(rest) if rest else self.waiting.clear()
             self.state.update((*astuple(machine), last))
             self.handle.registerTimer(last + self.ttl)
-            yield pd.DataFrame(answers, columns=[*self.keys, self.at, self.tie, *self.inputs, self.out])
+            got = pd.DataFrame(answers, columns=[*self.keys, self.at, self.tie, *self.inputs, self.out])
+            for c in self.whole:
+                got[c] = pd.Series([row[got.columns.get_loc(c)] for row in answers], dtype=object)
+            yield got
         elif last is not None and now >= last + self.ttl:
             self.state.clear()
 
@@ -147,7 +156,9 @@ def fold_in_order(events: DataFrame, keys: list[str], at: str, tie: str, machine
     rows = _watermarked(events, at, late).select(*keys, at, tie, *inputs)
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     ddl = lambda names: ", ".join(f"`{n}` {types[n]}" for n in names)
-    processor = InOrder(machine, keys, at, tie, inputs, out, ddl([at, tie, *inputs]), ttl, slot)
+    whole = tuple(c for c in dict.fromkeys([tie, *inputs]) if c not in (*keys, at) and isinstance(rows.schema[c].dataType, IntegralType))
+    rows = rows.withColumns({c: F.col(f"`{c}`").cast("decimal(19,0)") for c in whole})
+    processor = InOrder(machine, keys, at, tie, inputs, out, ddl([at, tie, *inputs]), ttl, slot, whole)
     return rows.groupBy(*keys).transformWithStateInPandas(processor, f"{ddl([*keys, at, tie, *inputs])}, `{out}` {kind}", "Append", "EventTime")
 
 

@@ -726,6 +726,15 @@ def test_the_order_of_an_answers_events(spark, tmp_path):
     assert sorted(((r.conv, r.i, r.wrong) for r in got), key=repr) == sorted(((r.conv, r.i, r.wrong) for r in batch), key=repr)
 
 
+def test_whole_numbers_beside_nulls_stay_whole_in_streams(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    big = (1 << 53) + 1  # no float
+    rows = [(1, t0 + dt.timedelta(seconds=i), i, "answer.delta", seq) for i, seq in enumerate([big, None, -big])]
+    got = streamed(spark, tmp_path, "whole", [rows, [(9, t0 + dt.timedelta(days=1), 0, "x", None)]], "conv int, at timestamp, i int, kind string, seq long",
+                   lambda e: timed.fold_in_order(e, ["conv"], "at", "i", keyed.Grammar, ["kind", "seq"], "wrong", "string", "1 hour", 7200))
+    assert sorted((r.i, r.seq) for r in got if r.conv == 1) == [(0, big), (1, None), (2, -big)]
+
+
 def test_timeouts_fall_back_and_sinks_end_once(spark):
     import time
 
