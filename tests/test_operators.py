@@ -411,6 +411,36 @@ def test_bounds_and_floors_of_word_similarity_lose_no_chunk(spark, monkeypatch):
     assert search.word_pairs(q, c, 4, pilot=12).count() <= search.word_pairs(q, c, 4).count()
 
 
+def test_many_questions_bound_a_line_at_once_and_lose_no_chunk(monkeypatch):
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcde", k=rng.randint(1, 5))) for _ in range(60)]
+    say = lambda n: " ".join(rng.choices(words, k=n))
+    texts = [None, "?", "abc", *(say(rng.choice([3, 20, 90, 300])) for _ in range(60))]
+    texts += [texts[-1], say(30) + " " + texts[9] + " " + say(30)]
+    ids, alone = np.arange(len(texts)), []
+    lines = trigram.Lines([(line, trigram.previous(line)) for line in (trigram.codes(x or "") for x in texts)])
+    whole = np.array([lines.best(np.unique(trigram.codes(x or "")), None, np.ones(len(texts), bool), 9) for x in texts])
+    for name in ("_bound", "_share"):
+        monkeypatch.setattr(trigram.Lines, name, lambda self, *a, of=getattr(trigram.Lines, name): alone.append(a[0]) or of(self, *a))
+    np.fill_diagonal(whole, -1)
+    for k in (1, 4):
+        least = np.sort(whole, 1)[:, -k]
+        for floors in (None, least):
+            asked = pa.array(texts) if floors is None else pa.StructArray.from_arrays([pa.array(texts), pa.array(floors)], ["text", "floor"])
+            alone.clear()
+            value, worth = search.word_similarities({"ids": ids, "side": asked}, {"ids": ids, "side": pa.array(texts)}, k)
+            must = (whole >= least[:, None]) & (whole >= 0)
+            assert worth[must].all() and (-value[must] == whole[must]).all() and (-value[worth] == whole[worth]).all()
+            assert floors is None or len(alone) < whole.size // 4
+        reached, _ = search.word_floors({"ids": ids, "side": pa.array(texts)}, {"ids": ids, "side": pa.array(texts)}, k)
+        assert (-reached <= np.maximum(whole, 0)).all()
+
+
 def test_word_similarity_against_brute_force():
     pairs = [("knee pain", "pain of the knee and knee pain"), ("abc", "xyz"), ("", "x"), ("x", ""), ("word", "two words here"), ("aa ab ac", "zz aa qq ab ww ac aa ab"), ("the cat", "the the the dog cat")]
     for q, c in pairs:
