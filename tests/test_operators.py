@@ -652,6 +652,46 @@ def test_many_copies_are_read_rather_than_shuffled(spark, monkeypatch):
     assert every(1000).count() == every(None).count() == 100 * 699
 
 
+def test_pairs_are_counted_by_products_and_only_the_best_are_valued(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    sets = [rng.choice(90, rng.integers(0, 60), False, np.arange(90, 0, -1) / 4095) for _ in range(120)]
+    sets[5], sets[7] = sets[6], sets[6][:0]
+    ids, side = np.arange(120), pa.array([[*map(int, x)] for x in sets], pa.list_(pa.int64()))
+    common = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    size = np.array([*map(len, sets)])
+    want = -search._rounded(common / np.maximum(size[:, None] + size - common, 1)) + 0.0
+    other = ids[:, None] != ids
+    for dense in (0, 0.05, 1):  # all by products, some, none
+        monkeypatch.setattr(search, "DENSE", dense)
+        monkeypatch.setattr(search, "SLAB", 7)
+        monkeypatch.setattr(search, "LISTED", 50)
+        held = {"ids": ids, "side": side}
+        for k in (None, 3):
+            value, worth = search.overlaps({"ids": ids[::2], "side": side.take(pa.array(ids[::2]))}, held, k)
+            assert (value[worth] == want[::2][worth]).all()
+            for i in range(60):
+                best = sorted(np.flatnonzero(other[2 * i]), key=lambda j: (want[2 * i, j], j))[: k or 119]
+                assert worth[i, best].all()
+            assert worth.all() if k is None else worth.sum() < 60 * 60
+    vectors = [None, [0.0, 0.0], [1.0], *([*map(float, rng.integers(-9, 9, 2))] for _ in range(117))]
+    value, worth = search.distances(2)({"ids": ids, "side": pa.array(vectors)}, {"ids": ids, "side": pa.array(vectors)}, 4)
+    full, _ = search.distances(2)({"ids": ids, "side": pa.array(vectors)}, {"ids": ids, "side": pa.array(vectors)}, None)
+    assert worth[:3].all() and np.isnan(value[:3]).all() and (value[3:][worth[3:]] == full[3:][worth[3:]]).all()
+    for i in range(3, 120):
+        assert worth[i, sorted(np.flatnonzero(other[i] & ~np.isnan(full[i])), key=lambda j: (full[i, j], j))[:4]].all()
+
+
+def test_blocks_are_bounded_by_their_lists(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(search, "CELL_BYTES", 80)
+    lists = pa.array([[1] * n for n in (4, 4, 4, 30, 0, 0, 0, 0, 10, 1)] + [None])
+    assert search._cuts(lists, 3) == [0, 2, 3, 4, 7, 9, 11] and search._cuts(lists[:0], 3) == [0]
+
+
 def test_reads_and_blocks_and_breakers_as_streams(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # or batches without data go on, to end idle keys
     body = "event: a\ndata: one\n\n: note\r\n\r\ndata: two\ndata: lines\r\n\r\ndata: half"
