@@ -684,6 +684,14 @@ def test_pairs_are_counted_by_products_and_only_the_best_are_valued(monkeypatch)
         assert worth[i, sorted(np.flatnonzero(other[i] & ~np.isnan(full[i])), key=lambda j: (full[i, j], j))[:4]].all()
 
 
+def test_all_pairs_come_in_one_order_of_chunks(spark):
+    held = spark.createDataFrame([(i, 0, [float(i * 7 % 11), 1.0]) for i in range(40)], "chunk_id long, label int, c array<double>").withColumn("weight", F.lit(16)).coalesce(1)
+    asked = held.where("chunk_id < 3").selectExpr("chunk_id AS question_id", "label AS question_label", "c AS q", "weight")
+    got = search.best_in_cells(asked, held, search.distances(2), None).collect()
+    of = lambda q: [r.chunk_id for r in got if r.question_id == q and r.chunk_id > 2]
+    assert len(got) == 3 * 39 and of(0) == of(1) == of(2) and len(of(0)) == 37
+
+
 def test_blocks_are_bounded_by_their_lists(monkeypatch):
     import pyarrow as pa
 
