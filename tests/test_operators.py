@@ -692,6 +692,18 @@ def test_all_pairs_come_in_one_order_of_chunks(spark):
     assert len(got) == 3 * 39 and of(0) == of(1) == of(2) and len(of(0)) == 37
 
 
+def test_chunks_are_counted_without_their_texts(spark, data, monkeypatch):
+    from evidentia.engine.views import Tables
+
+    chunks, seen = Tables(spark, data).chunks(), []
+    assert chunks.where("chars IS DISTINCT FROM length(content)").count() == 0
+    monkeypatch.setattr(search, "best_in_cells", lambda q, c, *a, **k: seen.append(c.agg(F.sum("weight"))))
+    search.keyword_pairs(Tables(spark, data).questions(), chunks, 3)
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join"):]
+    assert "length(text" in below and "text" not in plan[: plan.index("Join")]
+
+
 def test_blocks_are_bounded_by_their_lists(monkeypatch):
     import pyarrow as pa
 
