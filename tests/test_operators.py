@@ -441,6 +441,36 @@ def test_many_questions_bound_a_line_at_once_and_lose_no_chunk(monkeypatch):
         assert (-reached <= np.maximum(whole, 0)).all()
 
 
+def test_stretches_are_sought_only_where_they_may_begin(monkeypatch):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 6))) for _ in range(400)]
+    say = lambda few, n: " ".join(rng.choices(few, k=n))
+    asked, text = say(words[:40], 60), " ".join([say(words, 900), say(words[:40], 60), say(words, 900)])
+    wanted, line = np.unique(trigram.codes(asked)), trigram.codes(text)
+    lines = trigram.Lines([(line, trigram.previous(line))])
+    hit = np.isin(lines.dictionary, wanted)[lines.gram]
+    common, n = len(np.intersect1d(line, wanted)), len(wanted)
+    best = lines._share(0, hit, common, n, -1.0)
+    tables, diagonal = [], np.diagonal
+    monkeypatch.setattr(np, "diagonal", lambda x: tables.append(x.shape) or diagonal(x))
+    assert lines._share(0, hit, common, n, -1.0) == best > 0.5
+    whole = len(tables)
+    tables.clear()
+    assert lines._share(0, hit, common, n, best - 1e-9) == best and lines._share(0, hit, common, n, best + 0.01) <= best + 0.01
+    assert len(tables) < whole // 2
+    short = line[:150]
+    lines, hit = trigram.Lines([(short, trigram.previous(short))]), np.isin(short, wanted)
+    common = len(np.intersect1d(short, wanted))
+    reached = [max((len(x & {*wanted}) / len(x | {*wanted}) for j in range(i, 150) for x in [{*short[i : j + 1]}]), default=0) for i in range(150)]
+    for size, reach, floor in ((1, 4, -1.0), (4, 8, -1.0), (7, 32, -1.0), (2, 4, max(reached) / 2)):
+        bounds = lines._bounds(0, hit, common, n, size, reach, floor)
+        assert all(b <= bounds[i // size] + 1e-12 or bounds[i // size] < floor and b < floor for i, b in enumerate(reached))
+
+
 def test_word_similarity_against_brute_force():
     pairs = [("knee pain", "pain of the knee and knee pain"), ("abc", "xyz"), ("", "x"), ("x", ""), ("word", "two words here"), ("aa ab ac", "zz aa qq ab ww ac aa ab"), ("the cat", "the the the dog cat")]
     for q, c in pairs:
